@@ -1,6 +1,6 @@
 """Map projections as column expressions (radians inside, degrees at the interface).
 
-Closed forms; the forward Mollweide angle takes a fixed number of unrolled Newton steps.
+Closed forms; the forward Mollweide angle takes a fixed number of Newton steps.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ class Projection:
         if self.kind == "sinusoidal":
             return r * lam * F.cos(phi), r * phi
         if self.kind == "mollweide":
-            theta = phi
-            for _ in range(8):
-                slope = 2 + 2 * F.cos(2 * theta)
-                step = (2 * theta + F.sin(2 * theta) - math.pi * F.sin(phi)) / F.greatest(slope, F.lit(1e-12))
-                theta = theta - step
+            def newton(theta, _):
+                slope = F.greatest(2 + 2 * F.cos(2 * theta), F.lit(1e-12))
+                return theta - (2 * theta + F.sin(2 * theta) - math.pi * F.sin(phi)) / slope
+
+            # a fold, since unrolled steps would repeat each other inside one expression
+            theta = F.aggregate(F.sequence(F.lit(1), F.lit(8)), phi, newton)
             return (2 * math.sqrt(2) / math.pi) * r * lam * F.cos(theta), math.sqrt(2) * r * F.sin(theta)
         if self.kind == "laea":
             s1, c1 = math.sin(math.radians(self.lat0)), math.cos(math.radians(self.lat0))

@@ -55,7 +55,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, keys: Sequence[str] = (
     rows = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     rows = with_group_stats(rows, keys, F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
-    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), width)), F.lit(bins - 1)), F.lit(0))
+    # LEAST skips NULL, so the constant group is settled before it
+    at = F.coalesce(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), width)), F.lit(0))
+    bin_ = F.least(at, F.lit(bins - 1))
     out = rows.groupBy(*keys, (bin_ + 1).cast("int").alias("bin"), "__lo", width.alias("__w")).agg(
         F.count(F.lit(1)).alias("n"))
     return out.select(*keys, "bin", (F.col("__lo") + (F.col("bin") - 1) * F.col("__w")).alias("lower"),
@@ -130,7 +132,8 @@ def density_1d(df: DataFrame, value: str, keys: Sequence[str] = (), points: int
     grid = mass.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / (points - 1)
     kernel = F.exp(-0.5 * F.pow((x - F.col("c")) / F.col("bw"), F.lit(2))) / (F.col("bw") * math.sqrt(2 * math.pi))
-    return grid.groupBy(*keys, x.alias("x")).agg((F.sum(F.col("w") * kernel) / F.first("n")).alias("density"))
+    return grid.groupBy(*keys, "g", x.alias("x")).agg(
+        (F.sum(F.col("w") * kernel) / F.first("n")).alias("density")).drop("g")
 
 
 def density_2d(df: DataFrame, x: str, y: str, points: int = 25, nodes: int = 128) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_counted, cut_lineage
 from .ordered import row_number
 
 
@@ -34,7 +34,8 @@ def edges_by_id(pairs: DataFrame, nodes: DataFrame, from_: str, to: str) -> Data
     a = nodes.select(F.col("id").alias("src"), F.col("name").alias("__a"))
     b = nodes.select(F.col("id").alias("dst"), F.col("name").alias("__b"))
     rest = [c for c in pairs.columns if c not in (from_, to)]
-    return (pairs.join(a, F.col(from_) == F.col("__a")).join(b, F.col(to) == F.col("__b"))
+    named = pairs.withColumnsRenamed({from_: "__from", to: "__to"})
+    return (named.join(a, F.col("__from") == F.col("__a")).join(b, F.col("__to") == F.col("__b"))
             .select("src", "dst", *rest))
 
 
@@ -196,7 +197,7 @@ def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``(name, group)`` with the smallest source that reaches each node (its component).
 
     The frontier is a table of (source, node) with path counts, grown level by level; then the
-    dependencies are summed back level by level.
+    dependencies are summed back level by level. Every level is written once.
     """
     adj = cut_lineage(symmetric(edges))
     frontier = cut_lineage(adj.select(F.col("src").alias("s"), F.col("src").alias("v")).distinct()
@@ -207,8 +208,8 @@ def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = (frontier.join(adj, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v"), "sigma")
                 .join(visited, ["s", "v"], "left_anti")
                 .groupBy("s", "v").agg(F.sum("sigma").alias("sigma")))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+        frontier, n = cut_counted(step)
+        if n == 0:
             break
         levels.append(frontier)
         visited = visited.unionByName(frontier.select("s", "v"))
@@ -225,12 +226,16 @@ def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
                            .select("s", "v", "w", (F.col("sigma") * F.col("share")).alias("flow")))
         flows.append(back.select("v", "w", "flow"))
         delta = back.groupBy("s", "v").agg(F.sum("flow").alias("delta"))
+    reached = visited.groupBy(F.col("v").alias("name")).agg(F.min("s").alias("group"))
+    if not flows:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, betweenness double"), reached
     every = flows[0]
     for f in flows[1:]:
         every = every.unionByName(f)
     between = (every.groupBy(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"))
                .agg((F.sum("flow") / 2).alias("betweenness")))
-    return between, visited.groupBy(F.col("v").alias("name")).agg(F.min("s").alias("group"))
+    return between, reached
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
@@ -262,24 +267,21 @@ def edge_betweenness_communities(edges: DataFrame) -> DataFrame:
     nodes = cut_lineage(endpoints(base))
     cur, best, best_q, parts = base, None, None, -1
     while True:
-        done = cur.isEmpty()
-        if done:
-            groups = nodes.withColumn("group", F.col("name"))
-        else:
-            between, comp = _brandes(cur)
-            comp = comp.withColumnRenamed("name", "__n")
-            groups = nodes.join(comp, F.col("name") == F.col("__n"), "left").select(
-                "name", F.coalesce("group", "name").alias("group"))
-        groups = cut_lineage(groups)
-        n = groups.select("group").distinct().count()
+        between, comp = _brandes(cur)
+        # nodes without an edge left are groups of their own
+        comp = comp.withColumnRenamed("name", "__n")
+        groups = nodes.join(comp, F.col("name") == F.col("__n"), "left").select(
+            "name", F.coalesce("group", "name").alias("group"))
+        top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
+        n = groups.agg(F.countDistinct("group")).first()[0]
         if n != parts:
             parts = n
+            groups = cut_lineage(groups)
             q = modularity(base, groups)
             if best_q is None or q > best_q + 1e-12:
                 best, best_q = groups, q
-        if done:
+        if top is None:
             return best
-        top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
         cur = cut_lineage(cur.where(~((F.col("src") == top["src"]) & (F.col("dst") == top["dst"]))))
 
 
@@ -297,8 +299,8 @@ def bfs_forest(edges: DataFrame) -> DataFrame:
         nxt = (front.select(F.col("name").alias("src")).join(adj, "src")
                .join(forest.select(F.col("name").alias("dst")), "dst", "left_anti")
                .groupBy(F.col("dst").alias("name")).agg(F.min("src").alias("parent")).withColumn("depth", F.lit(depth)))
-        front = cut_lineage(nxt)
-        if front.isEmpty():
+        front, n = cut_counted(nxt)
+        if n == 0:
             return forest
         forest = cut_lineage(forest.unionByName(front))
 
@@ -325,9 +327,9 @@ def biconnected_components(edges: DataFrame) -> DataFrame:
     placed = cut_lineage(placed.withColumn("tree", is_tree).withColumn(
         "lower", F.when(F.col("tree"), F.when(F.col("pa").eqNullSafe(F.col("b")), F.col("a")).otherwise(F.col("b")))
         .when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b"))))
-    pairs = cut_lineage(placed.where(~F.col("tree")).select("a", "b").distinct())
+    pairs, n_pairs = cut_counted(placed.where(~F.col("tree")).select("a", "b").distinct())
     links = []
-    while not pairs.isEmpty():
+    while n_pairs:
         at = lookup(lookup(pairs, "a"), "b")
         # the deeper end climbs; at equal depth both do
         na = F.when(F.col("da") >= F.col("db"), F.col("pa")).otherwise(F.col("a"))
@@ -348,7 +350,7 @@ def biconnected_components(edges: DataFrame) -> DataFrame:
             F.when(own_b & ~own_a & (F.col("na") != F.col("nb")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))),
         ))).alias("l")).select("l.*")
         links.append(link)
-        pairs = cut_lineage(moved.where(F.col("na") != F.col("nb")).select(
+        pairs, n_pairs = cut_counted(moved.where(F.col("na") != F.col("nb")).select(
             F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
     tree_ids = forest.where(F.col("parent").isNotNull()).select("name")
     if links:

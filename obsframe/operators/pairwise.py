@@ -1,8 +1,8 @@
 """Pairs of items that share features: weighted counts and phi correlation.
 
-Rows are first reduced to one per (item, feature). Pairs are formed by an equi-join on the
-feature and summed inside the join stage, so what is shuffled afterwards is at most one row per
-item pair and task. A feature that holds very many items would still make one task form all its
+Rows are first reduced to one per (item, feature) and written once. Pairs are formed by an
+equi-join on the feature and summed inside the join stage, so what is shuffled afterwards is at
+most one row per item pair and task. A feature that holds very many items would still make one task form all its
 pairs; such features are cut into blocks of items, and each pair of blocks is its own join key.
 Every pair is formed exactly once and none is dropped.
 """
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import row_number_by
 
 BLOCK = 2000
@@ -47,14 +48,19 @@ def _blocked_self_join(rows: DataFrame, keys: Sequence[str], item: str, payload:
 
 def pairs_within(rows: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str] = (),
                  block: int = BLOCK) -> DataFrame:
-    """Unordered item pairs (``item1 < item2``) inside each group; ``rows`` is distinct on
-    (keys, item). Groups above ``block`` items take the blocked join; adaptive execution drops
-    that branch at run time when there is no such group."""
+    """Unordered item pairs (``item1 < item2``) inside each group.
+
+    ``rows`` is a written table, distinct on (keys, item). Its largest group is looked up first;
+    only when some group exceeds ``block`` items does the plan get the blocked branch for those.
+    """
     keys = list(keys)
-    big = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > block))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    largest = sizes.agg(F.max("__size")).first()[0] or 0
+    if largest <= block:
+        return _self_join(rows, keys, item, payload)
+    big = sizes.where(F.col("__size") > block)
     light = _self_join(rows.join(big.select(*keys), keys, "left_anti"), keys, item, payload)
-    heavy = _blocked_self_join(rows.join(big, keys), keys, item, payload, "__size", block)
-    return light.unionByName(heavy)
+    return light.unionByName(_blocked_self_join(rows.join(big, keys), keys, item, payload, "__size", block))
 
 
 def pairwise_count(df: DataFrame, item: str, feature: str, weight: str | None = None,
@@ -72,14 +78,14 @@ def pairwise_count(df: DataFrame, item: str, feature: str, weight: str | None =
     keys = [*strata, feature]
     df = df.where(F.col(item).isNotNull() & F.col(feature).isNotNull())
     if weight is None:
-        rows = df.select(*keys, item).distinct()
+        rows = cut_lineage(df.select(*keys, item).distinct())
         pairs = pairs_within(rows, keys, item, (), block)
         out = pairs.groupBy(*strata, "item1", "item2").agg(F.count(F.lit(1)).cast("double").alias("n"))
         if not upper:
             return out
         return out.unionByName(out.select(*strata, F.col("item2").alias("item1"), F.col("item1").alias("item2"), "n"))
     kept = first_per(df, [*keys, item], order or [weight])
-    rows = kept.select(*keys, item, F.col(weight).cast("double").alias("w"))
+    rows = cut_lineage(kept.select(*keys, item, F.col(weight).cast("double").alias("w")))
     pairs = pairs_within(rows, keys, item, ["w"], block)
     unknown = F.col("w1").isNull() | F.col("w2").isNull()
     if null_weight == "skip":
@@ -106,8 +112,8 @@ def pairwise_phi(df: DataFrame, item: str, feature: str, strata: Sequence[str] =
     occurs in every feature. With several strata all of them are computed in one pass.
     """
     strata = list(strata)
-    rows = (df.where(F.col(item).isNotNull() & F.col(feature).isNotNull())
-            .select(*strata, feature, item).distinct())
+    rows = cut_lineage(df.where(F.col(item).isNotNull() & F.col(feature).isNotNull())
+                       .select(*strata, feature, item).distinct())
     together = pairs_within(rows, [*strata, feature], item, (), block).groupBy(*strata, "item1", "item2").agg(
         F.count(F.lit(1)).alias("n11"))
     singles = rows.groupBy(*strata, F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -116,9 +122,9 @@ def pairwise_phi(df: DataFrame, item: str, feature: str, strata: Sequence[str] =
         totals = n_features.groupBy(*strata).agg(F.count(F.lit(1)).alias("total"))
         universe = singles.join(totals, strata)
     else:
-        total = n_features.agg(F.count(F.lit(1))).scalar()
-        universe = singles.withColumn("total", total).withColumn("__all", F.lit(0))
-    pairs = pairs_within(universe, strata or ["__all"], "item", ["cnt", "total"], block).select(
+        universe = singles.withColumn("total", F.lit(n_features.count())).withColumn("__all", F.lit(0))
+    # one row per item from here on
+    pairs = pairs_within(cut_lineage(universe), strata or ["__all"], "item", ["cnt", "total"], block).select(
         *strata, "item1", "item2", "cnt1", "cnt2", F.col("total1").alias("total"))
     pairs = pairs.join(together, [*strata, "item1", "item2"], "left")
     n1, n2, n_all = (F.col(c).cast("double") for c in ("cnt1", "cnt2", "total"))

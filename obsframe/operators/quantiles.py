@@ -46,39 +46,27 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     else:
         one = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), targets.alias("t")).alias("s")).scalar()
         joined = rows.withColumn("__s", one).select("__v", F.col("__s.n").alias("n"), F.col("__s.t").alias("__t"))
-    # one partial-aggregated row per key for what lies outside the brackets
-    outside = joined.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.count(F.when(F.col("__v") < F.col("__t")[i]["lo"], 1)).alias("below"),
-                F.max(F.when(F.col("__v") < F.col("__t")[i]["lo"], F.col("__v"))).alias("prev"),
-                F.min(F.when(F.col("__v") > F.col("__t")[i]["hi"], F.col("__v"))).alias("next"),
-            ) for i in range(len(probs))
-        ]).alias("__o"),
-    ).select(*keys, "n", F.explode("__o").alias("__o")).select(*keys, "n", "__o.*")
-    inside = (
-        joined.select(*keys, "__v", F.explode("__t").alias("__t"))
-        .where((F.col("__v") >= F.col("__t.lo")) & (F.col("__v") <= F.col("__t.hi")))
-        .groupBy(*keys, F.col("__t.i").alias("i"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    # one pass: everything below or above a bracket is one partially aggregated row per key and
+    # target, what lies inside is one row per distinct value
+    side = F.when(F.col("__v") < F.col("__t.lo"), -1).when(F.col("__v") > F.col("__t.hi"), 1).otherwise(0)
+    counted = (
+        joined.select(*keys, "n", "__v", F.explode("__t").alias("__t"))
+        .select(*keys, "n", "__v", F.col("__t.i").alias("i"), side.alias("__side"))
+        .groupBy(*keys, "i", "__side", F.when(F.col("__side") == 0, F.col("__v")).alias("__at"))
+        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     )
     upto = F.sum("__c").over(
-        Window.partitionBy(*keys, "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("__upto", upto)
-    ren = outside.withColumnsRenamed({c: f"__x_{c}" for c in [*keys, "i"]})
-    both = inside.join(ren, _join_on([*keys, "i"], "__x_")).drop(*[f"__x_{c}" for c in [*keys, "i"]])
+        Window.partitionBy(*keys, "i").orderBy("__side", "__at").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("__upto", upto)
+    # the sketch error is within the margin, so a rank outside the bracket is its direct neighbour
+    v = F.when(F.col("__side") < 0, F.col("__hi")).otherwise(F.col("__lo"))
 
     def pick(r: int) -> Column:
         rank = _case([rk[r] if r < len(rk) else F.lit(None).cast("long") for rk in ranks])
-        hit = (F.col("below") + F.col("__upto") >= rank) & (F.col("below") + F.col("__upto") - F.col("__c") < rank)
-        return F.coalesce(
-            F.max(F.when(hit, F.col("__v"))),
-            F.max(F.when(rank <= F.col("below"), F.col("prev"))),
-            F.max(F.when(rank > F.col("below"), F.col("next"))),
-        ).alias(f"v{r}")
-
-    return both.groupBy(*keys, "i").agg(F.first("n").alias("n"), *[pick(r) for r in range(width)])
+        hit = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
+        return F.max(F.when(hit, v)).alias(f"v{r}")
+
+    return counted.groupBy(*keys, "i").agg(F.first("n").alias("n"), *[pick(r) for r in range(width)])
 
 
 def _case(by_target: Sequence[Column]) -> Column:

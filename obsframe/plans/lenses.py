@@ -12,6 +12,7 @@ from ..operators import pairwise
 from ..operators.aggregates import count_by
 from ..operators.ordered import top_k_per_group
 from ..operators.relational import anti_join, group_size_filter, semi_join
+from ..session import cut_lineage
 from ..sources.records import clean_observations
 
 KEEP_ORDER = ("checklist_id", "line_no", "line_part", "line_supp", "line_qty")
@@ -80,8 +81,9 @@ class Tables:
     @cached_property
     def tiles_ok(self) -> DataFrame:
         """Species without duplicated tiles that occur somewhere."""
-        twice = group_size_filter(self.tiles, ["species_name", "x", "y"]).select("species_name").distinct()
-        single = anti_join(self.tiles, twice, ["species_name"])
+        tiles = cut_lineage(self.tiles)  # read three times below
+        twice = group_size_filter(tiles, ["species_name", "x", "y"]).select("species_name").distinct()
+        single = anti_join(tiles, twice, ["species_name"])
         seen = single.groupBy("species_name").agg(F.avg((F.col("rel_abundance") == 0).cast("int")).alias("z")).where("z < 1")
         return semi_join(single, seen, ["species_name"])
 

@@ -153,8 +153,8 @@ BW = "CASE WHEN LEAST(sd, CASE WHEN iqr / 1.34 > 0 THEN iqr / 1.34 END) > 0 THEN
 WITH s AS (SELECT species_name, n, lo, hi, 0.9 * ({BW}) * pow(n, -0.2) AS bw FROM (
     SELECT species_name, COUNT(*) AS n, MIN(rel_abundance) AS lo, MAX(rel_abundance) AS hi, stddev_samp(rel_abundance) AS sd,
       quantile_cont(rel_abundance, 0.75) - quantile_cont(rel_abundance, 0.25) AS iqr FROM tiles_ok GROUP BY 1)),
-at AS (SELECT t.species_name, n, lo, hi, bw, COALESCE((rel_abundance - lo) / NULLIF((hi - lo) / 511, 0), 0) AS p FROM tiles_ok t JOIN s USING (species_name)),
-halves AS (SELECT *, LEAST(FLOOR(p), 510) AS lft FROM at),
+places AS (SELECT t.species_name, n, lo, hi, bw, COALESCE((rel_abundance - lo) / NULLIF((hi - lo) / 511, 0), 0) AS p FROM tiles_ok t JOIN s USING (species_name)),
+halves AS (SELECT *, LEAST(FLOOR(p), 510) AS lft FROM places),
 mass AS (SELECT species_name, n, lo, hi, bw, lft AS node, 1 - (p - lft) AS w FROM halves
   UNION ALL SELECT species_name, n, lo, hi, bw, lft + 1, p - lft FROM halves),
 nodes AS (SELECT species_name, n, lo, hi, bw, node, SUM(w) AS w FROM mass GROUP BY ALL)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "obsframe") -> SparkSession:
@@ -49,6 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/obsframe-{name}-{uuid.uuid4().hex}"
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` plus the row count, which is observed while the rows are written."""
+    seen = Observation()
+    path = scratch_path(df.sparkSession, "step")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table once below the shared folder and go on from the files.
 
