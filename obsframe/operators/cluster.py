@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -21,9 +21,9 @@ KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 def vectors(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """``(ids…, x ARRAY, features VECTOR)``."""
-    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    return df.select(*ids, x.alias("x")).withColumn("features", array_to_vector("x"))
+    """``(ids…, point ARRAY, features VECTOR)``."""
+    point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    return df.select(*ids, point.alias("point")).withColumn("features", array_to_vector("point"))
 
 
 def _squares(a: Column, b: Column) -> Column:
@@ -32,7 +32,7 @@ def _squares(a: Column, b: Column) -> Column:
 
 def total_ss(vec: DataFrame, dims: int) -> float:
     """Total sum of squares: per column variance · (n - 1)."""
-    row = vec.agg(F.count(F.lit(1)).alias("n"), *[F.var_samp(F.col("x")[i]).alias(f"v{i}") for i in range(dims)]).first()
+    row = vec.agg(F.count(F.lit(1)).alias("n"), *[F.var_samp(F.col("point")[i]).alias(f"v{i}") for i in range(dims)]).first()
     return sum((row[f"v{i}"] or 0.0) for i in range(dims)) * max(row["n"] - 1, 0)
 
 
@@ -86,24 +86,28 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # -- k-means ---------------------------------------------------------------------------------
 
+def _best_kmeans(vec: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
+    runs = [KMeans(k=k, seed=seed + i, maxIter=50, tol=1e-6).fit(vec) for i in range(starts)]
+    return min(runs, key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(vec: DataFrame, k: int, seed: int = 1234, starts: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(assigned, centres)``: the input with ``cluster`` (1..k) and ``d2`` to its centre, and
     ``(cluster, centre ARRAY)``. ``k = 1`` is the column means; otherwise the best of
     ``starts`` seeded runs."""
     spark = vec.sparkSession
     if k == 1:
-        dims = len(vec.select("x").first()[0])
-        mean = vec.agg(*[F.avg(F.col("x")[i]).alias(str(i)) for i in range(dims)]).first()
+        dims = len(vec.select("point").first()[0])
+        mean = vec.agg(*[F.avg(F.col("point")[i]).alias(str(i)) for i in range(dims)]).first()
         centres = [[float(v) for v in mean]]
         labelled = vec.withColumn("cluster", F.lit(1))
     else:
-        runs = [KMeans(k=k, seed=seed + i, maxIter=50, tol=1e-6).fit(vec) for i in range(starts)]
-        model = min(runs, key=lambda m: m.summary.trainingCost)
+        model = _best_kmeans(vec, k, seed, starts)
         centres = [[float(v) for v in c] for c in model.clusterCenters()]
         labelled = model.transform(vec).withColumn("cluster", F.col("prediction") + 1).drop("prediction")
     table = spark.createDataFrame([(i + 1, c) for i, c in enumerate(centres)], "cluster int, centre array<double>")
     # k rows, fixed by the argument
-    assigned = labelled.join(F.broadcast(table), "cluster").withColumn("d2", _squares(F.col("x"), F.col("centre")))
+    assigned = labelled.join(F.broadcast(table), "cluster").withColumn("d2", _squares(F.col("point"), F.col("centre")))
     return assigned.drop("centre"), table
 
 
@@ -123,18 +127,30 @@ def kmeans_sweep(df: DataFrame, ids: Sequence[str], features: Sequence[str], ks:
                  starts: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(summaries, assignments)`` for several k: one row per k, and the ids with (k, cluster).
 
-    The vectors are kept in memory and on disk over the fits; each fit is a distributed job.
+    The vectors are kept over the fits, each of which is a distributed job; the labels of all
+    fits are then read off in one pass.
     """
+    spark = df.sparkSession
     vec = vectors(df, ids, features).persist(KEEP)
     totss = total_ss(vec, len(features))
-    summaries, assignments = None, None
+    labelled, centres = vec, []
     for k in ks:
-        assigned, _ = kmeans(vec, k, seed, starts)
-        s = fit_summary(assigned, totss).withColumn("k", F.lit(k))
-        a = assigned.select(*ids, "cluster").withColumn("k", F.lit(k))
-        summaries = s if summaries is None else summaries.unionByName(s)
-        assignments = a if assignments is None else assignments.unionByName(a)
-    return summaries, assignments
+        if k == 1:
+            row = vec.agg(*[F.avg(F.col("point")[i]).alias(str(i)) for i in range(len(features))]).first()
+            labelled = labelled.withColumn("1", F.lit(0))
+            centres.append((1, 0, [float(v) for v in row]))
+            continue
+        model = _best_kmeans(vec, k, seed, starts)
+        labelled = model.setPredictionCol(str(k)).transform(labelled)
+        centres += [(k, i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    # as many rows as the requested k sum up to
+    table = F.broadcast(spark.createDataFrame(centres, "k int, cluster int, centre array<double>"))
+    long = labelled.drop("features").unpivot([*ids, "point"], [str(k) for k in ks], "k", "cluster")
+    long = long.withColumn("k", F.col("k").cast("int")).join(table, ["k", "cluster"])
+    long = long.withColumn("d2", _squares(F.col("point"), F.col("centre")))
+    summaries = long.groupBy("k").agg(F.sum("d2").alias("tot_withinss")).select(
+        "k", F.lit(totss).alias("totss"), "tot_withinss", (F.lit(totss) - F.col("tot_withinss")).alias("betweenss"))
+    return summaries, long.select(*ids, "k", (F.col("cluster") + 1).alias("cluster"))
 
 
 def cluster_profile(wide: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
@@ -196,12 +212,12 @@ def _micro(vec: DataFrame, micro: int, seed: int) -> tuple[np.ndarray, np.ndarra
     """At most ``micro`` weighted centres: the distinct rows when there are that few (then Ward is
     exact), k-means centres otherwise. Returns centres, weights, labelled rows, SS inside."""
     spark = vec.sparkSession
-    distinct = vec.groupBy("x").agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
+    distinct = vec.groupBy("point").agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
     if len(distinct) <= micro:
-        distinct.sort(key=lambda r: r["x"])
-        table = spark.createDataFrame([(r["x"], i) for i, r in enumerate(distinct)], "x array<double>, micro int")
-        labelled = vec.join(F.broadcast(table), "x")
-        return np.array([r["x"] for r in distinct]), np.array([r["n"] for r in distinct]), labelled, 0.0
+        distinct.sort(key=lambda r: r["point"])
+        table = spark.createDataFrame([(r["point"], i) for i, r in enumerate(distinct)], "point array<double>, micro int")
+        labelled = vec.join(F.broadcast(table), "point")
+        return np.array([r["point"] for r in distinct]), np.array([r["n"] for r in distinct]), labelled, 0.0
     assigned, centres = kmeans(vec, micro, seed)
     assigned = assigned.persist(KEEP)
     sums = {r["cluster"]: r for r in cluster_table(assigned, centres).collect()}
@@ -214,7 +230,7 @@ def _micro(vec: DataFrame, micro: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 def ward(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, micro: int = 512,
          seed: int = 1234) -> DataFrame:
-    """Ward clustering (squared-distance form) cut at k: ``(ids…, x, cluster)``.
+    """Ward clustering (squared-distance form) cut at k: ``(ids…, point, cluster)``.
 
     The rows are first condensed on Spark to at most ``micro`` weighted centres; only those meet
     the quadratic merge loop. Labels run from the largest cluster (1) down.
@@ -227,7 +243,7 @@ def ward(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, mic
         size[g] = size.get(g, 0) + int(w)
     rank = {g: i + 1 for i, g in enumerate(sorted(size, key=lambda g: (-size[g], g)))}
     table = df.sparkSession.createDataFrame([(i, rank[g]) for i, g in enumerate(groups)], "micro int, cluster int")
-    return labelled.join(F.broadcast(table), "micro").select(*ids, "x", "cluster")
+    return labelled.join(F.broadcast(table), "micro").select(*ids, "point", "cluster")
 
 
 def ward_wss(df: DataFrame, features: Sequence[str], k_max: int = 20, micro: int = 512, seed: int = 1234) -> DataFrame:
@@ -244,7 +260,7 @@ def within_ss(assigned: DataFrame, dims: int) -> DataFrame:
     """``(cluster, members, sse)`` of any labelled vectors."""
     sums = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("members"),
-        F.array(*[F.coalesce(F.var_pop(F.col("x")[i]), F.lit(0.0)) for i in range(dims)]).alias("v"))
+        F.array(*[F.coalesce(F.var_pop(F.col("point")[i]), F.lit(0.0)) for i in range(dims)]).alias("v"))
     return sums.select("cluster", "members", (F.aggregate("v", F.lit(0.0), lambda s, v: s + v) * F.col("members")).alias("sse"))
 
 

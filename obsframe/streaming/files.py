@@ -57,7 +57,9 @@ def map_chunks(stream: DataFrame, fn: Callable[[DataFrame, int], DataFrame], out
 
 def daily_sums(stream: DataFrame, ts: str, value: str, late: str = "30 days", key: str | None = None) -> DataFrame:
     """Sum and row count per day, on a stream (with a watermark) or a table."""
-    timed = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if stream.isStreaming:
+        timed = timed.withWatermark(ts, late)
     return timed.groupBy(F.window(ts, "1 day").alias("w"), *([key] if key else [])).agg(
         F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")).select(
         F.to_date("w.start").alias("day"), *([key] if key else []), "total", "n")
