@@ -7,12 +7,13 @@ a reliable checkpoint each round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_counted, cut_lineage
+from ..session import cut_counted, cut_lineage, cut_observed
 from .ordered import row_number
 
 
@@ -112,24 +113,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al. 2014): a logarithmic number in
     practice, each two aggregations for minima and joins, so a hub is never one task's list.
     """
-    cur = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    down = edges.where(F.col("src") != F.col("dst")).select(
+        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    cur = cut_lineage(down.distinct())
     nodes = cut_lineage(endpoints(edges))
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")]
     seen = None
     for _ in range(max_rounds):
+        # edges always point from the larger to the smaller node and are distinct
+        both = F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
+                                 F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
+        sym = cur.select(both.alias("e")).select("e.*")
         # large star: every larger neighbour of u is linked to u's smallest neighbour (or u itself)
-        sym = symmetric(cur)
-        low = sym.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("m", "src").alias("m"))
-        large = (sym.where(F.col("dst") > F.col("src")).join(low, "src")
-                 .select(F.col("dst").alias("src"), F.col("m").alias("dst")).where(F.col("src") != F.col("dst")).distinct())
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = sym.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
         # small star: u and its smaller neighbours are linked to the smallest of them
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-        low = down.groupBy("src").agg(F.min("dst").alias("m"))
-        small = (down.join(low, "src").select(F.explode(F.array(
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = (large.join(least, "src").select(F.explode(F.array(
             F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")),
             F.struct(F.col("src").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*")
             .where(F.col("src") != F.col("dst")).distinct())
-        cur = cut_lineage(small)
-        state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        cur, state = cut_observed(small, *mark)
         if state == seen:
             break
         seen = state
@@ -192,14 +196,72 @@ def label_propagation(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     return lab
 
 
-def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+BROADCAST_EDGES = 100_000
+
+
+def _brandes_from(sources: Iterable, near: dict) -> Iterator[tuple]:
+    """Brandes from each source over an adjacency that fits a broadcast: ``("f", v, w, flow)`` per
+    edge used and ``("r", node, source, 0)`` per node reached."""
+    for s in sources:
+        sigma, depth, order = {s: 1.0}, {s: 0}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w], sigma[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            yield "r", w, s, 0.0
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    flow = sigma[v] / sigma[w] * (1 + delta[w])
+                    delta[v] += flow
+                    yield "f", min(v, w), max(v, w), flow
+
+
+def _brandes_broadcast(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pass for a graph of at most ``BROADCAST_EDGES`` edges: every task holds the adjacency
+    and works on its share of the sources, so it is one job."""
+    spark = adj.sparkSession
+    near: dict = {}
+    for row in adj.orderBy("src", "dst").collect():  # size checked by the caller
+        near.setdefault(row["src"], []).append(row["dst"])
+    shared = spark.sparkContext.broadcast(near)
+    kind = adj.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pd.DataFrame(_brandes_from(pdf["s"], shared.value), columns=["kind", "a", "b", "flow"])
+            # sums and minima per batch: a task hands on at most one row per edge and per node
+            yield rows[rows.kind == "f"].groupby(["kind", "a", "b"], as_index=False)["flow"].sum()
+            yield rows[rows.kind == "r"].groupby(["kind", "a"], as_index=False).agg({"b": "min", "flow": "first"})
+
+    sources = adj.select(F.col("src").alias("s")).distinct()
+    out = cut_lineage(spread_sources(sources).mapInPandas(run, f"kind string, a {kind}, b {kind}, flow double"))
+    between = out.where("kind = 'f'").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(
+        (F.sum("flow") / 2).alias("betweenness"))
+    reached = out.where("kind = 'r'").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("group"))
+    return between, reached
+
+
+def spread_sources(sources: DataFrame) -> DataFrame:
+    return sources.repartition(sources.sparkSession.sparkContext.defaultParallelism)
+
+
+def _brandes(adj: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Edge betweenness and ``(name, group)`` components, from ``n`` directed copies of edges."""
+    return _brandes_broadcast(adj) if n <= 2 * BROADCAST_EDGES else _brandes_levels(adj)
+
+
+def _brandes_levels(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One level-synchronous Brandes pass from every source at once: the edge betweenness, and
     ``(name, group)`` with the smallest source that reaches each node (its component).
 
     The frontier is a table of (source, node) with path counts, grown level by level; then the
     dependencies are summed back level by level. Every level is written once.
     """
-    adj = cut_lineage(symmetric(edges))
     frontier = cut_lineage(adj.select(F.col("src").alias("s"), F.col("src").alias("v")).distinct()
                            .withColumn("sigma", F.lit(1.0)))
     levels = [frontier]
@@ -228,8 +290,8 @@ def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         delta = back.groupBy("s", "v").agg(F.sum("flow").alias("delta"))
     reached = visited.groupBy(F.col("v").alias("name")).agg(F.min("s").alias("group"))
     if not flows:
-        kind = edges.schema["src"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, betweenness double"), reached
+        kind = adj.schema["src"].dataType.simpleString()
+        return adj.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, betweenness double"), reached
     every = flows[0]
     for f in flows[1:]:
         every = every.unionByName(f)
@@ -240,7 +302,7 @@ def _brandes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """``(src, dst, betweenness)`` of an undirected, unweighted graph."""
-    return _brandes(edges)[0]
+    return _brandes(*cut_counted(symmetric(edges)))[0]
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
@@ -264,25 +326,27 @@ def edge_betweenness_communities(edges: DataFrame) -> DataFrame:
     """
     base = cut_lineage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
                        .where(F.col("src") != F.col("dst")).distinct())
-    nodes = cut_lineage(endpoints(base))
-    cur, best, best_q, parts = base, None, None, -1
+    nodes, n_nodes = cut_counted(endpoints(base))
+    adj, n_adj = cut_counted(symmetric(base))
+    best, best_q, parts = None, None, -1
     while True:
-        between, comp = _brandes(cur)
-        # nodes without an edge left are groups of their own
-        comp = comp.withColumnRenamed("name", "__n")
-        groups = nodes.join(comp, F.col("name") == F.col("__n"), "left").select(
-            "name", F.coalesce("group", "name").alias("group"))
+        between, comp = _brandes(adj, n_adj)
         top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
-        n = groups.agg(F.countDistinct("group")).first()[0]
+        have = comp.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("group").alias("groups")).first()
+        # nodes without an edge left are groups of their own
+        n = have["groups"] + n_nodes - have["nodes"]
         if n != parts:
             parts = n
-            groups = cut_lineage(groups)
+            own = comp.withColumnRenamed("name", "__n")
+            groups = cut_lineage(nodes.join(own, F.col("name") == F.col("__n"), "left").select(
+                "name", F.coalesce("group", "name").alias("group")))
             q = modularity(base, groups)
             if best_q is None or q > best_q + 1e-12:
                 best, best_q = groups, q
         if top is None:
             return best
-        cur = cut_lineage(cur.where(~((F.col("src") == top["src"]) & (F.col("dst") == top["dst"]))))
+        cut = F.col("src").isin(top["src"], top["dst"]) & F.col("dst").isin(top["src"], top["dst"])
+        adj, n_adj = cut_counted(adj.where(~cut))
 
 
 def bfs_forest(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .registry import query, r
+from .registry import R, query, r
 
 LEVELS = ["class", "ord", "family_com_name"]
 HIERARCHY = """h AS (SELECT DISTINCT class AS src, ord AS dst, 0 AS level FROM taxonomy
@@ -69,12 +69,36 @@ def _(t):
     return G.ego_edges(t.pairs.withColumnsRenamed({"item1": "src", "item2": "dst"}), ["Brand#4", "Brand#7"], both_ends=False)
 
 
-@query("g08_authority")
+AUTHORITY_ROUNDS = 60
+
+
+def authority_sql() -> str:
+    """Power iteration written out round by round."""
+    steps = ["a AS (SELECT item1 AS src, item2 AS dst FROM phi WHERE abs(correlation) > 0.005)",
+             "s0 AS MATERIALIZED (SELECT src AS name, CAST(1 AS DOUBLE) AS s FROM a GROUP BY 1)"]
+    for i in range(1, AUTHORITY_ROUNDS + 1):
+        steps.append(f"t{i} AS MATERIALIZED (SELECT dst AS name, SUM(s) AS s FROM a JOIN s{i - 1} ON src = name GROUP BY 1)")
+        steps.append(f"s{i} AS MATERIALIZED (SELECT name, s / (SELECT MAX(s) FROM t{i}) AS s FROM t{i})")
+    last = f"s{AUTHORITY_ROUNDS}"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT name, {R('s', 4)} AS centrality FROM {last} WHERE s > 0.01"
+
+
+@query("g08_authority", ("phi",), authority_sql())
 def _(t):
-    return G.authority(t.strong).withColumn("centrality", r("centrality")).where(F.col("centrality") > 0.01)
+    e = t.phi.where((F.col("item1") < F.col("item2")) & (F.abs("correlation") > 0.005))
+    c = G.authority(e.select(F.col("item1").alias("src"), F.col("item2").alias("dst")))
+    return c.where(F.col("centrality") > 0.01).withColumn("centrality", r("centrality", 4))
 
 
-@query("g09_edge_betweenness")
+@query("g09_edge_betweenness", ("strong",), f"""
+WITH RECURSIVE b AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong),
+walk AS (SELECT DISTINCT src AS s, src AS v, 0 AS d FROM b UNION SELECT w.s, b.dst, w.d + 1 FROM walk w JOIN b ON w.v = b.src WHERE w.d < 24),
+dist AS (SELECT s, v, MIN(d) AS d FROM walk GROUP BY 1, 2),
+path AS (SELECT s, v, d, CAST([] AS VARCHAR[]) AS used FROM dist WHERE d = 0
+  UNION ALL SELECT p.s, n.v, n.d, list_append(p.used, LEAST(p.v, n.v) || '~' || GREATEST(p.v, n.v))
+  FROM path p JOIN b ON p.v = b.src JOIN dist n ON n.s = p.s AND n.v = b.dst AND n.d = p.d + 1),
+share AS (SELECT unnest(used) AS e, 1.0 / COUNT(*) OVER (PARTITION BY s, v) AS part FROM path WHERE s < v)
+SELECT split_part(e, '~', 1) AS src, split_part(e, '~', 2) AS dst, {R('SUM(part)')} AS betweenness FROM share GROUP BY 1, 2""")
 def _(t):
     return G.edge_betweenness(t.strong).withColumn("betweenness", r("betweenness"))
 
@@ -84,14 +108,33 @@ def _(t):
     return G.edge_betweenness_communities(t.strong)
 
 
-@query("g10_label_propagation")
+def propagation_sql(rounds: int = 20) -> str:
+    steps = ["b AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong)",
+             "l0 AS MATERIALIZED (SELECT DISTINCT src AS name, src AS lab FROM b)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""l{i} AS MATERIALIZED (SELECT name, lab FROM (SELECT name, lab, row_number() OVER (PARTITION BY name ORDER BY COUNT(*) DESC, lab) AS rn
+  FROM (SELECT b.dst AS name, l.lab FROM b JOIN l{i - 1} l ON b.src = l.name UNION ALL SELECT name, lab FROM l{i - 1}) GROUP BY 1, 2) WHERE rn = 1)""")
+    return "WITH " + ",\n".join(steps) + f'\nSELECT name, lab AS "group" FROM l{rounds}'
+
+
+@query("g10_label_propagation", ("strong",), propagation_sql())
 def _(t):
     return G.label_propagation(t.strong)
 
 
-@query("g11_biconnected")
+@query("g11_biconnected", ("strong",), """
+WITH RECURSIVE b AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong),
+nodes AS (SELECT DISTINCT src AS name FROM b),
+reach AS (SELECT c.name AS cut, n.name AS a, n.name AS z FROM nodes c, nodes n WHERE c.name <> n.name
+  UNION SELECT r.cut, r.a, b.dst FROM reach r JOIN b ON r.z = b.src WHERE b.dst <> r.cut),
+ends AS (SELECT src || '|' || dst AS e, src AS v, dst AS o FROM strong UNION ALL SELECT src || '|' || dst, dst, src FROM strong),
+link AS (SELECT x.e AS e1, y.e AS e2 FROM ends x JOIN ends y ON x.v = y.v JOIN reach r ON r.cut = x.v AND r.a = x.o AND r.z = y.o),
+grp AS (SELECT e AS e, e AS o FROM ends UNION SELECT g.e, l.e2 FROM grp g JOIN link l ON g.o = l.e1)
+SELECT split_part(e, '|', 1) AS src, split_part(e, '|', 2) AS dst, MIN(o) AS block FROM grp GROUP BY e""")
 def _(t):
-    return G.biconnected_components(t.strong)
+    d = G.biconnected_components(t.strong)
+    named = d.withColumn("e", F.concat("src", F.lit("|"), "dst"))
+    return named.join(named.groupBy("group").agg(F.min("e").alias("block")), "group").select("src", "dst", "block")
 
 
 @query("g12_roots", ("taxonomy",), f"WITH {HIERARCHY} SELECT DISTINCT src AS name FROM h WHERE src NOT IN (SELECT dst FROM h)")

@@ -225,24 +225,32 @@ def _(t):
     return d.select("species_name", r("mean").alias("mean"), r("sd").alias("sd"), "within_1sd", "within_2sd", "rule_68", "rule_95")
 
 
-@query("m20_loess")
-def _(t):
-    d = t.orders.groupBy(F.unix_date(F.col("o_orderdate").cast("date")).alias("day")).agg(F.sum("o_totalprice").alias("total"))
-    return S.loess(d, "day", "total", 0.1).select(r("x", 4).alias("x"), r("fit", 2).alias("fit"))
+FIT = "(b0*(s2*s4-s3*s3) - s1*(b1*s4-b2*s3) + s2*(b1*s3-b2*s2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))"
 
 
-LOESS_LINE = """WITH d AS (SELECT year(o_orderdate) AS year, CAST(dayofyear(o_orderdate) AS DOUBLE) AS x, CAST(COUNT(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2),
-s AS (SELECT year, COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi FROM d GROUP BY 1),
-p AS (SELECT d.year, g, n, x, y, lo + g * (hi - lo) / 79 AS x0, abs(x - (lo + g * (hi - lo) / 79)) AS dist FROM d JOIN s USING (year), range(0, 80) v(g)),
-k AS (SELECT *, row_number() OVER (PARTITION BY year, g ORDER BY dist, x) AS rn FROM p),
-nb AS (SELECT *, MAX(dist) OVER (PARTITION BY year, g) AS h FROM k WHERE rn <= GREATEST(FLOOR(n * 0.1 + 1e-5), 1)),
+def loess_sql(daily: str) -> str:
+    return f"""WITH d AS ({daily}), s AS (SELECT grp, COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi FROM d GROUP BY 1),
+p AS (SELECT d.grp, g, n, x, y, lo + g * (hi - lo) / 79 AS x0, abs(x - (lo + g * (hi - lo) / 79)) AS dist FROM d JOIN s USING (grp), range(0, 80) v(g)),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, g ORDER BY dist, x) AS rn FROM p),
+nb AS (SELECT *, MAX(dist) OVER (PARTITION BY grp, g) AS h FROM k WHERE rn <= GREATEST(FLOOR(n * 0.1 + 1e-5), 1)),
 w AS (SELECT *, pow(1 - pow(dist / h, 3), 3) AS w, (x - x0) / h AS t FROM nb),
-m AS (SELECT year, g, ANY_VALUE(x0) AS x0, SUM(w) AS s0, SUM(w*t) AS s1, SUM(w*t*t) AS s2, SUM(w*t*t*t) AS s3, SUM(w*t*t*t*t) AS s4,
+m AS (SELECT grp, g, ANY_VALUE(x0) AS x0, SUM(w) AS s0, SUM(w*t) AS s1, SUM(w*t*t) AS s2, SUM(w*t*t*t) AS s3, SUM(w*t*t*t*t) AS s4,
   SUM(w*y) AS b0, SUM(w*y*t) AS b1, SUM(w*y*t*t) AS b2 FROM w GROUP BY 1, 2)"""
 
 
-@query("m20_loess_per_year", (), f"""
-{LOESS_LINE} SELECT year, {R('x0', 4)} AS x, {R('(b0*(s2*s4-s3*s3) - s1*(b1*s4-b2*s3) + s2*(b1*s3-b2*s2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))', 4)} AS fit FROM m""")
+DAYS = """SELECT 0 AS grp, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, SUM(o_totalprice) / 1000 AS y FROM orders GROUP BY 2"""
+
+
+@query("m20_loess", (), f"{loess_sql(DAYS)} SELECT {R('x0', 4)} AS x, {R(FIT, 3)} AS fit FROM m")
+def _(t):
+    d = t.orders.groupBy(F.unix_date(F.col("o_orderdate").cast("date")).alias("day")).agg((F.sum("o_totalprice") / 1000).alias("total"))
+    return S.loess(d, "day", "total", 0.1).select(r("x", 4).alias("x"), r("fit", 3).alias("fit"))
+
+
+YEARS = "SELECT year(o_orderdate) AS grp, CAST(dayofyear(o_orderdate) AS DOUBLE) AS x, CAST(COUNT(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2"
+
+
+@query("m20_loess_per_year", (), f"{loess_sql(YEARS)} SELECT grp AS year, {R('x0', 4)} AS x, {R(FIT, 4)} AS fit FROM m")
 def _(t):
     d = t.orders.groupBy(big(F.year("o_orderdate")).alias("year"), F.dayofyear("o_orderdate").alias("yday")).agg(F.count(F.lit(1)).alias("n"))
     return S.loess(d, "yday", "n", 0.1, ["year"]).select("year", r("x", 4).alias("x"), r("fit", 4).alias("fit"))

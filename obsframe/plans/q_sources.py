@@ -164,7 +164,7 @@ def _(t):
 
 
 @query("s12_cell_table", ("cells",), f"""
-SELECT cell, CAST(week AS STRING) AS layer, {R('-80.5 + ((cell % 50) + 0.5) * 0.04')} AS x, {R('41.25 - (FLOOR(cell / 50) + 0.5) * 0.04')} AS y,
+SELECT cell, CAST(week AS STRING) AS layer, {R('-80.5 + ((cell % 10) + 0.5) * CAST(0.2 AS DOUBLE)')} AS x, {R('41.25 - (FLOOR(cell / 10) + 0.5) * CAST(0.2 AS DOUBLE)')} AS y,
   {R('abundance')} AS value FROM cells""")
 def _(t):
     from .q_spatial import GRID

@@ -12,10 +12,10 @@ from .flows import top_sightings
 from .q_rows import CROSS
 from .registry import R, big, query, r, text
 
-# cells of the weekly table lie on this grid, 50 columns wide
-GRID = X.Grid(left=-80.5, top=41.25, size=0.04, rows=400, cols=50)
-CELL_X = "(-80.5 + (((cell - 1) % 50) + 0.5) * 0.04)"
-CELL_Y = "(41.25 - (FLOOR((cell - 1) / 50) + 0.5) * 0.04)"
+# cells of the weekly table lie on this grid, ten columns wide
+GRID = X.Grid(left=-80.5, top=41.25, size=0.2, rows=400, cols=10)
+CELL_X = "(-80.5 + (((cell - 1) % 10) + 0.5) * CAST(0.2 AS DOUBLE))"
+CELL_Y = "(41.25 - (FLOOR((cell - 1) / 10) + 0.5) * CAST(0.2 AS DOUBLE))"
 
 
 def placed(t):
@@ -75,9 +75,8 @@ def _(t):
 @query("x04_resample_nearest", ("cells",), f"""
 WITH {PLACED}, tgt AS (SELECT i + 1 AS cell, CAST(-80.5 + ((i % 20) + 0.5) * 0.1 AS DOUBLE) AS x, CAST(41.25 - (FLOOR(i / 20) + 0.5) * 0.1 AS DOUBLE) AS y
   FROM range(0, 600) v(i)),
-src AS (SELECT *, CAST(FLOOR((41.25 - y) / 0.04) AS BIGINT) * 50 + CAST(FLOOR((x + 80.5) / 0.04) AS BIGINT) + 1 AS s FROM tgt)
-SELECT t.cell, CAST(p.week AS STRING) AS week, {R('p.abundance')} AS abundance FROM src t JOIN placed p ON p.cell = t.s
-WHERE t.x < -78.5 AND t.y > 41.25 - 16""")
+src AS (SELECT *, CAST(FLOOR((41.25 - y) / 0.2) AS BIGINT) * 10 + CAST(FLOOR((x + 80.5) / 0.2) AS BIGINT) + 1 AS s FROM tgt)
+SELECT t.cell, CAST(p.week AS STRING) AS week, {R('p.abundance')} AS abundance FROM src t JOIN placed p ON p.cell = t.s""")
 def _(t):
     target = X.Grid(left=-80.5, top=41.25, size=0.1, rows=30, cols=20)
     d = X.resample_nearest(placed(t), GRID, PR.LONLAT, target, PR.LONLAT)
@@ -129,8 +128,8 @@ def _(t):
 
 
 @query("x10_rasterize", ("edges",), f"""
-WITH spots AS (SELECT i + 1 AS cell, -80.5 + ((i % 50) + 0.5) * CAST(0.04 AS DOUBLE) AS lng, 41.25 - (FLOOR(i / 50) + 0.5) * CAST(0.04 AS DOUBLE) AS lat
-  FROM range(0, 20000) v(i))
+WITH spots AS (SELECT i + 1 AS cell, -80.5 + ((i % 10) + 0.5) * CAST(0.2 AS DOUBLE) AS lng, 41.25 - (FLOOR(i / 10) + 0.5) * CAST(0.2 AS DOUBLE) AS lat
+  FROM range(0, 4000) v(i))
 SELECT s.cell, e.name FROM spots s JOIN edges e ON {CROSS} GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1""")
 def _(t):
     return X.rasterize(t.regions, GRID).select("cell", "name")
@@ -150,9 +149,10 @@ def _(t):
 
 
 def region_one(t):
-    """The first nation's outline, by name."""
-    first = t.nation.agg(F.min("n_name")).scalar()
-    return t.regions.where(F.col("name") == first)
+    """One nation's outline."""
+    last = t.nation.agg(F.max("n_nationkey")).scalar()
+    name = t.nation.where(F.col("n_nationkey") == last).select(F.col("n_name").alias("name"))
+    return t.regions.join(name, "name", "left_semi")
 
 
 @query("x13_region_cells")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,12 +50,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/obsframe-{name}-{uuid.uuid4().hex}"
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut_lineage`` plus the row count, which is observed while the rows are written."""
+def cut_observed(df: DataFrame, *aggs: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` plus aggregates that are observed while the rows are written."""
     seen = Observation()
     path = scratch_path(df.sparkSession, "step")
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    df.observe(seen, *aggs).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    out, seen = cut_observed(df, F.count(F.lit(1)).alias("n"))
+    return out, int(seen["n"])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
