@@ -201,58 +201,57 @@ BROADCAST_EDGES = 100_000
 
 def _brandes_from(sources: Iterable, near: dict) -> Iterator[tuple]:
     """Brandes from each source over an adjacency that fits a broadcast: ``("f", v, w, flow)`` per
-    edge used and ``("r", node, source, 0)`` per node reached."""
+    edge used, and ``("r", node, source, flag)`` per node reached; the flag is 1 once per component,
+    at its smallest node."""
     for s in sources:
         sigma, depth, order = {s: 1.0}, {s: 0}, [s]
         for v in order:
-            for w in near[v]:
+            for w in near.get(v, ()):
                 if w not in depth:
                     depth[w], sigma[w] = depth[v] + 1, 0.0
                     order.append(w)
                 if depth[w] == depth[v] + 1:
                     sigma[w] += sigma[v]
+        smallest = min(order)
         delta = dict.fromkeys(order, 0.0)
         for w in reversed(order):
-            yield "r", w, s, 0.0
-            for v in near[w]:
+            yield "r", w, s, float(w == s == smallest)
+            for v in near.get(w, ()):
                 if depth[v] == depth[w] - 1:
                     flow = sigma[v] / sigma[w] * (1 + delta[w])
                     delta[v] += flow
                     yield "f", min(v, w), max(v, w), flow
 
 
-def _brandes_broadcast(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pass for a graph of at most ``BROADCAST_EDGES`` edges: every task holds the adjacency
-    and works on its share of the sources, so it is one job."""
-    spark = adj.sparkSession
+def _adjacency(adj: DataFrame) -> dict:
+    """Neighbour lists of a graph whose edges were counted against ``BROADCAST_EDGES``."""
     near: dict = {}
-    for row in adj.orderBy("src", "dst").collect():  # size checked by the caller
+    for row in adj.orderBy("src", "dst").collect():
         near.setdefault(row["src"], []).append(row["dst"])
+    return near
+
+
+def _brandes_broadcast(sources: DataFrame, near: dict) -> tuple[DataFrame, DataFrame, int]:
+    """The pass for a small graph: every task holds the adjacency and works on its share of the
+    sources, so it is one job. Also returns the number of components."""
+    spark = sources.sparkSession
     shared = spark.sparkContext.broadcast(near)
-    kind = adj.schema["src"].dataType.simpleString()
+    kind = sources.schema["name"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pd.DataFrame(_brandes_from(pdf["s"], shared.value), columns=["kind", "a", "b", "flow"])
+            rows = pd.DataFrame(_brandes_from(pdf["name"], shared.value), columns=["kind", "a", "b", "flow"])
             # sums and minima per batch: a task hands on at most one row per edge and per node
             yield rows[rows.kind == "f"].groupby(["kind", "a", "b"], as_index=False)["flow"].sum()
-            yield rows[rows.kind == "r"].groupby(["kind", "a"], as_index=False).agg({"b": "min", "flow": "first"})
+            yield rows[rows.kind == "r"].groupby(["kind", "a"], as_index=False).agg({"b": "min", "flow": "sum"})
 
-    sources = adj.select(F.col("src").alias("s")).distinct()
-    out = cut_lineage(spread_sources(sources).mapInPandas(run, f"kind string, a {kind}, b {kind}, flow double"))
+    spread = sources.repartition(spark.sparkContext.defaultParallelism)
+    parts = F.sum(F.when(F.col("kind") == "r", F.col("flow")).otherwise(0.0)).alias("n")
+    out, seen = cut_observed(spread.mapInPandas(run, f"kind string, a {kind}, b {kind}, flow double"), parts)
     between = out.where("kind = 'f'").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(
         (F.sum("flow") / 2).alias("betweenness"))
     reached = out.where("kind = 'r'").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("group"))
-    return between, reached
-
-
-def spread_sources(sources: DataFrame) -> DataFrame:
-    return sources.repartition(sources.sparkSession.sparkContext.defaultParallelism)
-
-
-def _brandes(adj: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Edge betweenness and ``(name, group)`` components, from ``n`` directed copies of edges."""
-    return _brandes_broadcast(adj) if n <= 2 * BROADCAST_EDGES else _brandes_levels(adj)
+    return between, reached, int(seen["n"] or 0)
 
 
 def _brandes_levels(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +301,10 @@ def _brandes_levels(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """``(src, dst, betweenness)`` of an undirected, unweighted graph."""
-    return _brandes(*cut_counted(symmetric(edges)))[0]
+    adj, n = cut_counted(symmetric(edges))
+    if n <= 2 * BROADCAST_EDGES:
+        return _brandes_broadcast(endpoints(adj), _adjacency(adj))[0]
+    return _brandes_levels(adj)[0]
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
@@ -328,13 +330,16 @@ def edge_betweenness_communities(edges: DataFrame) -> DataFrame:
                        .where(F.col("src") != F.col("dst")).distinct())
     nodes, n_nodes = cut_counted(endpoints(base))
     adj, n_adj = cut_counted(symmetric(base))
+    near = _adjacency(adj) if n_adj <= 2 * BROADCAST_EDGES else None
     best, best_q, parts = None, None, -1
     while True:
-        between, comp = _brandes(adj, n_adj)
-        top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
-        have = comp.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("group").alias("groups")).first()
-        # nodes without an edge left are groups of their own
-        n = have["groups"] + n_nodes - have["nodes"]
+        if near is not None:
+            between, comp, n = _brandes_broadcast(nodes, near)
+        else:
+            between, comp = _brandes_levels(adj)
+            have = comp.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("group").alias("groups")).first()
+            # nodes without an edge left are groups of their own
+            n = have["groups"] + n_nodes - have["nodes"]
         if n != parts:
             parts = n
             own = comp.withColumnRenamed("name", "__n")
@@ -343,10 +348,15 @@ def edge_betweenness_communities(edges: DataFrame) -> DataFrame:
             q = modularity(base, groups)
             if best_q is None or q > best_q + 1e-12:
                 best, best_q = groups, q
+        top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
         if top is None:
             return best
-        cut = F.col("src").isin(top["src"], top["dst"]) & F.col("dst").isin(top["src"], top["dst"])
-        adj, n_adj = cut_counted(adj.where(~cut))
+        if near is not None:
+            near[top["src"]].remove(top["dst"])
+            near[top["dst"]].remove(top["src"])
+        else:
+            cut = F.col("src").isin(top["src"], top["dst"]) & F.col("dst").isin(top["src"], top["dst"])
+            adj = cut_lineage(adj.where(~cut))
 
 
 def bfs_forest(edges: DataFrame) -> DataFrame:
