@@ -55,10 +55,14 @@ def map_chunks(stream: DataFrame, fn: Callable[[DataFrame, int], DataFrame], out
     return spark.read.parquet(out)
 
 
-def daily_sums(stream: DataFrame, ts: str, value: str, late: str = "30 days", key: str | None = None) -> DataFrame:
-    """Sum and row count per day, on a stream (with a watermark) or a table."""
+def daily_sums(stream: DataFrame, ts: str, value: str, late: str | None = None, key: str | None = None) -> DataFrame:
+    """Sum and row count per day, on a stream or a table.
+
+    Without ``late`` every row counts, however late it comes. With it, a stream forgets days
+    older than that, which bounds its state but leaves out rows that come later still.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    if stream.isStreaming:
+    if stream.isStreaming and late:
         timed = timed.withWatermark(ts, late)
     return timed.groupBy(F.window(ts, "1 day").alias("w"), *([key] if key else [])).agg(
         F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")).select(
