@@ -147,11 +147,13 @@ def density_2d(df: DataFrame, x: str, y: str, points: int = 25, nodes: int = 128
         F.col("x").isNotNull() & F.col("y").isNotNull())
 
     def axis(name):
+        """n, range and bandwidth of one axis: four numbers, looked up first and used as constants."""
         s = _spread(rows, [], name)
         h = 1.06 * _narrow(F.col("sd"), F.col("iqr")) * F.pow(F.col("n"), F.lit(-0.2))
-        return s.select(F.struct("n", "lo", "hi", h.alias("h"))).scalar()
+        found = s.select("n", "lo", "hi", h.alias("h")).first()
+        return {c: F.lit(found[c]) for c in ("n", "lo", "hi", "h")}
 
-    rows = rows.withColumn("ax", axis("x")).withColumn("ay", axis("y"))
+    ax, ay = axis("x"), axis("y")
 
     def split(v, a):
         at = F.coalesce(F.try_divide(v - a["lo"], (a["hi"] - a["lo"]) / (nodes - 1)), F.lit(0.0))
@@ -159,10 +161,10 @@ def density_2d(df: DataFrame, x: str, y: str, points: int = 25, nodes: int = 128
         return F.array(F.struct(left.alias("i"), (1 - (at - left)).alias("w")),
                        F.struct((left + 1).alias("i"), (at - left).alias("w")))
 
-    mass = (rows.select("ax", "ay", split(F.col("x"), F.col("ax")).alias("px"), split(F.col("y"), F.col("ay")).alias("py"))
-            .select("ax", "ay", F.explode("px").alias("px"), "py")
-            .select("ax", "ay", "px", F.explode("py").alias("py"))
-            .groupBy("ax", "ay", F.col("px.i").alias("i"), F.col("py.i").alias("j"))
+    mass = (rows.select(split(F.col("x"), ax).alias("px"), split(F.col("y"), ay).alias("py"))
+            .select(F.explode("px").alias("px"), "py")
+            .select("px", F.explode("py").alias("py"))
+            .groupBy(F.col("px.i").alias("i"), F.col("py.i").alias("j"))
             .agg(F.sum(F.col("px.w") * F.col("py.w")).alias("w")))
 
     def kernel(a, node, g):
@@ -171,10 +173,9 @@ def density_2d(df: DataFrame, x: str, y: str, points: int = 25, nodes: int = 128
         return F.exp(-0.5 * F.pow((place - centre) / a["h"], F.lit(2))) / (a["h"] * math.sqrt(2 * math.pi))
 
     steps = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    ax, ay = F.col("ax"), F.col("ay")
-    by_x = (mass.withColumn("gx", steps).groupBy("ax", "ay", "gx", "j")
+    by_x = (mass.withColumn("gx", steps).groupBy("gx", "j")
             .agg(F.sum(F.col("w") * kernel(ax, F.col("i"), F.col("gx"))).alias("s")))
-    by_xy = (by_x.withColumn("gy", steps).groupBy("ax", "ay", "gx", "gy")
+    by_xy = (by_x.withColumn("gy", steps).groupBy("gx", "gy")
              .agg(F.sum(F.col("s") * kernel(ay, F.col("j"), F.col("gy"))).alias("s")))
 
     def place(a, g):

@@ -1,6 +1,7 @@
 """Clustering and dimension reduction on Spark ML.
 
-Input is a wide table; ``ids`` are carried along, ``features`` are the numeric columns.
+Input is a wide table; ``ids`` are carried along, ``features`` are the numeric columns. The
+feature vectors are written once before a fit, so no iteration goes back to their source.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +17,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEEP = StorageLevel.MEMORY_AND_DISK
+from ..session import cut_lineage
 
 
 def vectors(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def pca(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int | Non
     spark = df.sparkSession
     features = varying(df, features)
     k = min(k or len(features), len(features))
-    vec = vectors(df, ids, features)
+    vec = cut_lineage(vectors(df, ids, features))
     scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(vec).transform(vec)
     model = PCA(k=k, inputCol="z", outputCol="pc").fit(scaled)
     loadings = model.pc.toArray()
@@ -127,11 +127,10 @@ def kmeans_sweep(df: DataFrame, ids: Sequence[str], features: Sequence[str], ks:
                  starts: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(summaries, assignments)`` for several k: one row per k, and the ids with (k, cluster).
 
-    The vectors are kept over the fits, each of which is a distributed job; the labels of all
-    fits are then read off in one pass.
+    Each fit is a distributed job; the labels of all fits are then read off in one pass.
     """
     spark = df.sparkSession
-    vec = vectors(df, ids, features).persist(KEEP)
+    vec = cut_lineage(vectors(df, ids, features))
     totss = total_ss(vec, len(features))
     labelled, centres = vec, []
     for k in ks:
@@ -219,7 +218,7 @@ def _micro(vec: DataFrame, micro: int, seed: int) -> tuple[np.ndarray, np.ndarra
         labelled = vec.join(F.broadcast(table), "point")
         return np.array([r["point"] for r in distinct]), np.array([r["n"] for r in distinct]), labelled, 0.0
     assigned, centres = kmeans(vec, micro, seed)
-    assigned = assigned.persist(KEEP)
+    assigned = cut_lineage(assigned)
     sums = {r["cluster"]: r for r in cluster_table(assigned, centres).collect()}
     used = sorted(c for c, r in sums.items() if r["size"] > 0)
     number = spark.createDataFrame([(c, i) for i, c in enumerate(used)], "cluster int, micro int")
@@ -235,7 +234,7 @@ def ward(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, mic
     The rows are first condensed on Spark to at most ``micro`` weighted centres; only those meet
     the quadratic merge loop. Labels run from the largest cluster (1) down.
     """
-    vec = vectors(df, ids, features).persist(KEEP)
+    vec = cut_lineage(vectors(df, ids, features))
     centres, weights, labelled, _ = _micro(vec, micro, seed)
     groups = _cut(len(centres), _ward_merges(centres, weights), min(k, len(centres)))
     size: dict[int, int] = {}
@@ -248,7 +247,7 @@ def ward(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, mic
 
 def ward_wss(df: DataFrame, features: Sequence[str], k_max: int = 20, micro: int = 512, seed: int = 1234) -> DataFrame:
     """``(clusters, wss)`` for cuts 1..k_max: SS inside the centres plus the merge costs paid."""
-    vec = vectors(df, [], features).persist(KEEP)
+    vec = cut_lineage(vectors(df, [], features))
     centres, weights, _, inside = _micro(vec, micro, seed)
     costs = [c for _, _, c in _ward_merges(centres, weights)]
     n = len(centres)
@@ -275,7 +274,7 @@ def gaussian_mixture(df: DataFrame, ids: Sequence[str], features: Sequence[str],
     """
     spark = df.sparkSession
     _, _, scores = pca(df, ids, features, components)
-    data = scores.withColumnRenamed("pc", "features").persist(KEEP)
+    data = cut_lineage(scores.withColumnRenamed("pc", "features"))
     model = GaussianMixture(k=g, seed=seed, maxIter=100, tol=1e-4).fit(data)
     post = vector_to_array("probability")
     classified = model.transform(data).select(

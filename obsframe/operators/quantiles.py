@@ -32,25 +32,24 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
 
-    def sketch(p):
-        return F.percentile_approx("__v", p, ACCURACY)
-
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("i"), sketch(max(0.0, p - MARGIN)).alias("lo"), sketch(min(1.0, p + MARGIN)).alias("hi"))
-        for i, p in enumerate(probs)
-    ])
+    edges = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketch = F.percentile_approx("__v", edges, ACCURACY)  # one sketch for all targets
     if keys:
-        brackets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), targets.alias("__t"))
-        b = brackets.withColumnsRenamed({k: f"__b_{k}" for k in keys})
+        b = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("__e")).withColumnsRenamed(
+            {k: f"__b_{k}" for k in keys})
         joined = rows.join(b, _join_on(keys, "__b_")).drop(*[f"__b_{k}" for k in keys])
     else:
-        one = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), targets.alias("t")).alias("s")).scalar()
-        joined = rows.withColumn("__s", one).select("__v", F.col("__s.n").alias("n"), F.col("__s.t").alias("__t"))
+        one = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), sketch.alias("e")).alias("s")).scalar()
+        joined = rows.withColumn("__s", one).select("__v", F.col("__s.n").alias("n"), F.col("__s.e").alias("__e"))
+    targets = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col("__e")[2 * i].alias("lo"), F.col("__e")[2 * i + 1].alias("hi"))
+        for i in range(len(probs))
+    ])
     # one pass: everything below or above a bracket is one partially aggregated row per key and
     # target, what lies inside is one row per distinct value
     side = F.when(F.col("__v") < F.col("__t.lo"), -1).when(F.col("__v") > F.col("__t.hi"), 1).otherwise(0)
     counted = (
-        joined.select(*keys, "n", "__v", F.explode("__t").alias("__t"))
+        joined.select(*keys, "n", "__v", F.explode(targets).alias("__t"))
         .select(*keys, "n", "__v", F.col("__t.i").alias("i"), side.alias("__side"))
         .groupBy(*keys, "i", "__side", F.when(F.col("__side") == 0, F.col("__v")).alias("__at"))
         .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projections import LONLAT, Projection, laea
+from .relational import short_domain
 
 
 # -- geometry tables -------------------------------------------------------------------------
@@ -88,23 +89,20 @@ def transform_polygons(polygons: DataFrame, source: Projection, target: Projecti
 
 # -- point in polygon ------------------------------------------------------------------------
 
-def _strips(polygons: DataFrame, n_strips: int) -> DataFrame:
-    """Per strip the polygons whose edges reach it: ``(strip, shapes)`` plus the strip geometry."""
+def _strips(polygons: DataFrame, g: dict, n_strips: int) -> DataFrame:
+    """Per strip the parts of polygons that reach it: ``(strip, shapes)``. A shape carries its
+    range of x, so a point only looks at polygons that can hold it."""
     e = edges(polygons)
-    one = e.agg(F.struct(F.least(F.min("y1"), F.min("y2")).alias("lo"),
-                         F.greatest(F.max("y1"), F.max("y2")).alias("hi")).alias("s")).scalar()
-    e = e.withColumn("__g", one)
-
-    def strip(v):
-        return strip_of(v, F.col("__g"), n_strips)
-
-    spread = e.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+    wide = e.groupBy("name").agg(F.min("x1").alias("left"), F.max("x1").alias("right"))
+    reach = F.sequence(strip_of(F.least("y1", "y2"), g, n_strips), strip_of(F.greatest("y1", "y2"), g, n_strips))
+    spread = e.withColumn("strip", F.explode(reach))
     per_shape = spread.groupBy("strip", "name").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    return per_shape.groupBy("strip").agg(F.collect_list(F.struct("name", "edges")).alias("shapes"))
+    return per_shape.join(wide, "name").groupBy("strip").agg(
+        F.collect_list(F.struct("name", "left", "right", "edges")).alias("shapes"))
 
 
-def strip_of(v: Column, g: Column, n_strips: int) -> Column:
-    at = F.coalesce(F.try_divide((v - g["lo"]) * n_strips, g["hi"] - g["lo"]), F.lit(0.0))
+def strip_of(v: Column, g: dict, n_strips: int) -> Column:
+    at = F.coalesce(F.try_divide((v - g["lo"]) * n_strips, F.lit(g["hi"] - g["lo"])), F.lit(0.0))
     return F.greatest(F.least(F.floor(at), F.lit(n_strips - 1)), F.lit(0)).cast("int")
 
 
@@ -123,31 +121,50 @@ def _hits(shape: Column, x: Column, y: Column, boundary: bool) -> Column:
     return (odd | on) if boundary else (odd & ~on)
 
 
+def _frame(polygons: DataFrame) -> dict:
+    """The polygons' common box: one row, looked up first so that it can be pushed to the scan."""
+    row = polygon_box(polygons).first()
+    lo, hi, left, right = (0.0 if v is None else v for v in (row["ymin"], row["ymax"], row["xmin"], row["xmax"]))
+    return {"lo": lo, "hi": hi, "left": left, "right": right}
+
+
+def _in_frame(g: dict, x: str, y: str) -> Column:
+    return F.col(y).between(g["lo"], g["hi"]) & F.col(x).between(g["left"], g["right"])
+
+
+def _holding(x: str, y: str, boundary: bool) -> Column:
+    px, py = F.col(x), F.col(y)
+    near = F.filter("shapes", lambda s: px.between(s["left"], s["right"]))
+    return F.transform(F.filter(near, lambda s: _hits(s, px, py, boundary)), lambda s: s["name"])
+
+
 def with_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", boundary: bool = False,
-                  into: str = "inside", n_strips: int = 64) -> DataFrame:
+                  into: str = "inside", n_strips: int = 256) -> DataFrame:
     """Adds the array of names of the polygons that hold each point (empty when none).
 
     ``boundary`` counts points on an edge as inside (intersects); otherwise they are outside
     (within). The strip table grows with the polygons' vertices only; adaptive execution
     broadcasts it when its size allows.
     """
-    e = edges(polygons)
-    g = e.agg(F.struct(F.min("y1").alias("lo"), F.max("y1").alias("hi"),
-                       F.min("x1").alias("left"), F.max("x1").alias("right")).alias("s")).scalar()
-    strips = _strips(polygons, n_strips)
-    in_box = F.col(y).between(F.col("__g.lo"), F.col("__g.hi")) & F.col(x).between(F.col("__g.left"), F.col("__g.right"))
-    pts = points.withColumn("__g", g)
-    # points outside the common box get no strip, so they are not matched at all
-    pts = pts.withColumn("__strip", F.when(in_box, strip_of(F.col(y), F.col("__g"), n_strips))).drop("__g")
-    joined = pts.join(strips, pts["__strip"] == strips["strip"], "left")
-    hit = F.transform(F.filter("shapes", lambda s: _hits(s, F.col(x), F.col(y), boundary)), lambda s: s["name"])
-    return joined.withColumn(into, F.coalesce(hit, F.array().cast("array<string>"))).drop("__strip", "strip", "shapes")
+    g = _frame(polygons)
+    # points outside the common box match no strip; they are spread over negative numbers
+    aside = -1 - F.pmod(F.xxhash64(x, y), F.lit(1024)).cast("int")
+    pts = points.withColumn("__strip", F.when(_in_frame(g, x, y), strip_of(F.col(y), g, n_strips)).otherwise(aside))
+    strips = _strips(polygons, g, n_strips).withColumnRenamed("strip", "__s")
+    joined = pts.join(strips, F.col("__strip") == F.col("__s"), "left")
+    return joined.withColumn(into, F.coalesce(_holding(x, y, boundary), F.array().cast("array<string>"))).drop(
+        "__strip", "__s", "shapes")
 
 
 def points_in(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", boundary: bool = False,
-              n_strips: int = 64) -> DataFrame:
-    """Points that lie in any of the polygons, each once."""
-    return with_polygons(points, polygons, x, y, boundary, "__in", n_strips).where(F.size("__in") > 0).drop("__in")
+              n_strips: int = 256) -> DataFrame:
+    """Points that lie in any of the polygons, each once. The common box is a plain range filter
+    on the points, so it reaches their scan."""
+    g = _frame(polygons)
+    pts = points.where(_in_frame(g, x, y)).withColumn("__strip", strip_of(F.col(y), g, n_strips))
+    strips = _strips(polygons, g, n_strips).withColumnRenamed("strip", "__s")
+    hit = F.size(_holding(x, y, boundary)) > 0
+    return pts.join(strips, F.col("__strip") == F.col("__s")).where(hit).drop("__strip", "__s", "shapes")
 
 
 # -- rasters ---------------------------------------------------------------------------------
@@ -288,8 +305,7 @@ def facet_background(cells: DataFrame, cluster: str, x: str = "x", y: str = "y")
 
     The cluster labels are a short domain (one array), exploded per cell.
     """
-    labels = cells.agg(F.sort_array(F.collect_set(cluster)).alias("a")).scalar()
-    grid = cells.select(x, y).distinct().withColumn("__a", labels).select(x, y, F.explode("__a").alias(cluster))
+    grid = cells.select(x, y).distinct().withColumn("__a", short_domain(cells, cluster)).select(x, y, F.explode("__a").alias(cluster))
     own = cells.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(cluster).alias("__c")).distinct()
     on = (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")) & (F.col(cluster) == F.col("__c"))
     return grid.join(own, on, "left").withColumn("member", F.col("__c").isNotNull()).drop("__x", "__y", "__c")
