@@ -77,9 +77,9 @@ def rotation_wide(rotation: DataFrame, k: int) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Long Pearson matrix ``(a, b, r)``; NULL for constant columns."""
-    vec = vectors(df, [], features)
-    m = Correlation.corr(vec, "features").first()[0].toArray()
-    rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
+    moving = set(varying(df, features))
+    m = Correlation.corr(vectors(df, [], features), "features").first()[0].toArray()
+    rows = [(a, b, float(m[i, j]) if a in moving and b in moving else None)
             for i, a in enumerate(features) for j, b in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 

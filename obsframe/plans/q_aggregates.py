@@ -67,19 +67,19 @@ def _(t):
 
 
 @query("a09_a10_quantiles", ("tiles",), f"""
-SELECT species_name, {R('quantile_cont(rel_abundance, 0.5)')} AS median, {R('quantile_cont(rel_abundance, 0.95)')} AS pct_95,
-  {R('quantile_cont(rel_abundance, 0.99)')} AS pct_99 FROM tiles GROUP BY 1""")
+SELECT species_name, {R('quantile_cont(rel_abundance, 0.5)', 9)} AS median, {R('quantile_cont(rel_abundance, 0.95)', 9)} AS pct_95,
+  {R('quantile_cont(rel_abundance, 0.99)', 9)} AS pct_99 FROM tiles GROUP BY 1""")
 def _(t):
     d = exact_quantiles(t.tiles, ["species_name"], "rel_abundance", {"median": 0.5, "pct_95": 0.95, "pct_99": 0.99})
-    return d.select("species_name", *[r(c).alias(c) for c in ("median", "pct_95", "pct_99")])
+    return d.select("species_name", *[r(c, 9).alias(c) for c in ("median", "pct_95", "pct_99")])
 
 
 @query("a10_quantiles_of_all", (), f"""
-SELECT {R('quantile_cont(l_extendedprice, 0.25)')} AS q25, {R('quantile_cont(l_extendedprice, 0.5)')} AS q50,
-  {R('quantile_cont(l_extendedprice, 0.999)')} AS q999 FROM lineitem""")
+SELECT {R('quantile_cont(l_extendedprice, 0.25)', 9)} AS q25, {R('quantile_cont(l_extendedprice, 0.5)', 9)} AS q50,
+  {R('quantile_cont(l_extendedprice, 0.999)', 9)} AS q999 FROM lineitem""")
 def _(t):
     d = exact_quantiles(t.lineitem, [], "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q999": 0.999})
-    return d.select(*[r(c).alias(c) for c in ("q25", "q50", "q999")])
+    return d.select(*[r(c, 9).alias(c) for c in ("q25", "q50", "q999")])
 
 
 @query("a11_distinct", ("effort",), "SELECT DISTINCT country, state FROM effort")
@@ -126,14 +126,14 @@ def _(t):
 
 @query("a16_box_summary", ("seasonal",), f"""
 WITH q AS (SELECT month_no, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS md, quantile_cont(value, 0.75) AS q3 FROM seasonal GROUP BY 1)
-SELECT s.month_no, {R('ANY_VALUE(q1)')} AS q1, {R('ANY_VALUE(md)')} AS median, {R('ANY_VALUE(q3)')} AS q3,
-  {R('MIN(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)')} AS low,
-  {R('MAX(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)')} AS high,
+SELECT s.month_no, {R('ANY_VALUE(q1)', 9)} AS q1, {R('ANY_VALUE(md)', 9)} AS median, {R('ANY_VALUE(q3)', 9)} AS q3,
+  {R('MIN(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)', 9)} AS low,
+  {R('MAX(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)', 9)} AS high,
   COUNT(CASE WHEN NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) THEN 1 END) AS outliers
 FROM seasonal s JOIN q USING (month_no) GROUP BY 1""")
 def _(t):
     d = A.box_summary(t.seasonal, ["month_no"], "value")
-    return d.select(big("month_no").alias("month_no"), *[r(c).alias(c) for c in ("q1", "median", "q3", "low", "high")], "outliers")
+    return d.select(big("month_no").alias("month_no"), *[r(c, 9).alias(c) for c in ("q1", "median", "q3", "low", "high")], "outliers")
 
 
 @query("a16_box_outliers", (), """

@@ -8,7 +8,7 @@ from ..functions import values as V
 from ..functions.names import clean_names
 from ..operators import reshape as S
 from ..operators.aggregates import rank_by_frequency, rank_by_summary
-from ..operators.relational import semi_join
+from ..operators.relational import semi_join, with_group_stats
 from .flows import scaled_tiles
 from .registry import R, big, query, r, text
 
@@ -295,3 +295,12 @@ def _(t):
     d = scaled_tiles(t.tiles_ok)
     return d.select("species_name", "x", "y", r("scaled").alias("scaled"), r("rescaled").alias("rescaled"),
                     r("rescaled_log10").alias("rescaled_log10"))
+
+
+@query("w11_rescale_cells", ("cells",), f"""
+SELECT cell, CAST(week AS STRING) AS week, {R('CASE WHEN hi = lo THEN 0.5 ELSE (abundance - lo) / (hi - lo) END')} AS rescaled FROM (
+  SELECT *, MIN(abundance) OVER w AS lo, MAX(abundance) OVER w AS hi FROM cells WINDOW w AS (PARTITION BY week))""")
+def _(t):
+    d = with_group_stats(t.cells, ["week"], F.min("abundance").alias("lo"), F.max("abundance").alias("hi"))
+    unit = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise((F.col("abundance") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return d.select("cell", text("week").alias("week"), r(unit).alias("rescaled"))

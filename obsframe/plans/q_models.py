@@ -10,6 +10,7 @@ from ..operators.ordered import lag_change, weighted_sample
 from ..operators.relational import keep_global_extreme, semi_join
 from ..operators.reshape import distinct_values
 from .flows import wide_tiles
+from .q_rows import u_sql
 from .registry import R, big, query, r, text
 
 DIMS = 16
@@ -262,7 +263,13 @@ def _(t):
     return C.correlation_matrix(vectors_wide(t), FEATURES[:8]).withColumn("r", r("r", 5))
 
 
-@query("m21_sampled_pairs")
+@query("m21_sampled_pairs", ("tiles_ok",), f"""
+WITH s AS (SELECT species_name, x, y, log10(1 + CASE WHEN hi = lo THEN 0.5 ELSE (rel_abundance - lo) / (hi - lo) END) AS v FROM (
+    SELECT *, MIN(rel_abundance) OVER w AS lo, MAX(rel_abundance) OVER w AS hi FROM tiles_ok WINDOW w AS (PARTITION BY species_name))),
+k AS (SELECT species_name FROM (SELECT species_name, AVG(rel_abundance) AS m FROM tiles_ok GROUP BY 1)
+  ORDER BY -ln({u_sql('species_name')}) / m, species_name LIMIT 10)
+SELECT a.species_name AS a, b.species_name AS b, CASE WHEN stddev_pop(a.v) > 1e-12 AND stddev_pop(b.v) > 1e-12 THEN {R('corr(a.v, b.v)', 4)} END AS r
+FROM s a JOIN s b USING (x, y) WHERE a.species_name IN (SELECT * FROM k) AND b.species_name IN (SELECT * FROM k) GROUP BY 1, 2""")
 def _(t):
     wide, _ = tile_matrix(t)
     mean = t.tiles_ok.groupBy("species_name").agg(F.avg("rel_abundance").alias("mean"))

@@ -272,8 +272,11 @@ def _(t):
     return semi_join(t.pages, links, ["url"]).select("url", "page_id", big(F.length("html")).alias("n"))
 
 
-@query("h01_first_attribute_fast", (), r"""
-SELECT page_id, CASE WHEN regexp_matches(html, '<a\s(?:[^>]*\s)?href="([^"]*)"') THEN regexp_extract(html, '<a\s(?:[^>]*\s)?href="([^"]*)"', 1) END AS link FROM pages""")
+LINKS = r"""
+SELECT page_id, CASE WHEN regexp_matches(html, '<a\s(?:[^>]*\s)?href="([^"]*)"') THEN regexp_extract(html, '<a\s(?:[^>]*\s)?href="([^"]*)"', 1) END AS link FROM pages"""
+
+
+@query("h01_first_attribute_fast", (), LINKS)
 def _(t):
     return t.pages.select("page_id", extract_attr_fast("html", "a", "href").alias("link"))
 
@@ -283,7 +286,7 @@ def _(t):
     return t.pages.select("page_id", extract_attr("html", [], "img", "src").alias("image"))
 
 
-@query("h01_first_link_parsed")
+@query("h01_first_link_parsed", (), LINKS)
 def _(t):
     return t.pages.select("page_id", extract_attr("html", [], "a", "href").alias("link"))
 

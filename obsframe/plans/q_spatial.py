@@ -155,7 +155,32 @@ def region_one(t):
     return t.regions.join(name, "name", "left_semi")
 
 
-@query("x13_region_cells")
+REGION_SQL = f"""
+WITH {PLACED}, one AS (SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 1),
+e AS (SELECT * FROM edges WHERE name = (SELECT n_name FROM one)),
+box AS (SELECT MIN(x1) AS x0, MAX(x1) AS xx, MIN(y1) AS y0, MAX(y1) AS yy FROM e),
+held AS (SELECT s.cell FROM (SELECT DISTINCT cell, x AS lng, y AS lat FROM placed) s JOIN e ON {CROSS} GROUP BY 1 HAVING COUNT(*) % 2 = 1),
+masked AS (SELECT p.cell, p.week, CASE WHEN h.cell IS NOT NULL THEN abundance END AS v FROM placed p LEFT JOIN held h ON p.cell = h.cell, box
+  WHERE p.x BETWEEN x0 AND xx AND p.y BETWEEN y0 AND yy),
+mid AS (SELECT radians(round(SUM((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * SUM(x1 * y2 - x2 * y1)), 1)) AS l0,
+  radians(round(SUM((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * SUM(x1 * y2 - x2 * y1)), 1)) AS f1 FROM e),
+corner AS (SELECT 6378137.0 * k * cos(f) * sin(l) AS x, 6378137.0 * k * (cos(f1) * sin(f) - sin(f1) * cos(f) * cos(l)) AS y FROM (
+  SELECT *, sqrt(2 / (1 + sin(f1) * sin(f) + cos(f1) * cos(f) * cos(l))) AS k FROM (
+    SELECT radians(x1) - l0 AS l, radians(y1) AS f, f1 FROM e, mid))),
+far AS (SELECT MIN(x) AS lft, MAX(y) AS top, CAST(FLOOR((MAX(x) - MIN(x)) / 2000) AS BIGINT) + 1 AS cols,
+  CAST(FLOOR((MAX(y) - MIN(y)) / 2000) AS BIGINT) + 1 AS rws FROM corner),
+tgt AS (SELECT i + 1 AS cell, lft + ((i % cols) + 0.5) * 2000 AS x, top - (FLOOR(i / cols) + 0.5) * 2000 AS y FROM range(0, 100000) v(i), far WHERE i < cols * rws),
+inv AS (SELECT *, sqrt(x * x + y * y) AS rho, 2 * asin(sqrt(x * x + y * y) / (2 * 6378137.0)) AS c FROM tgt, mid),
+ll AS (SELECT cell, x, y, degrees(l0 + atan2(x * sin(c), rho * cos(f1) * cos(c) - y * sin(f1) * sin(c))) AS lon,
+  degrees(asin(cos(c) * sin(f1) + y * sin(c) * cos(f1) / rho)) AS lat FROM inv),
+src AS (SELECT *, CAST(FLOOR((41.25 - lat) / 0.2) AS BIGINT) * 10 + CAST(FLOOR((lon + 80.5) / 0.2) AS BIGINT) + 1 AS s FROM ll WHERE FLOOR((lon + 80.5) / 0.2) BETWEEN 0 AND 9),
+lay AS (SELECT t.cell, t.x, t.y, m.week, m.v FROM src t JOIN masked m ON t.s = m.cell),
+fit AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM lay WHERE v IS NOT NULL)
+SELECT cell, {R('x', 3)} AS x, {R('y', 3)} AS y, CAST(week AS STRING) AS week, {R('v')} AS abundance FROM lay, fit
+WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
+
+
+@query("x13_region_cells", ("cells", "edges"), REGION_SQL)
 def _(t):
     d = X.region_cells(placed(t).drop("cell"), region_one(t), GRID, PR.LONLAT, "abundance", 2000.0)
     return d.select("cell", r("x", 3).alias("x"), r("y", 3).alias("y"), text("week").alias("week"), r("abundance").alias("abundance"))
@@ -187,10 +212,10 @@ def _(t):
 
 
 @query("x15_breaks", ("tiles",), f"""
-SELECT {R('quantile_cont(rel_abundance, 0.1)')} AS p10, {R('quantile_cont(rel_abundance, 0.9)')} AS p90 FROM tiles WHERE rel_abundance > 0""")
+SELECT {R('quantile_cont(rel_abundance, 0.1)', 9)} AS p10, {R('quantile_cont(rel_abundance, 0.9)', 9)} AS p90 FROM tiles WHERE rel_abundance > 0""")
 def _(t):
     d = exact_quantiles(t.tiles.where("rel_abundance > 0"), [], "rel_abundance", {"p10": 0.1, "p90": 0.9})
-    return d.select(r("p10").alias("p10"), r("p90").alias("p90"))
+    return d.select(r("p10", 9).alias("p10"), r("p90", 9).alias("p90"))
 
 
 @query("x16_facet_background", ("tiles",), """
