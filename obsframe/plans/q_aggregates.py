@@ -137,13 +137,11 @@ def _(t):
 
 
 @query("a16_box_outliers", (), """
-WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem
-  WHERE l_quantity < 10 GROUP BY 1)
-SELECT l.l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM lineitem l JOIN q USING (l_returnflag)
-WHERE l_quantity < 10 AND NOT (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""")
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
+SELECT e.event_type, event_id, value FROM events e JOIN q USING (event_type)
+WHERE NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""")
 def _(t):
-    d = t.lineitem.where("l_quantity < 10").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
-    return A.box_outliers(d, ["l_returnflag"], "l_extendedprice")
+    return A.box_outliers(t.events.select("event_type", "event_id", "value"), ["event_type"], "value")
 
 
 BW = "CASE WHEN LEAST(sd, CASE WHEN iqr / 1.34 > 0 THEN iqr / 1.34 END) > 0 THEN LEAST(sd, CASE WHEN iqr / 1.34 > 0 THEN iqr / 1.34 END) WHEN sd > 0 THEN sd ELSE 1.0 END"
