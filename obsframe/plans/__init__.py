@@ -9,9 +9,8 @@ MODULES = ("q_sources", "q_columns", "q_rows", "q_aggregates", "q_windows", "q_s
 
 def load():
     """Import every query module; returns (queries, SQL twins)."""
-    import importlib.util
     for name in MODULES:
-        if importlib.util.find_spec(f"{__name__}.{name}"): import_module(f"{__name__}.{name}")
+        import_module(f"{__name__}.{name}")
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
