@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontam_winnow import decontaminate
 from .frames import table
 from .packing_mbs import pack
 from .sharding_jump import shard_slots
@@ -24,7 +26,12 @@ def op6_shard_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
     return shard_slots(table(spark, folder, "documents"), 16)
 
 
+def op7_decontaminate_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pack_min_bin_slack, op6_shard_jump_hash)
+    f.__name__: f for f in (op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing)
 }
 ORACLES: dict[str, str] = {}
