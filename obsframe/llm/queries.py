@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam_winnow import decontaminate
-from .frames import table
+from .frames import keep_out, table
+from .langid_ecoc import identify
 from .packing_mbs import pack
 from .sharding_jump import shard_slots
+from .toxicity_subword import score_toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
 
 
+def op3_toxicity_subword_bag(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = keep_out("doc_id", 5, 0)
+    scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_pack_min_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack(table(spark, folder, "documents"), TOKENIZER, WINDOW, end_id=1)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to")
@@ -31,7 +39,14 @@ def op7_decontaminate_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_language_output_codes(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = keep_out("doc_id", 3, 1)
+    found = identify(table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing)
+    f.__name__: f for f in (op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
+                              op9_language_output_codes)
 }
 ORACLES: dict[str, str] = {}

@@ -137,6 +137,37 @@ def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = WORD_BY
     return Words(start, end, h, np.searchsorted(start, offs))
 
 
+#: Small letters and the bytes beyond ASCII stay; every other byte is a boundary.
+LETTER_BYTES = np.full(256, 32, dtype=np.uint8)
+LETTER_BYTES[97:123] = np.arange(97, 123)
+LETTER_BYTES[128:] = np.arange(128, 256)
+
+
+def byte_ngrams(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashed buckets and places of the n-grams of ``data``, whose boundaries are blanks, for consecutive ``orders``.
+
+    An n-gram lies in one row and may begin or end with a boundary, but holds none inside.
+    """
+    n = len(data)
+    x = data.astype(np.uint32)
+    stop = np.full(n + 1, n, dtype=np.int32)  # the first boundary at or after each byte, or the end of its row
+    gap = np.flatnonzero(x == 32)
+    stop[gap] = gap
+    stop[offs[1:]] = np.minimum(stop[offs[1:]], offs[1:])
+    stop = np.minimum.accumulate(stop[::-1])[::-1]
+    row_end = np.repeat(offs[1:], np.diff(offs)).astype(np.int32)
+    last = np.minimum(stop[1:] + 1, row_end)
+    room = last - np.arange(n, dtype=np.int32)
+    key, found, where = np.zeros(n, dtype=np.uint32), [], []
+    for m in range(1, max(orders) + 1):
+        key[:max(n - m + 1, 0)] = key[:max(n - m + 1, 0)] * np.uint32(0x01000193) ^ x[m - 1:]
+        if m in orders:
+            i = np.flatnonzero((room >= m) & (x != 32) if m == 1 else room >= m)
+            found.append(((key[i] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int32) ^ np.int32(m))
+            where.append(i)
+    return found, where
+
+
 def per_row(values: np.ndarray, first: np.ndarray, how=np.add, empty=0) -> np.ndarray:
     """A reduction of ``values`` over each row's range ``first[i]:first[i + 1]``; ``empty`` for rows without any."""
     out = np.full(len(first) - 1, empty, dtype=values.dtype)
