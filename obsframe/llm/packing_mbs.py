@@ -9,7 +9,9 @@ and look their window and offset up in the plan.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,37 +22,85 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .frames import number_rows
+from .textbatch import per_row, text_bytes
 
 #: Entries of a worker's cache of words already split into ids.
-CACHED_WORDS = 400_000
-_loaded: dict[str, tuple] = {}
+CACHED_WORDS = 1_000_000
+#: Marks that may be split off the end of a word: they never join the letters before them.
+_TAIL = ".,!?:;*%&$#|"
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
 
+class WordIds:
+    """Ids of the parts of a text between blanks, as little-endian unsigned 32-bit values.
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit values.
-
-    The tokenizer treats every space and line end as a boundary that leaves no id, so a text's ids are those of its
-    parts between them. Each part is split once and kept; the cache is emptied when it is full.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts. A part is split
+    once and kept. Parts of letters up to U+00FF in lower case, with marks after them, go straight to the tokenizer's model,
+    since nothing before it would change them; all other parts go through the whole tokenizer.
     """
-    tokenizer, cache = _tokenizer(path)
-    for t in texts:
-        parts = t.replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in cache]
-        if new:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(set(parts))
-            for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        yield b"".join(map(cache.__getitem__, parts))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        self.tokenizer, self.letters, self.known = Tokenizer.from_file(path), _byte_letters(), {}
+        self.direct = self._keeps_letters()
+
+    def _keeps_letters(self) -> bool:
+        """Whether the short way gives what the whole tokenizer gives, tried on words of both kinds."""
+        words = ["thing", "élan", "straße", "ñandú", "a", "zzzzzzzz", "ªº", "øåæ"]
+        return all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(self._spelled(w))] for w in words) and (
+            self._ids("thing.,") == self._ids("thing") + self._ids(".,"))
+
+    def _ids(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def _spelled(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _add(self, part: str, plain: bool) -> bytes:
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        if plain:
+            word = part.rstrip(_TAIL)
+            if word.isalpha():
+                if len(word) < len(part):
+                    raw = self._get(word, True) + self._get(part[len(word):], True)
+                else:
+                    raw = array("I", [t.id for t in self.tokenizer.model.tokenize(self._spelled(word))]).tobytes()
+                self.known[part] = raw
+                return raw
+        self.known[part] = raw = array("I", self._ids(part)).tobytes()
+        return raw
+
+    def _get(self, part: str, plain: bool) -> bytes:
+        return self.known.get(part) or self._add(part, plain)
+
+    def of_text(self, text: str, latin: bool) -> bytes:
+        """``latin``: the text has no character beyond U+00FF. Special tokens are looked for before letters are made small."""
+        plain = self.direct and latin and "<|" not in text
+        parts = (text.lower() if plain else text).replace("\n", " ").split(" ")
+        known = self.known
+        return b"".join([known.get(p) or self._add(p, plain) for p in parts if p])
+
+
+_loaded: dict[str, WordIds] = {}
+
+
+def token_bytes(col: pa.Array, path: str) -> Iterator[bytes]:
+    """The ids of each text of a column; null counts as empty."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    data, offs = text_bytes(col)
+    latin = per_row(data, offs, np.maximum) <= 0xC3
+    for text, is_latin in zip(col, latin.tolist()):
+        yield _loaded[path].of_text(text.as_py() or "", is_latin)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text",
@@ -68,8 +118,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
-            texts = (x.as_py() or "" for x in b.column(1))
-            for i, raw in enumerate(token_bytes(texts, tokenizer)):
+            for i, raw in enumerate(token_bytes(b.column(1), tokenizer)):
                 raw += end
                 for at in range(0, len(raw), width):
                     piece = raw[at:at + width]
