@@ -59,14 +59,17 @@ def keep_out(key: str, parts: int, out: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == out, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, n: int, max_chars: int, key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, n: int, key: str = "doc_id", text: str = "text",
+                    max_chars: int | None = None) -> DataFrame:
     """``(text, label)`` of at most ``n`` documents per value of ``label`` that are not held out.
 
-    Which ones follows from a hash of the key. Only texts of up to ``max_chars`` characters are drawn, so the sample's bytes are
-    bounded too; this bounds what is learned from, not what is scored.
+    Which ones follows from a hash of the key. With ``max_chars`` only texts up to that length are drawn, which bounds the
+    sample's bytes; this bounds what is learned from, not what is scored. Keys that repeat give several rows: callers
+    limit what they collect.
     """
     drawn = bounded_sample(labels, ~held_out & F.col(label).isNotNull(), F.col(label), n, key, label)
     drawn = F.broadcast(drawn.select(F.col(key).alias("__key"), F.col(label).alias("__label")))  # n rows per class
-    few = docs.select(F.col(key), F.col(text)).where(F.length(F.col(text)) <= max_chars)
-    return few.join(drawn, F.col(key) == F.col("__key")).select(F.col(text).alias("text"), F.col("__label").alias("label")).limit(4 * n)
+    few = docs.select(F.col(key), F.col(text))
+    if max_chars is not None:
+        few = few.where(F.length(F.col(text)) <= max_chars)
+    return few.join(drawn, F.col(key) == F.col("__key")).select(F.col(text).alias("text"), F.col("__label").alias("label"))

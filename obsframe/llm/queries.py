@@ -12,6 +12,8 @@ from .decontam_winnow import decontaminate
 from .frames import keep_out, table
 from .langid_ecoc import identify
 from .packing_mbs import pack
+from .quality_gam import score_quality
+from .secret_crf import KINDS, find_secrets
 from .sharding_jump import shard_slots
 from .toxicity_subword import score_toxicity
 
@@ -19,6 +21,20 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
 
 
+def op1_quality_additive_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = keep_out("doc_id", 5, 0)
+    scored = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_secrets_random_field(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    plain = F.filter("spans", lambda s: s.kind != KINDS[-1])
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op3_toxicity_subword_bag(spark: SparkSession, folder: str) -> DataFrame:
     held_out = keep_out("doc_id", 5, 0)
     scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out)
@@ -46,7 +62,7 @@ def op9_language_output_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
+    f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
                               op9_language_output_codes)
 }
 ORACLES: dict[str, str] = {}

@@ -133,7 +133,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, key: st
     Learns from at most ``per_class`` labelled texts of each class that are not held out (``held_out`` is a condition on the key).
     Null counts as empty; a text without words scores as an empty window. Without both classes every score is 0.
     """
-    drawn = labelled_sample(docs, labels, label, held_out, per_class, max_chars, key, text).toPandas()
+    drawn = labelled_sample(docs, labels, label, held_out, per_class, key, text, max_chars).limit(4 * per_class).toPandas()
     drawn = drawn.assign(label=drawn.label.astype(float)).sort_values(["label", "text"])
     model = fit(drawn.text.tolist(), drawn.label.to_numpy() > 0)
     logits = None if model is None else (model.bucket_logits(), model.bias)
