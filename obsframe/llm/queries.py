@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam_winnow import decontaminate
+from .dedup_omh import near_duplicates
 from .frames import keep_out, table
 from .langid_ecoc import identify
 from .packing_mbs import pack
@@ -55,6 +56,11 @@ def op7_decontaminate_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_near_duplicates_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"), 0.8)
+    return found.select("doc_id", "class_id", "class_size", "class_key", "representative", "n_words")
+
+
 def op9_language_output_codes(spark: SparkSession, folder: str) -> DataFrame:
     held_out = keep_out("doc_id", 3, 1)
     found = identify(table(spark, folder, "documents"), ~held_out)
@@ -63,6 +69,6 @@ def op9_language_output_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
-                              op9_language_output_codes)
+                              op8_near_duplicates_order_minhash, op9_language_output_codes)
 }
 ORACLES: dict[str, str] = {}
