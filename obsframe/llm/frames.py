@@ -73,3 +73,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     if max_chars is not None:
         few = few.where(F.length(F.col(text)) <= max_chars)
     return few.join(drawn, F.col(key) == F.col("__key")).select(F.col(text).alias("text"), F.col("__label").alias("label"))
+
+
+def bitmap_of(df: DataFrame, place: Column, bits: int) -> bytes:
+    """One bit for each of the ``2**bits`` places, set for those that occur, lowest bit of a byte first.
+
+    Its size is fixed whatever the number of rows. As a filter before a join it only spares shuffled rows: where it
+    fills up, more rows pass and the join decides as before.
+    """
+    n = (place + 1).alias("n")
+    rows = (df.select(n).groupBy(F.bitmap_bucket_number("n").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")).collect())
+    known = {r["bucket"]: bytes(r["bits"]) for r in rows}
+    return b"".join(known.get(i, bytes(4096)) for i in range(1, max(1, (1 << bits) // 32768) + 1))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontam_winnow import decontaminate
 from .dedup_omh import near_duplicates
+from .dedup_pfp import remove_repeats
 from .frames import keep_out, table
 from .langid_ecoc import identify
 from .packing_mbs import pack
@@ -67,8 +68,12 @@ def op9_language_output_codes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_repeats_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
-                              op8_near_duplicates_order_minhash, op9_language_output_codes)
+                              op8_near_duplicates_order_minhash, op9_language_output_codes, op10_repeats_prefix_free_parsing)
 }
 ORACLES: dict[str, str] = {}
