@@ -75,25 +75,30 @@ def fit(texts: list[str], toxic: np.ndarray, dimensions: int = 8, rounds: int =
     """
     if not len(texts) or len(set(toxic.tolist())) < 2:
         return None
-    parts = []
+    parts, docs_with = [], np.zeros(1 << BUCKET_BITS, dtype=np.int32)
     for lo, _, windows, found, firsts in window_blocks(pa.array(texts, pa.string())):
-        n = len(firsts[0]) - 1
         counts = np.maximum(sum(np.diff(f) for f in firsts), LEAST)
+        n = len(counts)
         keys = np.concatenate([np.repeat(np.arange(n, dtype=np.int64), np.diff(f)) << 20 | b[f[0]:f[-1]] for b, f in zip(found, firsts)])
         keys, times = np.unique(keys, return_counts=True)
-        window = keys >> 20
-        row = lo + np.repeat(np.arange(len(windows) - 1), np.diff(windows))
-        parts.append(((keys & ((1 << 20) - 1)).astype(np.int32), times / counts[window], row[window], window + (parts[-1][3][-1] + 1 if parts and len(parts[-1][3]) else 0)))
-    index, value, row, window = map(np.concatenate, zip(*parts))
-    docs_with = np.bincount(np.unique(row << 20 | index) & ((1 << 20) - 1), minlength=1 << BUCKET_BITS)
+        window, bucket = keys >> 20, (keys & ((1 << 20) - 1)).astype(np.int32)
+        row = np.repeat(np.arange(lo, lo + len(windows) - 1), np.diff(windows))
+        docs_with += np.bincount(np.unique(row[window] << 20 | bucket) & ((1 << 20) - 1), minlength=1 << BUCKET_BITS).astype(np.int32)
+        parts.append((bucket, (times / counts[window]).astype(np.float32), np.bincount(window, minlength=n), row))
+    index, value, size, row = map(np.concatenate, zip(*parts))
+    del parts
     often = docs_with[index] >= least_docs
-    index, value, row, window = index[often], value[often].astype(np.float32), row[often], window[often]
-    if not len(index):
+    if not often.any():
         return None
-    used, index = np.unique(index, return_inverse=True)
-    first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-    window_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(window))))
-    rows, doc_first = np.unique(row[first], return_index=True)
+    window = np.repeat(np.arange(len(size), dtype=np.int32), size)[often]
+    index, value = index[often], value[often]
+    kept, first = np.unique(window, return_index=True)
+    window_of = np.repeat(np.arange(len(kept), dtype=np.int32), np.diff(np.append(first, len(window))))
+    row = row[kept]
+    number = np.cumsum(docs_with >= least_docs, dtype=np.int32) - 1
+    used, index = np.flatnonzero(docs_with >= least_docs), number[index]
+    del window, often
+    rows, doc_first = np.unique(row, return_index=True)
     per_doc = np.diff(np.append(doc_first, len(first)))
     label = toxic[rows].astype(float)
     balance = np.where(label > 0, .5 / max(label.sum(), 1), .5 / max((1 - label).sum(), 1))
@@ -110,7 +115,7 @@ def fit(texts: list[str], toxic: np.ndarray, dimensions: int = 8, rounds: int =
             pull[:] = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - np.repeat(label, per_doc)) * np.repeat(balance / per_doc, per_doc)
         else:
             top = np.flatnonzero(z == np.repeat(np.maximum.reduceat(z, doc_first), per_doc))
-            _, once = np.unique(row[first][top], return_index=True)
+            _, once = np.unique(row[top], return_index=True)
             worst = top[once]
             pull[worst] = (1 / (1 + np.exp(-np.clip(z[worst], -40, 40))) - label) * balance
         s = np.bincount(index, value * pull[window_of], len(used))
@@ -127,7 +132,7 @@ def fit(texts: list[str], toxic: np.ndarray, dimensions: int = 8, rounds: int =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                   per_class: int = 800, max_chars: int = 10_000) -> DataFrame:
+                   per_class: int = 800, max_chars: int = 5_000) -> DataFrame:
     """``(key, score)`` per row, from the whole text; higher is more toxic.
 
     Learns from at most ``per_class`` labelled texts of each class that are not held out (``held_out`` is a condition on the key).
