@@ -128,14 +128,36 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 60) -> Lan
     return LanguageModel(languages, code, full, bias, trust / trust.sum(), 2.0)
 
 
-def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250,
-             ambiguous_below: float = 0.2) -> DataFrame:
-    """``(key, lang_pred, score, ambiguous)`` per row, from the whole text.
+def per_row_sums(weight: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the weight rows of each text's buckets."""
+    out = np.zeros((len(first) - 1, weight.shape[1]))
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(weight[bucket], first[full], axis=0, dtype=np.float64)
+    return out
 
-    Learns from at most ``per_language`` rows of each non-null language among those of ``learn``, drawn by a hash of the
-    key. A text that is null or has no letter is ``und`` with score 0 and ambiguous; so is every text if there is nothing
-    to learn from. Ties go to the language that sorts first.
-    """
+
+def predict(model: LanguageModel | None, col: pa.Array, ambiguous_below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of every text of a column."""
+    n = len(col)
+    name, p, close = np.full(n, UNDETERMINED, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
+    if model is None:
+        return name, p, close
+    for lo, hi, found, firsts in ngram_blocks(col):
+        z, total = np.zeros((hi - lo, len(model.bias))), np.zeros(hi - lo)
+        for bucket, first in zip(found, firsts):
+            z += per_row_sums(model.weight, bucket, first)
+            total += np.diff(first)
+        best, p[lo:hi], margin = model.decode(z / np.maximum(total, 1)[:, None] + model.bias)
+        name[lo:hi], close[lo:hi] = np.array(model.languages, dtype=object)[best], margin < ambiguous_below
+    bare = ~has_letter(col, *text_bytes(col))
+    name[bare], p[bare], close[bare] = UNDETERMINED, 0.0, True
+    return name, p, close
+
+
+def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250) -> LanguageModel | None:
+    """A model of at most ``per_language`` rows of each non-null language among those of ``learn``, drawn by a hash of the key.
+    Whole texts are counted where they lie; the driver gets their n-gram buckets."""
     usable = learn & F.col(lang).isNotNull() & F.col(text).isNotNull()
     draw = bounded_sample(docs, usable, F.col(lang), per_language, key, lang, text)
 
@@ -148,39 +170,37 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
 
     counted = draw.select(F.col(lang), F.col(text)).mapInArrow(features, "lang string, bucket array<int>, count array<int>").toArrow()
     rows = [(name, np.asarray(u.values), np.asarray(c.values)) for name, u, c in zip(counted["lang"].to_pylist(), counted["bucket"], counted["count"])]
-    model = fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes())))
+    return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes())))
+
+
+def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250,
+             ambiguous_below: float = 0.05) -> DataFrame:
+    """``(key, lang_pred, score, ambiguous)`` per row, from the whole text.
+
+    A text that is null or has no letter is ``und`` with score 0 and ambiguous; so is every text if there is nothing to
+    learn from. Ties go to the language that sorts first.
+    """
+    # 2^15 buckets by the bits of a code: the size follows the number of languages
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, learn, key, text, lang, per_language))
     source = docs.select(F.col(key), F.col(text))
     schema = source.select(key).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # 2^15 buckets by the bits of a code: its size follows the number of languages
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: LanguageModel | None = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, col = b.num_rows, b.column(1)
-            letters = has_letter(col, *text_bytes(col))
-            name, p, close = np.full(n, UNDETERMINED, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
-            if m is not None:
-                for lo, hi, found, firsts in ngram_blocks(col):
-                    z = np.zeros((hi - lo, len(m.bias)))
-                    total = np.zeros(hi - lo)
-                    for bucket, first in zip(found, firsts):
-                        z += per_row_sums(m.weight, bucket, first)
-                        total += np.diff(first)
-                    z = z / np.maximum(total, 1)[:, None] + m.bias
-                    best, sure, margin = m.decode(z)
-                    name[lo:hi] = np.array(m.languages, dtype=object)[best]
-                    p[lo:hi], close[lo:hi] = sure, margin < ambiguous_below
-                name[~letters], p[~letters], close[~letters] = UNDETERMINED, 0.0, True
+            name, p, close = predict(shared.value, b.column(1), ambiguous_below)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(p), pa.array(close)], names=schema.names)
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(run, schema)
 
 
-def per_row_sums(weight: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the weight rows of each text's buckets."""
-    out = np.zeros((len(first) - 1, weight.shape[1]))
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        out[full] = np.add.reduceat(weight[bucket], first[full], axis=0, dtype=np.float64)
-    return out
+def keep_identified(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250,
+                    ambiguous_below: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: neither without letters nor ambiguous. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, learn, key, text, lang, per_language))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~predict(shared.value, b.column(at), ambiguous_below)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -72,8 +72,15 @@ def op10_repeats_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFr
     return remove_repeats(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run  # it uses this module's parameters
+
+    return run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
-                              op8_near_duplicates_order_minhash, op9_language_output_codes, op10_repeats_prefix_free_parsing)
+                              op8_near_duplicates_order_minhash, op9_language_output_codes, op10_repeats_prefix_free_parsing,
+                              pipeline)
 }
 ORACLES: dict[str, str] = {}
