@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_graph import nearest
 from .decontam_winnow import decontaminate
 from .dedup_omh import near_duplicates
 from .dedup_pfp import remove_repeats
@@ -48,6 +49,10 @@ def op4_pack_min_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op5_nearest_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_shard_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
     return shard_slots(table(spark, folder, "documents"), 16)
 
@@ -79,7 +84,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack, op6_shard_jump_hash, op7_decontaminate_winnowing,
+    f.__name__: f for f in (op1_quality_additive_model, op2_secrets_random_field, op3_toxicity_subword_bag, op4_pack_min_bin_slack,
+                              op5_nearest_pruned_graph, op6_shard_jump_hash, op7_decontaminate_winnowing,
                               op8_near_duplicates_order_minhash, op9_language_output_codes, op10_repeats_prefix_free_parsing,
                               pipeline)
 }
