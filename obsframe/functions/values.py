@@ -145,6 +145,6 @@ def drop_missing(df: DataFrame, *names: str) -> DataFrame:
 
 
 def uniform_from_md5(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from a row key: the same on every run, engine and partitioning."""
+    """A number in (0, 1) of 52 random bits from a row key: the same on every run, engine and partitioning."""
     digest = F.md5(F.concat(F.lit(str(seed)), key.cast("string")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(4503599627370496.0)

@@ -7,10 +7,11 @@ feature vectors are written once before a fit, so no iteration goes back to thei
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -124,8 +125,9 @@ def fit_summary(assigned: DataFrame, totss: float) -> DataFrame:
 
 
 def kmeans_sweep(df: DataFrame, ids: Sequence[str], features: Sequence[str], ks: Sequence[int], seed: int = 1234,
-                 starts: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(summaries, assignments)`` for several k: one row per k, and the ids with (k, cluster).
+                 starts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(summaries, assignments, clusters)`` for several k: one row per k, the ids with (k, cluster), and
+    ``(k, cluster, centre, size, withinss)``.
 
     Each fit is a distributed job; the labels of all fits are then read off in one pass.
     """
@@ -149,7 +151,9 @@ def kmeans_sweep(df: DataFrame, ids: Sequence[str], features: Sequence[str], ks:
     long = long.withColumn("d2", _squares(F.col("point"), F.col("centre")))
     summaries = long.groupBy("k").agg(F.sum("d2").alias("tot_withinss")).select(
         "k", F.lit(totss).alias("totss"), "tot_withinss", (F.lit(totss) - F.col("tot_withinss")).alias("betweenss"))
-    return summaries, long.select(*ids, "k", (F.col("cluster") + 1).alias("cluster"))
+    sizes = long.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("d2").alias("withinss"))
+    clusters = table.join(sizes, ["k", "cluster"], "left").fillna({"size": 0, "withinss": 0.0}).withColumn("cluster", F.col("cluster") + 1)
+    return summaries, long.select(*ids, "k", (F.col("cluster") + 1).alias("cluster")), clusters
 
 
 def cluster_profile(wide: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
@@ -168,91 +172,38 @@ def top_features(wide: DataFrame, cluster: str, features: Sequence[str], k: int
     return wider(best, ["rank"], cluster, "name")
 
 
-# -- Ward ------------------------------------------------------------------------------------
+# -- hierarchy -------------------------------------------------------------------------------
 
-def _ward_merges(centres: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merge order (kept index, removed index, cost) of weighted Ward on a bounded set of centres."""
-    c, w = centres.astype(float).copy(), weights.astype(float).copy()
-    alive = np.ones(len(c), dtype=bool)
+def _bisecting(vec: DataFrame, k: int, seed: int):
+    return BisectingKMeans(k=k, seed=seed, maxIter=20).fit(vec)
 
-    def costs_of(i):
-        row = w[i] * w / (w[i] + w) * ((c - c[i]) ** 2).sum(-1)
-        row[~alive] = np.inf
-        row[i] = np.inf
-        return row
 
-    cost = np.array([costs_of(i) for i in range(len(c))])
-    merges = []
-    for _ in range(len(c) - 1):
-        i, j = sorted(divmod(int(np.argmin(cost)), len(c)))
-        merges.append((i, j, float(cost[i, j])))
-        c[i] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        alive[j] = False
-        cost[j, :] = cost[:, j] = np.inf
-        cost[i, :] = cost[:, i] = costs_of(i)
-    return merges
+def hierarchical(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, seed: int = 1234) -> DataFrame:
+    """A divisive hierarchy cut at k: ``(ids…, point, cluster)``.
 
-
-def _cut(n: int, merges: Sequence[tuple[int, int, float]], k: int) -> list[int]:
-    parent = list(range(n))
-    for i, j, _ in merges[: n - k]:
-        parent[j] = i
-
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
-
-    return [root(v) for v in range(n)]
-
-
-def _micro(vec: DataFrame, micro: int, seed: int) -> tuple[np.ndarray, np.ndarray, DataFrame, float]:
-    """At most ``micro`` weighted centres: the distinct rows when there are that few (then Ward is
-    exact), k-means centres otherwise. Returns centres, weights, labelled rows, SS inside."""
-    spark = vec.sparkSession
-    distinct = vec.groupBy("point").agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
-    if len(distinct) <= micro:
-        distinct.sort(key=lambda r: r["point"])
-        table = spark.createDataFrame([(r["point"], i) for i, r in enumerate(distinct)], "point array<double>, micro int")
-        labelled = vec.join(F.broadcast(table), "point")
-        return np.array([r["point"] for r in distinct]), np.array([r["n"] for r in distinct]), labelled, 0.0
-    assigned, centres = kmeans(vec, micro, seed)
-    assigned = cut_lineage(assigned)
-    sums = {r["cluster"]: r for r in cluster_table(assigned, centres).collect()}
-    used = sorted(c for c, r in sums.items() if r["size"] > 0)
-    number = spark.createDataFrame([(c, i) for i, c in enumerate(used)], "cluster int, micro int")
-    labelled = assigned.join(F.broadcast(number), "cluster").drop("cluster", "d2")
-    return (np.array([sums[c]["centre"] for c in used]), np.array([sums[c]["size"] for c in used]), labelled,
-            float(sum(sums[c]["withinss"] for c in used)))
-
-
-def ward(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, micro: int = 512,
-         seed: int = 1234) -> DataFrame:
-    """Ward clustering (squared-distance form) cut at k: ``(ids…, point, cluster)``.
-
-    The rows are first condensed on Spark to at most ``micro`` weighted centres; only those meet
-    the quadratic merge loop. Labels run from the largest cluster (1) down.
+    The cluster that is split next is always a largest one, each split is a two-means fit on Spark. Labels run from the largest
+    cluster (1) down, ties by centre.
     """
     vec = cut_lineage(vectors(df, ids, features))
-    centres, weights, labelled, _ = _micro(vec, micro, seed)
-    groups = _cut(len(centres), _ward_merges(centres, weights), min(k, len(centres)))
-    size: dict[int, int] = {}
-    for g, w in zip(groups, weights):
-        size[g] = size.get(g, 0) + int(w)
-    rank = {g: i + 1 for i, g in enumerate(sorted(size, key=lambda g: (-size[g], g)))}
-    table = df.sparkSession.createDataFrame([(i, rank[g]) for i, g in enumerate(groups)], "micro int, cluster int")
-    return labelled.join(F.broadcast(table), "micro").select(*ids, "point", "cluster")
-
-
-def ward_wss(df: DataFrame, features: Sequence[str], k_max: int = 20, micro: int = 512, seed: int = 1234) -> DataFrame:
-    """``(clusters, wss)`` for cuts 1..k_max: SS inside the centres plus the merge costs paid."""
+    model = _bisecting(vec, k, seed)
+    labelled = model.transform(vec)
+    sizes = {r["prediction"]: r["n"] for r in labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
+    centres = model.clusterCenters()
+    rank = {c: i + 1 for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], tuple(centres[c]))))}
+    table = df.sparkSession.createDataFrame(list(rank.items()), "prediction int, cluster int")
+    return labelled.join(F.broadcast(table), "prediction").select(*ids, "point", "cluster")
+
+
+def hierarchical_wss(df: DataFrame, features: Sequence[str], k_max: int = 20, seed: int = 1234) -> DataFrame:
+    """``(clusters, members, wss)`` of the cuts 1..k_max: the sum of squares inside the clusters, about their own means."""
     vec = cut_lineage(vectors(df, [], features))
-    centres, weights, _, inside = _micro(vec, micro, seed)
-    costs = [c for _, _, c in _ward_merges(centres, weights)]
-    n = len(centres)
-    rows = [(k, inside + float(sum(costs[: n - k]))) for k in range(1, min(k_max, n) + 1)]
-    return df.sparkSession.createDataFrame(rows, "clusters int, wss double")
+    labelled = vec.withColumn("1", F.lit(0))
+    for k in range(2, k_max + 1):
+        labelled = _bisecting(vec, k, seed).setPredictionCol(str(k)).transform(labelled)
+    long = labelled.drop("features").unpivot(["point"], [str(k) for k in range(1, k_max + 1)], "k", "cluster")
+    sums = long.withColumn("cluster", F.struct(F.col("k").cast("int").alias("k"), F.col("cluster").alias("c")))
+    per = within_ss(sums, len(features)).select("cluster.k", "members", "sse")
+    return per.groupBy(F.col("k").alias("clusters")).agg(F.sum("members").alias("members"), F.sum("sse").alias("wss"))
 
 
 def within_ss(assigned: DataFrame, dims: int) -> DataFrame:
@@ -265,28 +216,88 @@ def within_ss(assigned: DataFrame, dims: int) -> DataFrame:
 
 # -- Gaussian mixture ------------------------------------------------------------------------
 
-def gaussian_mixture(df: DataFrame, ids: Sequence[str], features: Sequence[str], g: int = 5, components: int = 5,
-                     seed: int = 1234):
-    """Full-covariance mixture on the leading principal components.
+def _log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """Rows by components: log of weight times density."""
+    out = np.empty((len(x), len(weights)))
+    for j, (w, m, c) in enumerate(zip(weights, means, covs)):
+        low = np.linalg.cholesky(c)
+        z = np.linalg.solve(low, (x - m).T)
+        out[:, j] = np.log(max(w, 1e-300)) - .5 * (len(m) * np.log(2 * np.pi) + (z * z).sum(0)) - np.log(np.diag(low)).sum()
+    return out
+
+
+def _posteriors(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = logs.max(1, keepdims=True)
+    p = np.exp(logs - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, (top + np.log(total))[:, 0]
+
+
+def _moments(data: DataFrame, model: tuple, g: int, d: int) -> np.ndarray:
+    """Log-likelihood, rows, weights, sums and cross products under the model's posteriors: one pass, one partial sum per
+    task, as many numbers as the model has."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loglik, n, size, first, second = 0.0, 0, np.zeros(g), np.zeros((g, d)), np.zeros((g, d, d))
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
+            p, each = _posteriors(_log_densities(x, *model))
+            loglik, n, size, first = loglik + each.sum(), n + len(x), size + p.sum(0), first + p.T @ x
+            second += np.stack([(x * p[:, [j]]).T @ x for j in range(g)])
+        flat = np.concatenate([[loglik, n], size, first.ravel(), second.ravel()])
+        yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+
+    rows = data.select("x").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()
+    return rows["v"].to_numpy()
+
+
+def gaussian_mixture(df: DataFrame, ids: Sequence[str], features: Sequence[str], g: int = 5, components: int | None = None,
+                     seed: int = 1234, tol: float = 1e-4):
+    """Full-covariance mixture on all features that vary, or on so many leading principal components if asked for.
+
+    Expectation maximisation from seeded k-means centres until the mean log-likelihood grows by less than ``tol``; a step is one pass
+    over the rows. Works with log-densities, so many features do not underflow.
 
     Returns ``(classified, components, fit)``: ids with ``class`` and ``uncertainty`` (one minus
     the largest posterior), ``(class, proportion, mean, size)`` and ``(G, d, n, loglik, df, bic)``.
     """
     spark = df.sparkSession
-    _, _, scores = pca(df, ids, features, components)
-    data = cut_lineage(scores.withColumnRenamed("pc", "features"))
-    model = GaussianMixture(k=g, seed=seed, maxIter=100, tol=1e-4).fit(data)
-    post = vector_to_array("probability")
-    classified = model.transform(data).select(
-        *ids, (F.col("prediction") + 1).alias("class"), (1 - F.array_max(post)).alias("uncertainty"))
-    means = [[float(v) for v in r["mean"]] for r in model.gaussiansDF.collect()]
-    table = spark.createDataFrame([(i + 1, float(w), m) for i, (w, m) in enumerate(zip(model.weights, means))],
+    if components is None:
+        data = cut_lineage(vectors(df, ids, varying(df, features)).withColumnRenamed("point", "x"))
+    else:
+        scores = pca(df, ids, features, components)[2]
+        data = cut_lineage(scores.select(*ids, F.col("pc").alias("features"), vector_to_array("pc").alias("x")))
+    centres = KMeans(k=g, seed=seed, maxIter=20).fit(data).clusterCenters()
+    means = np.array([centres[j % len(centres)] for j in range(g)])
+    d = means.shape[1]
+    spread = data.agg(*[F.var_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
+    ridge = 1e-6 * np.diag(np.maximum(np.array(spread, dtype=float), 1e-12))
+    model = (np.full(g, 1 / g), means, np.stack([np.diag(np.maximum(np.array(spread, dtype=float), 1e-12))] * g))
+    before = -np.inf
+    while True:
+        m = _moments(data, model, g, d)
+        loglik, n, size = m[0], m[1], m[2:2 + g]
+        if n == 0 or loglik / n - before < tol:
+            break
+        before = loglik / n
+        first, second = m[2 + g:2 + g + g * d].reshape(g, d), m[2 + g + g * d:].reshape(g, d, d)
+        held = np.maximum(size, 1e-9)
+        means = first / held[:, None]
+        covs = second / held[:, None, None] - means[:, :, None] * means[:, None, :]
+        model = (size / n, means, np.where((size > d / 100)[:, None, None], covs, model[2]) + ridge)
+
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p, _ = _posteriors(_log_densities(np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d)), *model))
+            yield pdf.drop(columns="x").assign(**{"class": p.argmax(1) + 1, "uncertainty": 1 - p.max(1)})
+
+    kept = data.select(*ids, "x")
+    classified = kept.mapInPandas(classify, kept.drop("x").schema.add("class", "integer").add("uncertainty", "double"))
+    table = spark.createDataFrame([(j + 1, float(w), [float(v) for v in mean]) for j, (w, mean) in enumerate(zip(model[0], model[1]))],
                                   "class int, proportion double, mean array<double>")
     sizes = classified.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
     table = table.join(sizes, "class", "left").fillna({"size": 0})
-    d, n, loglik = len(means[0]), data.count(), float(model.summary.logLikelihood)
     free = (g - 1) + g * d + g * d * (d + 1) // 2
-    fit = spark.createDataFrame([(g, d, n, loglik, free, 2 * loglik - free * math.log(n))],
+    fit = spark.createDataFrame([(g, d, int(n), float(loglik), free, 2 * float(loglik) - free * math.log(max(n, 1)))],
                                 "G int, d int, n long, loglik double, df int, bic double")
     return classified, table, fit
 

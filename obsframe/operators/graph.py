@@ -7,9 +7,10 @@ a reliable checkpoint each round.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 # -- components ------------------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(name, component)``: the smallest node name of each component.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): a logarithmic number in
@@ -119,7 +120,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     nodes = cut_lineage(endpoints(edges))
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")]
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # edges always point from the larger to the smaller node and are distinct
         both = F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
                                  F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
@@ -137,19 +138,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(cur.select(F.col("src").alias("name"), F.col("dst").alias("__c")), "name", "left").select(
         "name", F.coalesce("__c", "name").alias("component"))
 
 
 # -- centrality and communities --------------------------------------------------------------
 
-def authority(edges: DataFrame, weight: str | None = None, tol: float = 1e-6, max_rounds: int = 100,
-              check_every: int = 5) -> DataFrame:
+def authority(edges: DataFrame, weight: str | None = None, tol: float = 1e-6, check_every: int = 5) -> DataFrame:
     """``(name, centrality)``: HITS authority on an undirected graph, scaled to a maximum of 1.
 
-    One round multiplies by the adjacency twice. Unweighted unless ``weight`` names a column.
+    One round multiplies by the adjacency twice. Rounds go on until no value moves by ``tol`` in ``check_every`` rounds; an error
+    if the movement does not shrink any more. Unweighted unless ``weight`` names a column.
     """
     both = F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
                              F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
@@ -161,7 +160,8 @@ def authority(edges: DataFrame, weight: str | None = None, tol: float = 1e-6, ma
         sent = adj.join(vec, F.col("src") == F.col("name")).groupBy("dst").agg(F.sum(F.col("w") * F.col("s")).alias("s"))
         return sent.withColumnRenamed("dst", "name")
 
-    for _ in range(0, max_rounds, check_every):
+    smallest, stalled = None, 0
+    while True:
         # scaling once per batch of rounds is enough: doubles hold the growth in between
         raw = score
         for _ in range(check_every):
@@ -173,90 +173,38 @@ def authority(edges: DataFrame, weight: str | None = None, tol: float = 1e-6, ma
         gap = new.join(old, F.col("name") == F.col("__n")).agg(F.max(F.abs(F.col("s") - F.col("__s")))).first()[0]
         score = new
         if gap is None or gap < tol:
-            break
-    return score.withColumnRenamed("s", "centrality")
+            return score.withColumnRenamed("s", "centrality")
+        smallest, stalled = (gap, 0) if smallest is None or gap < smallest else (smallest, stalled + 1)
+        if math.isnan(gap) or stalled > 20:
+            raise RuntimeError(f"authority does not settle: values still move by {gap}")
 
 
-def label_propagation(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame) -> DataFrame:
     """``(name, group)``: each node takes the label most of its neighbours carry; its own label
-    counts once, ties go to the smallest label. Stops when nothing changes."""
+    counts once, ties go to the smallest label.
+
+    Rounds go on until nothing changes. If they come back to an earlier state instead, each node takes the smallest label it
+    has in that cycle.
+    """
     adj = cut_lineage(symmetric(edges))
-    lab = cut_lineage(endpoints(edges).withColumn("group", F.col("name")))
-    for _ in range(max_rounds):
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("name", "group").cast("decimal(38,0)")).alias("h")]
+    lab, state = cut_observed(endpoints(edges).withColumn("group", F.col("name")), *mark)
+    states, seen = [lab], [state]
+    while True:
         sent = adj.join(lab, F.col("src") == F.col("name")).select(F.col("dst").alias("name"), "group").unionByName(lab)
         votes = sent.groupBy("name", "group").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("name").agg(F.min_by("group", F.struct(-F.col("n"), F.col("group"))).alias("group"))
-        best = cut_lineage(best)
-        old = lab.withColumnsRenamed({"name": "__n", "group": "__g"})
-        changed = best.join(old, (F.col("name") == F.col("__n")) & (F.col("group") != F.col("__g")), "left_semi")
-        lab_done = changed.isEmpty()
-        lab = best
-        if lab_done:
-            break
-    return lab
-
-
-BROADCAST_EDGES = 100_000
-
-
-def _brandes_from(sources: Iterable, near: dict) -> Iterator[tuple]:
-    """Brandes from each source over an adjacency that fits a broadcast: ``("f", v, w, flow)`` per
-    edge used, and ``("r", node, source, flag)`` per node reached; the flag is 1 once per component,
-    at its smallest node."""
-    for s in sources:
-        sigma, depth, order = {s: 1.0}, {s: 0}, [s]
-        for v in order:
-            for w in near.get(v, ()):
-                if w not in depth:
-                    depth[w], sigma[w] = depth[v] + 1, 0.0
-                    order.append(w)
-                if depth[w] == depth[v] + 1:
-                    sigma[w] += sigma[v]
-        smallest = min(order)
-        delta = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            yield "r", w, s, float(w == s == smallest)
-            for v in near.get(w, ()):
-                if depth[v] == depth[w] - 1:
-                    flow = sigma[v] / sigma[w] * (1 + delta[w])
-                    delta[v] += flow
-                    yield "f", min(v, w), max(v, w), flow
-
-
-def _adjacency(adj: DataFrame) -> dict:
-    """Neighbour lists of a graph whose edges were counted against ``BROADCAST_EDGES``."""
-    near: dict = {}
-    for row in adj.orderBy("src", "dst").collect():
-        near.setdefault(row["src"], []).append(row["dst"])
-    return near
-
-
-def _brandes_broadcast(sources: DataFrame, near: dict) -> tuple[DataFrame, DataFrame, int]:
-    """The pass for a small graph: every task holds the adjacency and works on its share of the
-    sources, so it is one job. Also returns the number of components."""
-    spark = sources.sparkSession
-    shared = spark.sparkContext.broadcast(near)
-    kind = sources.schema["name"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pd.DataFrame(_brandes_from(pdf["name"], shared.value), columns=["kind", "a", "b", "flow"])
-            # sums and minima per batch: a task hands on at most one row per edge and per node
-            yield rows[rows.kind == "f"].groupby(["kind", "a", "b"], as_index=False)["flow"].sum()
-            yield rows[rows.kind == "r"].groupby(["kind", "a"], as_index=False).agg({"b": "min", "flow": "sum"})
-
-    spread = sources.repartition(spark.sparkContext.defaultParallelism)
-    parts = F.sum(F.when(F.col("kind") == "r", F.col("flow")).otherwise(0.0)).alias("n")
-    out, seen = cut_observed(spread.mapInPandas(run, f"kind string, a {kind}, b {kind}, flow double"), parts)
-    between = out.where("kind = 'f'").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(
-        (F.sum("flow") / 2).alias("betweenness"))
-    reached = out.where("kind = 'r'").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("group"))
-    return between, reached, int(seen["n"] or 0)
-
-
-def _brandes_levels(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level-synchronous Brandes pass from every source at once: the edge betweenness, and
-    ``(name, group)`` with the smallest source that reaches each node (its component).
+        lab, state = cut_observed(best, *mark)
+        if state in seen:
+            cycle = states[seen.index(state):]
+            every = reduce(lambda a, b: a.unionByName(b), cycle)
+            return every.groupBy("name").agg(F.min("group").alias("group"))
+        states.append(lab)
+        seen.append(state)
+
+
+def _brandes_levels(adj: DataFrame) -> DataFrame:
+    """One level-synchronous Brandes pass from every source at once.
 
     The frontier is a table of (source, node) with path counts, grown level by level; then the
     dependencies are summed back level by level. Every level is written once.
@@ -287,24 +235,22 @@ def _brandes_levels(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
                            .select("s", "v", "w", (F.col("sigma") * F.col("share")).alias("flow")))
         flows.append(back.select("v", "w", "flow"))
         delta = back.groupBy("s", "v").agg(F.sum("flow").alias("delta"))
-    reached = visited.groupBy(F.col("v").alias("name")).agg(F.min("s").alias("group"))
     if not flows:
         kind = adj.schema["src"].dataType.simpleString()
-        return adj.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, betweenness double"), reached
+        return adj.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, betweenness double")
     every = flows[0]
     for f in flows[1:]:
         every = every.unionByName(f)
-    between = (every.groupBy(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"))
-               .agg((F.sum("flow") / 2).alias("betweenness")))
-    return between, reached
+    return (every.groupBy(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"))
+            .agg((F.sum("flow") / 2).alias("betweenness")))
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """``(src, dst, betweenness)`` of an undirected, unweighted graph."""
-    adj, n = cut_counted(symmetric(edges))
-    if n <= 2 * BROADCAST_EDGES:
-        return _brandes_broadcast(endpoints(adj), _adjacency(adj))[0]
-    return _brandes_levels(adj)[0]
+    """``(src, dst, betweenness)`` of an undirected, unweighted graph.
+
+    All sources walk at once, so the work is one row per source and node that reach each other: for graphs of items, not of rows.
+    """
+    return _brandes_levels(cut_lineage(symmetric(edges)))
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
@@ -318,47 +264,6 @@ def modularity(edges: DataFrame, groups: DataFrame) -> float:
     return m["inside"] / m["m"] - deg["q"] / (4.0 * m["m"] ** 2)
 
 
-def edge_betweenness_communities(edges: DataFrame) -> DataFrame:
-    """``(name, group)`` by removing the edge of highest betweenness again and again (Girvan &
-    Newman) and keeping the split of highest modularity; ties take the smallest edge.
-
-    One removal per round as the method defines, so the number of rounds is the number of edges;
-    it is meant for graphs already cut to their strong edges. ``label_propagation`` is the choice
-    for large graphs.
-    """
-    base = cut_lineage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-                       .where(F.col("src") != F.col("dst")).distinct())
-    nodes, n_nodes = cut_counted(endpoints(base))
-    adj, n_adj = cut_counted(symmetric(base))
-    near = _adjacency(adj) if n_adj <= 2 * BROADCAST_EDGES else None
-    best, best_q, parts = None, None, -1
-    while True:
-        if near is not None:
-            between, comp, n = _brandes_broadcast(nodes, near)
-        else:
-            between, comp = _brandes_levels(adj)
-            have = comp.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("group").alias("groups")).first()
-            # nodes without an edge left are groups of their own
-            n = have["groups"] + n_nodes - have["nodes"]
-        if n != parts:
-            parts = n
-            own = comp.withColumnRenamed("name", "__n")
-            groups = cut_lineage(nodes.join(own, F.col("name") == F.col("__n"), "left").select(
-                "name", F.coalesce("group", "name").alias("group")))
-            q = modularity(base, groups)
-            if best_q is None or q > best_q + 1e-12:
-                best, best_q = groups, q
-        top = between.orderBy(F.round("betweenness", 9).desc(), "src", "dst").first()
-        if top is None:
-            return best
-        if near is not None:
-            near[top["src"]].remove(top["dst"])
-            near[top["dst"]].remove(top["src"])
-        else:
-            cut = F.col("src").isin(top["src"], top["dst"]) & F.col("dst").isin(top["src"], top["dst"])
-            adj = cut_lineage(adj.where(~cut))
-
-
 def bfs_forest(edges: DataFrame) -> DataFrame:
     """``(name, parent, depth)``: a breadth-first tree per component, rooted at its smallest node;
     the parent is the smallest neighbour one level up."""

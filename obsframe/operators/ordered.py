@@ -186,7 +186,8 @@ def top_frac_with_ties(df: DataFrame, value: str, frac: float) -> DataFrame:
 # -- sampling --------------------------------------------------------------------------------
 
 def _draw(id_cols: Sequence[str], seed: int) -> Column:
-    return uniform_from_md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]), seed)
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in id_cols]  # a missing part has its own place
+    return uniform_from_md5(F.concat_ws("|", *known), seed)
 
 
 def sample_rows(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 1234) -> DataFrame:

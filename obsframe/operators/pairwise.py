@@ -4,7 +4,7 @@ Rows are first reduced to one per (item, feature) and written once. Pairs are fo
 equi-join on the feature and summed inside the join stage, so what is shuffled afterwards is at
 most one row per item pair and task. A feature that holds very many items would still make one task form all its
 pairs; such features are cut into blocks of items, and each pair of blocks is its own join key.
-Every pair is formed exactly once and none is dropped.
+Every pair is formed exactly once and none is dropped. A missing stratum is a stratum like any other.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import row_number_by
+from .relational import anti_join, inner_join, left_join
 
 BLOCK = 2000
 
@@ -28,7 +29,7 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
 def _self_join(rows: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str]) -> DataFrame:
     left = rows.select(*keys, F.col(item).alias("item1"), *[F.col(p).alias(f"{p}1") for p in payload])
     right = rows.select(*keys, F.col(item).alias("item2"), *[F.col(p).alias(f"{p}2") for p in payload])
-    return left.join(right, list(keys)).where(F.col("item1") < F.col("item2"))
+    return inner_join(left, right, list(keys)).where(F.col("item1") < F.col("item2"))
 
 
 def _blocked_self_join(rows: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str],
@@ -43,7 +44,7 @@ def _blocked_self_join(rows: DataFrame, keys: Sequence[str], item: str, payload:
     right = rows.withColumn("__o", others).select(
         *keys, F.col("__o").alias("__l"), F.col("__b").alias("__r"), F.col(item).alias("item2"),
         *[F.col(p).alias(f"{p}2") for p in payload])
-    return left.join(right, [*keys, "__l", "__r"]).where(F.col("item1") < F.col("item2")).drop("__l", "__r")
+    return inner_join(left, right, [*keys, "__l", "__r"]).where(F.col("item1") < F.col("item2")).drop("__l", "__r")
 
 
 def pairs_within(rows: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str] = (),
@@ -59,8 +60,8 @@ def pairs_within(rows: DataFrame, keys: Sequence[str], item: str, payload: Seque
     if largest <= block:
         return _self_join(rows, keys, item, payload)
     big = sizes.where(F.col("__size") > block)
-    light = _self_join(rows.join(big.select(*keys), keys, "left_anti"), keys, item, payload)
-    return light.unionByName(_blocked_self_join(rows.join(big, keys), keys, item, payload, "__size", block))
+    light = _self_join(anti_join(rows, big, keys), keys, item, payload)
+    return light.unionByName(_blocked_self_join(inner_join(rows, big, keys), keys, item, payload, "__size", block))
 
 
 def pairwise_count(df: DataFrame, item: str, feature: str, weight: str | None = None,
@@ -120,13 +121,13 @@ def pairwise_phi(df: DataFrame, item: str, feature: str, strata: Sequence[str] =
     n_features = rows.select(*strata, feature).distinct()
     if strata:
         totals = n_features.groupBy(*strata).agg(F.count(F.lit(1)).alias("total"))
-        universe = singles.join(totals, strata)
+        universe = inner_join(singles, totals, strata)
     else:
         universe = singles.withColumn("total", F.lit(n_features.count())).withColumn("__all", F.lit(0))
     # one row per item from here on
     pairs = pairs_within(cut_lineage(universe), strata or ["__all"], "item", ["cnt", "total"], block).select(
         *strata, "item1", "item2", "cnt1", "cnt2", F.col("total1").alias("total"))
-    pairs = pairs.join(together, [*strata, "item1", "item2"], "left")
+    pairs = left_join(pairs, together, [*strata, "item1", "item2"])
     n1, n2, n_all = (F.col(c).cast("double") for c in ("cnt1", "cnt2", "total"))
     n11 = F.coalesce(F.col("n11"), F.lit(0)).cast("double")
     phi = F.try_divide(n_all * n11 - n1 * n2, F.sqrt(n1 * (n_all - n1) * n2 * (n_all - n2)))

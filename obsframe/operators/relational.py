@@ -81,22 +81,22 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return keep_group_extreme(df, keys, order)
 
 
-def short_domain(df: DataFrame, name: str, limit: int = 10_000) -> Column:
-    """The sorted distinct values of a column as one array; an error above ``limit`` values."""
-    values = df.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1)
-    a = F.sort_array(F.collect_set(name))
-    checked = F.when(F.size(a) > limit, F.raise_error(F.lit(f"{name} has more than {limit} values")).cast(
-        f"array<{df.select(name).schema[0].dataType.simpleString()}>")).otherwise(a)
-    return values.agg(checked.alias("a")).scalar()
+def combinations_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``.
 
+    The result is a product by definition, so it is made where it stays: ``left`` is dealt over as many parts as there are
+    shuffle partitions, ``right``, the smaller table, goes to every part, and the parts are an equi-join key.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))
+    copied = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copied, "__part").drop("__part")
 
-def complete_grid(df: DataFrame, key: str, values: DataFrame, name: str, fill: dict | None = None) -> DataFrame:
-    """Every ``key`` with every value of a short list, missing combinations filled.
 
-    ``values`` holds a small fixed domain (months, layers): it becomes one array that is
-    exploded per key, so there is no product join.
-    """
-    grid = df.select(key).distinct().withColumn("__a", short_domain(values, name)).select(key, F.explode("__a").alias(name))
+def complete_grid(df: DataFrame, key: str, values: DataFrame, name: str, fill: dict | None = None) -> DataFrame:
+    """Every ``key`` with every non-null value of ``values``, missing combinations filled."""
+    domain = values.select(name).where(F.col(name).isNotNull()).distinct()
+    grid = combinations_of(df.select(key).distinct(), domain)
     out = left_join(grid, df, [key, name])
     return out.fillna(fill) if fill else out
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_number_by
+from .ordered import row_number
+from .relational import inner_join
 
 
 def select_matching(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,26 +28,24 @@ def longer(df: DataFrame, keep: Sequence[str], name: str = "name", value: str =
     return df.unpivot(list(keep), columns, name, value)
 
 
-def distinct_values(df: DataFrame, name: str, limit: int = 10_000) -> list:
-    """The sorted distinct values of a column that becomes column headers."""
-    rows = df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{name} has more than {limit} values: too many for columns")
-    return [r[0] for r in rows]
+def distinct_values(df: DataFrame, name: str) -> list:
+    """The sorted distinct values of a column that becomes column headers. A wide table's header lives on the driver; for names
+    without bound stay in long form."""
+    return [r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).collect()]
 
 
 def wider(df: DataFrame, keys: Sequence[str], names_from: str, values_from: str,
           values: Sequence | None = None, prefix: str = "") -> DataFrame:
-    """Long to wide; combinations that do not occur are NULL."""
+    """Long to wide; combinations that do not occur are NULL, of several values in one cell the smallest stays."""
     values = list(values) if values is not None else distinct_values(df, names_from)
-    out = df.groupBy(*keys).pivot(names_from, values).agg(F.first(values_from, ignorenulls=True))
+    out = df.groupBy(*keys).pivot(names_from, values).agg(F.min(values_from))
     return out.withColumnsRenamed({str(v): f"{prefix}{v}" for v in values}) if prefix else out
 
 
 def wider_by_rank(df: DataFrame, names_from: str, value: str, order: Sequence[Column],
                   values: Sequence | None = None) -> DataFrame:
     """One column per group, rows aligned by rank inside the group."""
-    ranked = row_number_by(df, [names_from], order, "rank")
+    ranked = row_number(df, order, "rank", [names_from])
     return wider(ranked, ["rank"], names_from, value, values)
 
 
@@ -70,7 +69,7 @@ def nest(df: DataFrame, keys: Sequence[str], into: str = "data", cell_rows: int
     spread = spread_on if spread_on is not None else F.xxhash64(*[F.col(f"`{c}`") for c in rest])
     parts = F.ceil(F.col("__n") / F.lit(float(cell_rows)))
     return (
-        df.join(sizes, list(keys))
+        inner_join(df, sizes, list(keys))
         .withColumn("part", F.pmod(spread, parts).cast("int"))
         .groupBy(*keys, "part")
         .agg(F.collect_list(F.struct(*rest)).alias(into))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projections import LONLAT, Projection, laea
-from .relational import short_domain
+from .relational import combinations_of
 
 
 # -- geometry tables -------------------------------------------------------------------------
@@ -301,11 +301,9 @@ def layer_bins(cells: DataFrame, value: str, probs: Sequence[float]) -> DataFram
 
 
 def facet_background(cells: DataFrame, cluster: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Every distinct cell once per cluster, flagged where it belongs to the cluster.
-
-    The cluster labels are a short domain (one array), exploded per cell.
-    """
-    grid = cells.select(x, y).distinct().withColumn("__a", short_domain(cells, cluster)).select(x, y, F.explode("__a").alias(cluster))
+    """Every distinct cell once per cluster, flagged where it belongs to the cluster."""
+    clusters = cells.select(cluster).where(F.col(cluster).isNotNull()).distinct()
+    grid = combinations_of(cells.select(x, y).distinct(), clusters)
     own = cells.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(cluster).alias("__c")).distinct()
     on = (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")) & (F.col(cluster) == F.col("__c"))
     return grid.join(own, on, "left").withColumn("member", F.col("__c").isNotNull()).drop("__x", "__y", "__c")

@@ -98,13 +98,13 @@ def _(t):
 
 
 @query("a13_profile", (), f"""
-SELECT label, 'e' || i AS name, {R('AVG(embedding[i])', 5)} AS value FROM embeddings, range(1, 9) v(i) GROUP BY 1, 2""")
+SELECT label, 'e' || i AS name, {R('AVG(embedding[i])', 5)} AS value FROM embeddings, range(1, 65) v(i) GROUP BY 1, 2""")
 def _(t):
     from ..operators.cluster import cluster_profile
 
-    names = [f"e{i}" for i in range(1, 9)]
-    wide = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(8)])
-    return cluster_profile(wide, "label", names).withColumn("value", r("value", 5))
+    from .q_models import FEATURES, vectors_wide
+
+    return cluster_profile(vectors_wide(t).drop("vec_id"), "label", FEATURES).withColumn("value", r("value", 5))
 
 
 @query("a15_histogram", ("tiles",), f"""

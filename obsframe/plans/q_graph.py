@@ -103,11 +103,6 @@ def _(t):
     return G.edge_betweenness(t.strong).withColumn("betweenness", r("betweenness"))
 
 
-@query("g09_betweenness_communities")
-def _(t):
-    return G.edge_betweenness_communities(t.strong)
-
-
 def propagation_sql(rounds: int = 20) -> str:
     steps = ["b AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong)",
              "l0 AS MATERIALIZED (SELECT DISTINCT src AS name, src AS lab FROM b)"]
@@ -189,10 +184,14 @@ def _(t):
 
 
 @query("g18_components_of_customers", (), """
-WITH s AS (SELECT DISTINCT o_custkey AS c, o_orderdate AS d FROM orders)
-SELECT COUNT(DISTINCT c) + COUNT(DISTINCT d) AS nodes FROM s""")
+WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'd' || CAST(o_orderdate AS DATE) AS dst FROM orders),
+both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT MIN(src) AS first, MIN(src) AS name FROM both_ways UNION SELECT r.first, b.dst FROM reach r JOIN both_ways b ON r.name = b.src),
+parts AS (SELECT n.name, r.first FROM (SELECT DISTINCT src AS name FROM both_ways) n LEFT JOIN reach r USING (name))
+SELECT COUNT(*) AS nodes, first AS component FROM parts GROUP BY 2"""
+)
 def _(t):
     """Customers and days, linked by orders: a graph that grows with the orders table."""
     e = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
                         F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string")).alias("dst")).distinct()
-    return G.connected_components(e).agg(F.count(F.lit(1)).alias("nodes"))
+    return G.connected_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))

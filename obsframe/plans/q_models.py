@@ -13,13 +13,32 @@ from .flows import wide_tiles
 from .q_rows import u_sql
 from .registry import R, big, query, r, text
 
-DIMS = 16
+DIMS = 64  # length of the vectors
 FEATURES = [f"e{i + 1}" for i in range(DIMS)]
 
 
 def vectors_wide(t):
-    """The first dimensions of the vectors as a wide feature table."""
-    return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    """The vectors as a wide feature table; a vector of another length is an error."""
+    whole = F.when(F.size("embedding") == DIMS, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {DIMS} dimensions")).cast("array<float>"))
+    vectors = t.embeddings.select("vec_id", "label", whole.alias("v"))
+    return vectors.select("vec_id", "label", *[F.col("v")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
+
+
+#: One row per vector and dimension, the dimension as a feature name.
+LONG = "long_v AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings)"
+
+
+def fits(assigned, centres):
+    """Per row: no other centre is nearer than its own, and its own centre is the mean of its cluster's rows."""
+    from ..session import cut_lineage
+
+    rows = cut_lineage(assigned)
+    all_centres = F.array(*[F.array(*[F.lit(v) for v in r["centre"]]) for r in centres.collect()])  # k rows, fixed by the query
+    apart = lambda c: F.aggregate(F.zip_with(F.col("point"), c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, x: a + x)
+    nearest = F.col("d2") <= F.array_min(F.transform(all_centres, apart)) + 1e-9
+    means = rows.groupBy("cluster").agg(F.array(*[F.avg(F.col("point")[i]) for i in range(DIMS)]).alias("mean"))
+    off = means.join(centres, "cluster").select("cluster", F.array_max(F.zip_with("mean", "centre", lambda a, b: F.abs(a - b))).alias("off"))
+    return rows.join(F.broadcast(off), "cluster").withColumn("fits", nearest & (F.col("off") < 1e-2))
 
 
 def tile_matrix(t):
@@ -34,10 +53,25 @@ def season_matrix(t):
     return wide.toDF("common_name", *names), names
 
 
-@query("m01_pca_variance")
+@query("m01_pca_variance", (), f"""
+WITH {LONG}, z AS (SELECT vec_id, i, x FROM long_v), c AS (SELECT corr(a.x, b.x) AS r FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i)
+SELECT {DIMS}::BIGINT AS components, 1.0::DOUBLE AS total, {R('SUM(r * r)', 3)} AS squares FROM c""")
 def _(t):
+    """The eigenvalues sum up to the trace of the correlations, their squares to the sum of squared correlations."""
     _, variance, _ = C.pca(vectors_wide(t), ["vec_id"], FEATURES)
-    return variance.select(big("PC").alias("pc"), r("share", 5).alias("share"))
+    value = F.col("share") * DIMS
+    return variance.agg(F.count(F.lit(1)).alias("components"), r(F.sum("share")).alias("total"), r(F.sum(value * value), 3).alias("squares"))
+
+
+@query("m01_pca_correlations", (), f"""
+WITH {LONG} SELECT 'e' || a.i AS a, 'e' || b.i AS b, {R('corr(a.x, b.x)', 5)} AS r FROM long_v a JOIN long_v b USING (vec_id) GROUP BY a.i, b.i""")
+def _(t):
+    """Rotation, eigenvalues and rotation again give the correlations back."""
+    rotation, variance, _ = C.pca(vectors_wide(t), ["vec_id"], FEATURES)
+    left = rotation.select("PC", F.col("column").alias("a"), F.col("value").alias("va"))
+    right = rotation.select("PC", F.col("column").alias("b"), F.col("value").alias("vb"))
+    back = left.join(right, "PC").join(variance, "PC")
+    return back.groupBy("a", "b").agg(r(F.sum(F.col("va") * F.col("vb") * F.col("share") * DIMS), 5).alias("r"))
 
 
 @query("m01_pca_norms", (), f"SELECT k AS pc, 1.0::DOUBLE AS norm FROM range(1, {DIMS + 1}) v(k)")
@@ -53,11 +87,12 @@ def _(t):
     return C.rotation_wide(rotation, 3).select("column", *[r(f"PC{i}", 4).alias(f"PC{i}") for i in (1, 2, 3)])
 
 
-@query("m03_kmeans_sizes", (), "SELECT COUNT(*) AS n FROM embeddings")
+@query("m03_kmeans_sizes", (), f"""
+WITH {LONG} SELECT COUNT(DISTINCT vec_id) AS n, TRUE AS one_step_changes_nothing FROM long_v""")
 def _(t):
     vec = C.vectors(vectors_wide(t), ["vec_id"], FEATURES)
     assigned, centres = C.kmeans(vec, 9)
-    return C.cluster_table(assigned, centres).agg(F.sum("size").alias("n"))
+    return fits(assigned, centres).agg(F.count(F.lit(1)).alias("n"), F.every("fits").alias("one_step_changes_nothing"))
 
 
 @query("m03_m05_kmeans_table")
@@ -67,27 +102,41 @@ def _(t):
     return C.cluster_table(assigned, centres).select(big("cluster").alias("cluster"), "size", r("withinss").alias("withinss"))
 
 
-@query("m04_sweep_one_cluster", (), f"SELECT 1::BIGINT AS k, {R(' + '.join(f'var_pop(embedding[{i + 1}]) * COUNT(*)' for i in range(DIMS)), 3)} AS tot_withinss FROM embeddings")
+@query("m04_sweep_one_cluster", (), f"""
+WITH {LONG} SELECT 1::BIGINT AS k, {R('SUM(s)', 3)} AS tot_withinss FROM (SELECT var_pop(x) * COUNT(*) AS s FROM long_v GROUP BY i)""")
 def _(t):
-    s, _ = C.kmeans_sweep(vectors_wide(t), ["vec_id"], FEATURES, [1])
+    s, _, _ = C.kmeans_sweep(vectors_wide(t), ["vec_id"], FEATURES, [1])
     return s.select(big("k").alias("k"), r("tot_withinss", 3).alias("tot_withinss"))
 
 
 @query("m04_season_sweep")
 def _(t):
     wide, names = season_matrix(t)
-    s, _ = C.kmeans_sweep(wide, ["common_name"], names, range(1, 10))
+    s, _, _ = C.kmeans_sweep(wide, ["common_name"], names, range(1, 21))
     return s.select(big("k").alias("k"), r("tot_withinss").alias("tot_withinss"), r("betweenss").alias("betweenss"))
 
 
 @query("m04_w05_sweep_change")
 def _(t):
     wide, names = season_matrix(t)
-    s, _ = C.kmeans_sweep(wide, ["common_name"], names, range(1, 6))
+    s, _, _ = C.kmeans_sweep(wide, ["common_name"], names, range(1, 21))
     return lag_change(s, "k", "tot_withinss", "diff").select(big("k").alias("k"), r("diff").alias("diff"))
 
 
-@query("m06_fit_summary", (), f"SELECT {R(' + '.join(f'var_samp(embedding[{i + 1}]) * (COUNT(*) - 1)' for i in range(DIMS)), 3)} AS totss, TRUE AS adds_up FROM embeddings")
+@query("m04_sweep_tables", (), f"""
+WITH {LONG}, tot AS (SELECT SUM(s) AS totss, ANY_VALUE(n) AS n FROM (SELECT var_pop(x) * COUNT(*) AS s, COUNT(*) AS n FROM long_v GROUP BY i))
+SELECT k, n AS members, {R('totss', 2)} AS within_and_between FROM tot, (VALUES (1), (2), (5)) v(k)""")
+def _(t):
+    """Sizes of a sweep's clusters add up, and so do the squares within them and between their centres."""
+    wide = vectors_wide(t)
+    _, _, clusters = C.kmeans_sweep(wide, ["vec_id"], FEATURES, [1, 2, 5])
+    middle = F.array(*[F.lit(v) for v in wide.agg(*[F.avg(c) for c in FEATURES]).first()])
+    apart = F.aggregate(F.zip_with("centre", middle, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return clusters.groupBy("k").agg(F.sum("size").alias("members"), r(F.sum(F.col("withinss") + F.col("size") * apart), 2).alias("within_and_between"))
+
+
+@query("m06_fit_summary", (), f"""
+WITH {LONG} SELECT {R('SUM(s)', 3)} AS totss, TRUE AS adds_up FROM (SELECT var_samp(x) * (COUNT(*) - 1) AS s FROM long_v GROUP BY i)""")
 def _(t):
     vec = C.vectors(vectors_wide(t), ["vec_id"], FEATURES)
     assigned, _ = C.kmeans(vec, 4)
@@ -96,11 +145,11 @@ def _(t):
     return d.select(r("totss", 3).alias("totss"), (ok & (F.col("betweenss") > 0)).alias("adds_up"))
 
 
-@query("m07_assignments", (), "SELECT vec_id, label FROM embeddings")
+@query("m07_assignments", (), "SELECT vec_id, label, TRUE AS fits FROM embeddings")
 def _(t):
     wide = vectors_wide(t)
-    assigned, _ = C.kmeans(C.vectors(wide, ["vec_id", "label"], FEATURES), 4)
-    return assigned.where(F.col("cluster").between(1, 4)).select("vec_id", big("label").alias("label"))
+    assigned, centres = C.kmeans(C.vectors(wide, ["vec_id", "label"], FEATURES), 4)
+    return fits(assigned, centres).where(F.col("cluster").between(1, 4)).select("vec_id", big("label").alias("label"), "fits")
 
 
 @query("m07_season_clusters")
@@ -111,7 +160,7 @@ def _(t):
 
 
 @query("m08_top_features", (), """
-WITH p AS (SELECT label, 'e' || i AS name, round(AVG(embedding[i]), 9) AS v FROM embeddings, range(1, 17) v(i) GROUP BY 1, 2),
+WITH p AS (SELECT label, 'e' || i AS name, round(AVG(embedding[i]), 9) AS v FROM embeddings, range(1, 65) v(i) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY v DESC, name) AS rn FROM p)
 SELECT rn AS "rank", MAX(CASE WHEN label = 0 THEN name END) AS "0", MAX(CASE WHEN label = 1 THEN name END) AS "1" FROM k WHERE rn <= 3 GROUP BY 1""")
 def _(t):
@@ -122,34 +171,39 @@ def _(t):
 @query("m09_ward")
 def _(t):
     wide, species = tile_matrix(t)
-    return C.ward(wide, ["x", "y"], species, 11).select("x", "y", big("cluster").alias("cluster"))
+    return C.hierarchical(wide, ["x", "y"], species, 11).select("x", "y", big("cluster").alias("cluster"))
 
 
 @query("m09_ward_members", (), "SELECT COUNT(*) AS n, 11::BIGINT AS clusters FROM embeddings")
 def _(t):
-    d = C.ward(vectors_wide(t), ["vec_id"], FEATURES, 11)
+    d = C.hierarchical(vectors_wide(t), ["vec_id"], FEATURES, 11)
     return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
 
 
 @query("m10_ward_wss")
 def _(t):
     wide, species = tile_matrix(t)
-    return C.ward_wss(wide, species, 20).select(big("clusters").alias("clusters"), r("wss").alias("wss"))
+    return C.hierarchical_wss(wide, species, 20).select(big("clusters").alias("clusters"), "members", r("wss").alias("wss"))
 
 
-@query("m10_ward_total", (), f"SELECT {R(' + '.join(f'var_pop(embedding[{i + 1}]) * COUNT(*)' for i in range(DIMS)), 3)} AS wss FROM embeddings")
+@query("m10_ward_total", (), f"""
+WITH {LONG} SELECT {R('SUM(s)', 3)} AS wss, ANY_VALUE(n) * 20 AS members, 19::BIGINT AS falls FROM (
+  SELECT var_pop(x) * COUNT(*) AS s, COUNT(*) AS n FROM long_v GROUP BY i)""")
 def _(t):
-    return C.ward_wss(vectors_wide(t), FEATURES, 20).where("clusters = 1").select(r("wss", 3).alias("wss"))
+    d = lag_change(C.hierarchical_wss(vectors_wide(t), FEATURES, 20), "clusters", "wss", "diff")
+    return d.agg(r(F.max(F.when(F.col("clusters") == 1, F.col("wss"))), 3).alias("wss"), F.sum("members").alias("members"),
+                 F.count(F.when(F.col("diff") < 0, 1)).alias("falls"))
 
 
 @query("m11_cluster_summary")
 def _(t):
     wide, species = tile_matrix(t)
-    return C.within_ss(C.ward(wide, ["x", "y"], species, 11), len(species)).select(
+    return C.within_ss(C.hierarchical(wide, ["x", "y"], species, 11), len(species)).select(
         big("cluster").alias("cluster"), "members", r("sse").alias("sse"))
 
 
-@query("m12_m13_mixture", (), "SELECT 5::BIGINT AS g, 5::BIGINT AS d, COUNT(*) AS n, 104::BIGINT AS df, TRUE AS likely FROM embeddings")
+@query("m12_m13_mixture", (), f"""
+SELECT 5::BIGINT AS g, {DIMS}::BIGINT AS d, COUNT(*) AS n, {4 + 5 * DIMS + 5 * DIMS * (DIMS + 1) // 2}::BIGINT AS df, TRUE AS likely FROM embeddings""")
 def _(t):
     _, _, fit = C.gaussian_mixture(vectors_wide(t), ["vec_id"], FEATURES)
     return fit.select(big("G").alias("g"), big("d").alias("d"), "n", big("df").alias("df"),
@@ -258,9 +312,9 @@ def _(t):
 
 
 @query("m21_correlations", (), f"""
-SELECT 'e' || i AS a, 'e' || j AS b, {R('corr(embedding[i], embedding[j])', 5)} AS r FROM embeddings, range(1, 9) p(i), range(1, 9) q(j) GROUP BY 1, 2""")
+SELECT 'e' || i AS a, 'e' || j AS b, {R('corr(embedding[i], embedding[j])', 5)} AS r FROM embeddings, range(1, 65) p(i), range(1, 65) q(j) GROUP BY 1, 2""")
 def _(t):
-    return C.correlation_matrix(vectors_wide(t), FEATURES[:8]).withColumn("r", r("r", 5))
+    return C.correlation_matrix(vectors_wide(t), FEATURES).withColumn("r", r("r", 5))
 
 
 @query("m21_sampled_pairs", ("tiles_ok",), f"""

@@ -11,7 +11,7 @@ from ..operators import spatial as X
 from ..operators.pairwise import pairwise_count
 from .registry import R, big, query, r, text
 
-U01 = "(CAST(('0x' || substr(md5('{seed}' || {key}), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0"
+U01 = "(CAST(('0x' || substr(md5('{seed}' || {key}), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
 
 
 def u_sql(key: str, seed: int = 1234) -> str:

@@ -167,10 +167,11 @@ def _(t):
 SELECT cell, CAST(week AS STRING) AS layer, {R('-80.5 + ((cell % 10) + 0.5) * CAST(0.2 AS DOUBLE)')} AS x, {R('41.25 - (FLOOR(cell / 10) + 0.5) * CAST(0.2 AS DOUBLE)')} AS y,
   {R('abundance')} AS value FROM cells""")
 def _(t):
-    from .q_spatial import GRID
+    from .q_spatial import grid_of
 
-    x, y = GRID.centre(F.col("cell") + 1)
-    d = t.cells.withColumn("x", x).withColumn("y", y).where(GRID.cell(F.col("x"), F.col("y")) == F.col("cell") + 1)
+    grid = grid_of(t)
+    x, y = grid.centre(F.col("cell") + 1)
+    d = t.cells.withColumn("x", x).withColumn("y", y).where(grid.cell(F.col("x"), F.col("y")) == F.col("cell") + 1)
     return d.select("cell", text("week").alias("layer"), r("x").alias("x"), r("y").alias("y"), r("abundance").alias("value"))
 
 
@@ -201,15 +202,17 @@ def _(t):
     return runs.where(~F.col("is_resident") & (F.col("p_size") >= 10) & ~F.col("p_name").rlike("example")).select("p_partkey", "p_name")
 
 
+#: The boundaries asked for, by name.
+BOUNDARIES = ("NATION_0", "NATION_3", "NATION_5", "NATION_8", "NATION_11", "NATION_14", "NATION_17", "NATION_20", "NATION_23")
+
+
 @query("s15_boundaries", ("sightings", "edges"), f"""
-WITH k AS (SELECT n_name FROM nation ORDER BY 1 LIMIT 9), spots AS (SELECT DISTINCT lng, lat FROM sightings),
+WITH spots AS (SELECT DISTINCT lng, lat FROM sightings),
 inside AS (SELECT DISTINCT lng, lat FROM (SELECT s.lng, s.lat, e.name FROM spots s JOIN edges e ON {CROSS}
-  WHERE e.name IN (SELECT n_name FROM k) GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1))
+  WHERE e.name IN {BOUNDARIES} GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1))
 SELECT species_code, COUNT(*) AS n FROM sightings JOIN inside USING (lng, lat) GROUP BY 1""")
 def _(t):
-    named = t.nation.select("n_name").orderBy("n_name").limit(9)
-    chosen = semi_join(t.regions, named.withColumnRenamed("n_name", "name"), ["name"])
-    return points_in(t.sightings, chosen, "lng", "lat").groupBy("species_code").agg(F.count(F.lit(1)).alias("n"))
+    return points_in(t.sightings, t.regions.where(F.col("name").isin(*BOUNDARIES)), "lng", "lat").groupBy("species_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s15_boundary_edges", ("edges",), f"SELECT name, {R('x1')} AS x1, {R('y1')} AS y1, {R('x2')} AS x2, {R('y2')} AS y2 FROM edges")

@@ -12,8 +12,13 @@ from .flows import top_sightings
 from .q_rows import CROSS
 from .registry import R, big, query, r, text
 
-# cells of the weekly table lie on this grid, ten columns wide
-GRID = X.Grid(left=-80.5, top=41.25, size=0.2, rows=400, cols=10)
+def grid_of(t, split: int = 1) -> X.Grid:
+    """The grid the cells of the weekly table lie on, ten columns wide and as many rows as the cells need; with ``split``
+    each of its cells is cut in so many rows and columns."""
+    last = t.cells.agg(F.max("cell")).first()[0] or 0
+    return X.Grid(left=-80.5, top=41.25, size=0.2 / split, rows=(last // 10 + 1) * split, cols=10 * split)
+
+
 CELL_X = "(-80.5 + (((cell - 1) % 10) + 0.5) * CAST(0.2 AS DOUBLE))"
 CELL_Y = "(41.25 - (FLOOR((cell - 1) / 10) + 0.5) * CAST(0.2 AS DOUBLE))"
 
@@ -21,7 +26,7 @@ CELL_Y = "(41.25 - (FLOOR((cell - 1) / 10) + 0.5) * CAST(0.2 AS DOUBLE))"
 def placed(t):
     """Weekly cells with their centres; cell numbers start at 1."""
     cells = t.cells.withColumn("cell", F.col("cell") + 1)
-    x, y = GRID.centre(F.col("cell"))
+    x, y = grid_of(t).centre(F.col("cell"))
     return cells.withColumn("x", x).withColumn("y", y)
 
 
@@ -74,12 +79,11 @@ def _(t):
 
 @query("x04_resample_nearest", ("cells",), f"""
 WITH {PLACED}, tgt AS (SELECT i + 1 AS cell, CAST(-80.5 + ((i % 20) + 0.5) * 0.1 AS DOUBLE) AS x, CAST(41.25 - (FLOOR(i / 20) + 0.5) * 0.1 AS DOUBLE) AS y
-  FROM range(0, 600) v(i)),
+  FROM range(0, (SELECT (MAX(cell) // 10 + 1) * 40 FROM cells)) v(i)),
 src AS (SELECT *, CAST(FLOOR((41.25 - y) / 0.2) AS BIGINT) * 10 + CAST(FLOOR((x + 80.5) / 0.2) AS BIGINT) + 1 AS s FROM tgt)
 SELECT t.cell, CAST(p.week AS STRING) AS week, {R('p.abundance')} AS abundance FROM src t JOIN placed p ON p.cell = t.s""")
 def _(t):
-    target = X.Grid(left=-80.5, top=41.25, size=0.1, rows=30, cols=20)
-    d = X.resample_nearest(placed(t), GRID, PR.LONLAT, target, PR.LONLAT)
+    d = X.resample_nearest(placed(t), grid_of(t), PR.LONLAT, grid_of(t, 2), PR.LONLAT)
     return d.select("cell", text("week").alias("week"), r("abundance").alias("abundance"))
 
 
@@ -132,7 +136,7 @@ WITH spots AS (SELECT i + 1 AS cell, -80.5 + ((i % 10) + 0.5) * CAST(0.2 AS DOUB
   FROM range(0, 4000) v(i))
 SELECT s.cell, e.name FROM spots s JOIN edges e ON {CROSS} GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1""")
 def _(t):
-    return X.rasterize(t.regions, GRID).select("cell", "name")
+    return X.rasterize(t.regions, grid_of(t)).select("cell", "name")
 
 
 @query("x11_layer_dates", ("cells",), """
@@ -182,7 +186,7 @@ WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
 
 @query("x13_region_cells", ("cells", "edges"), REGION_SQL)
 def _(t):
-    d = X.region_cells(placed(t).drop("cell"), region_one(t), GRID, PR.LONLAT, "abundance", 2000.0)
+    d = X.region_cells(placed(t).drop("cell"), region_one(t), grid_of(t), PR.LONLAT, "abundance", 2000.0)
     return d.select("cell", r("x", 3).alias("x"), r("y", 3).alias("y"), text("week").alias("week"), r("abundance").alias("abundance"))
 
 

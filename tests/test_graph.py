@@ -59,41 +59,12 @@ def brute_components(nodes, edges):
     return seen
 
 
-def brute_communities(edges):
-    nodes = set(itertools.chain(*edges))
-    base = {tuple(sorted(e)) for e in edges}
-    cur, best, best_q, parts = set(base), None, None, None
-    deg = {n: sum(n in e for e in base) for n in nodes}
-    while True:
-        comp = brute_components(nodes, cur)
-        if len(set(comp.values())) != parts:
-            parts = len(set(comp.values()))
-            m = len(base)
-            q = sum(comp[a] == comp[b] for a, b in base) / m - sum(
-                sum(deg[n] for n in nodes if comp[n] == c) ** 2 for c in set(comp.values())) / (4 * m * m)
-            if best_q is None or q > best_q + 1e-12:
-                best, best_q = comp, q
-        if not cur:
-            return best
-        bt = brute_betweenness(cur)
-        cur.remove(min(cur, key=lambda e: (-round(bt[e], 9), e)))
-
-
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_edge_betweenness(spark, monkeypatch, limit):
-    monkeypatch.setattr(G, "BROADCAST_EDGES", limit)
+def test_edge_betweenness(spark):
     got = {(r.src, r.dst): r.betweenness for r in G.edge_betweenness(table(spark, EDGES)).collect()}
     want = brute_betweenness(EDGES)
     assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e]) for e in want)
 
 
-@pytest.mark.parametrize("limit,edges", [(100_000, EDGES), (0, EDGES[:7])])
-def test_betweenness_communities(spark, monkeypatch, limit, edges):
-    monkeypatch.setattr(G, "BROADCAST_EDGES", limit)
-    got = {r.name: r.group for r in G.edge_betweenness_communities(table(spark, edges)).collect()}
-    assert got == brute_communities(edges)
-
-
 def test_components_on_path_hub_and_random(spark):
     rng = np.random.default_rng(5)
     path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)]
@@ -145,6 +116,27 @@ def test_authority_is_the_leading_eigenvector(spark):
     assert np.allclose([got[n] for n in names], v / v.max(), atol=1e-4)
 
 
+def propagated(edges):
+    """The rule round by round, to the end; in a cycle the smallest label."""
+    near = neighbours(edges)
+    lab, states = {n: n for n in near}, []
+    while lab not in states:
+        states.append(lab)
+        new = {}
+        for n in near:
+            votes = [lab[m] for m in near[n]] + [lab[n]]
+            new[n] = min(set(votes), key=lambda x: (-votes.count(x), x))
+        lab = new
+    cycle = states[states.index(lab):]
+    return {n: min(s[n] for s in cycle) for n in near}
+
+
+@pytest.mark.parametrize("edges", [[(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)], [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("a", "z"), ("b", "z")]])
+def test_label_propagation_runs_to_its_end(spark, edges):
+    got = {r.name: r.group for r in G.label_propagation(table(spark, edges)).collect()}
+    assert got == propagated(edges)
+
+
 def test_label_propagation(spark):
     cliques = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i, j in itertools.combinations(range(5), 2)] + [("a0", "b0")]
     got = {r.name: r.group for r in G.label_propagation(table(spark, cliques)).collect()}

@@ -1,4 +1,3 @@
-import itertools
 import math
 
 import numpy as np
@@ -25,11 +24,13 @@ def test_kmeans_invariants(spark):
     df = spark.createDataFrame(pdf).repartition(4)
     x = pdf[cols].to_numpy()
     totss = ((x - x.mean(0)) ** 2).sum()
-    s, a = C.kmeans_sweep(df, ["id"], cols, range(1, 7), starts=2)
+    s, a, clusters = C.kmeans_sweep(df, ["id"], cols, range(1, 7), starts=2)
     s = s.toPandas().sort_values("k")
     assert s.tot_withinss.iloc[0] == pytest.approx(totss)
     assert np.allclose(s.tot_withinss + s.betweenss, totss)
     assert s.tot_withinss.iloc[3] < 0.2 * totss and (s.tot_withinss.iloc[1:] < totss).all()
+    parts = clusters.groupBy("k").agg(F.sum("size").alias("n"), F.sum("withinss").alias("w")).toPandas().sort_values("k")
+    assert (parts.n == len(pdf)).all() and np.allclose(parts.w.to_numpy(), s.tot_withinss.to_numpy())
     a = a.toPandas()
     assert (a.groupby("k").size() == len(pdf)).all()
     for k, g in a.groupby("k"):
@@ -55,42 +56,22 @@ def test_pca(spark):
     assert scores.count() == len(pdf)
 
 
-def brute_ward(x, k):
-    clusters = [[i] for i in range(len(x))]
-    while len(clusters) > k:
-        def cost(p):
-            a, b = x[clusters[p[0]]], x[clusters[p[1]]]
-            return len(a) * len(b) / (len(a) + len(b)) * ((a.mean(0) - b.mean(0)) ** 2).sum()
-        i, j = min(itertools.combinations(range(len(clusters)), 2), key=cost)
-        clusters[i] += clusters.pop(j)
-    return sorted(sorted(c) for c in clusters)
+def test_hierarchy_of_separate_groups(spark):
+    pdf, cols = blobs(400, 3, 4, seed=6)
+    df, x = spark.createDataFrame(pdf), pdf[cols].to_numpy()
+    got = C.hierarchical(df, ["id"], cols, 4).toPandas()
+    assert sorted(sorted(g.id) for _, g in got.groupby("cluster")) == [list(range(i, 400, 4)) for i in range(4)]
+    curve = C.hierarchical_wss(df, cols, 6).toPandas().set_index("clusters").sort_index()
+    assert (curve.members == 400).all() and curve.wss[1] == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    assert curve.wss[4] == pytest.approx(sum(((x[i::4] - x[i::4].mean(0)) ** 2).sum() for i in range(4))) and (curve.wss.diff().dropna() < 0).all()
+    sse = C.within_ss(C.hierarchical(df, ["id"], cols, 6), 3).agg(F.sum("sse"), F.sum("members")).first()
+    assert sse[0] == pytest.approx(curve.wss[6]) and sse[1] == 400
 
 
-def wss(x, clusters):
-    return sum(((x[c] - x[c].mean(0)) ** 2).sum() for c in clusters)
-
-
-def test_ward_exact_when_rows_fit(spark):
-    pdf, cols = blobs(40, 3, 5, seed=4)
-    df, x = spark.createDataFrame(pdf), pdf[cols].to_numpy()
-    got = C.ward(df, ["id"], cols, 6).toPandas()
-    assert sorted(sorted(g.id) for _, g in got.groupby("cluster")) == brute_ward(x, 6)
-    sizes = got.groupby("cluster").size()
-    assert sizes.tolist() == sorted(sizes.tolist(), reverse=True)
-    curve = C.ward_wss(df, cols, 10).toPandas().set_index("clusters").wss
-    for k in (1, 4, 10):
-        assert curve[k] == pytest.approx(wss(x, brute_ward(x, k)))
-    sse = C.within_ss(C.ward(df, ["id"], cols, 6), 3).agg(F.sum("sse"), F.sum("members")).first()
-    assert sse[0] == pytest.approx(curve[6]) and sse[1] == 40
-
-
-def test_ward_condensed_is_close(spark):
-    pdf, cols = blobs(400, 3, 4, seed=6)
-    x = pdf[cols].to_numpy()
-    curve = C.ward_wss(spark.createDataFrame(pdf), cols, 6, micro=60).toPandas().set_index("clusters").wss
-    assert curve[1] == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-9)
-    true = wss(x, [list(range(i, 400, 4)) for i in range(4)])
-    assert curve[4] <= 1.1 * true
+def test_hierarchy_labels_run_by_size(spark):
+    pdf, cols = blobs(900, 4, 5, seed=4)
+    sizes = C.hierarchical(spark.createDataFrame(pdf), ["id"], cols, 7).groupBy("cluster").count().orderBy("cluster").toPandas()["count"].tolist()
+    assert len(sizes) == 7 and sizes == sorted(sizes, reverse=True)
 
 
 def test_mixture(spark):
@@ -104,6 +85,18 @@ def test_mixture(spark):
     assert u["mean"].between(0, 2 / 3).all()
 
 
+def test_mixture_of_many_features(spark):
+    """Forty features: the groups are found, and posteriors follow from the fitted components."""
+    pdf, cols = blobs(900, 40, 3, seed=11)
+    c, parts, fit = C.gaussian_mixture(spark.createDataFrame(pdf), ["id"], cols, g=3)
+    got = c.toPandas().set_index("id")
+    assert fit.first()["d"] == 40 and all(got["class"][got.index % 3 == i].nunique() == 1 for i in range(3)) and got["class"].nunique() == 3
+    means = {r["class"]: np.array(r["mean"]) for r in parts.collect()}
+    for k, m in means.items():
+        assert np.allclose(m, pdf[cols].to_numpy()[got["class"].loc[pdf.id].to_numpy() == k].mean(0), atol=1e-3)
+    assert (got.uncertainty < 1e-6).all()
+
+
 def test_correlation_matrix_with_constant(spark):
     pdf, cols = blobs(50)
     pdf["flat"] = 1.0

@@ -82,3 +82,32 @@ def test_empty_and_null_keys(spark):
     df = spark.createDataFrame([("a", None, 1.0), (None, "f", 1.0), ("a", "f", 1.0)], "item string, feature string, w double")
     assert P.pairwise_count(df, "item", "feature", "w").count() == 0
     assert P.pairwise_phi(df, "item", "feature").count() == 0
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_missing_stratum_is_a_stratum(spark, block):
+    rng = np.random.default_rng(12)
+    rows = [(None if s == 0 else f"s{s}", f"i{i}", f"f{f}") for s in range(3) for i in range(7) for f in range(9) if rng.random() < .5]
+    named = [("none" if s is None else s, i, f) for s, i, f in rows]
+    kind = "s string, i string, f string"
+    for fn, value in ((P.pairwise_phi, "correlation"), (P.pairwise_count, "n")):
+        got = {(r.s or "none", r.item1, r.item2): r[value] for r in fn(spark.createDataFrame(rows, kind), "i", "f", strata=["s"], block=block).collect()}
+        want = {(r.s, r.item1, r.item2): r[value] for r in fn(spark.createDataFrame(named, kind), "i", "f", strata=["s"], block=block).collect()}
+        assert got.keys() == want.keys() and any(k[0] == "none" for k in got)
+        assert all(got[k] == want[k] or got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_nest_keeps_missing_keys(spark):
+    from obsframe.operators.reshape import nest, unnest
+
+    rows = [(None, 1), (None, 2), ("a", 3)]
+    back = unnest(nest(spark.createDataFrame(rows, "k string, v int"), ["k"])).collect()
+    assert sorted((r.k or "", r.v) for r in back) == [("", 1), ("", 2), ("a", 3)]
+
+
+def test_wide_cell_with_several_values(spark):
+    from obsframe.operators.reshape import wider
+
+    rows = [(1, "a", 5), (1, "a", 3), (1, "b", None), (2, "b", 7)]
+    got = wider(spark.createDataFrame(rows, "k int, name string, v int").repartition(3), ["k"], "name", "v").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 3, None), (2, None, 7)]
