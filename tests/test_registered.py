@@ -15,7 +15,10 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 SOME = ["a05_two_level_mean", "a09_a10_quantiles", "a17_density", "a30_weighted_pairs", "a32_phi", "c06_parse_number", "f12_global_extreme",
         "j03_anti_join", "j09_points_intersect", "n03_weighted_sample", "p13_wider_by_rank", "s03_zip", "s17_frequency",
-        "t03_daily_sums", "u01_bind_rows", "w03_rolling_mean", "w08_fill_down", "x13_region_cells", "g11_biconnected", "m16_mean_coefficient"]
+        "t03_daily_sums", "u01_bind_rows", "w03_rolling_mean", "w08_fill_down", "x13_region_cells", "g11_biconnected", "m16_mean_coefficient",
+        "a13_profile", "a33_phi_per_stratum", "g10_label_propagation", "g18_components_of_customers", "j10_complete", "m01_pca_correlations", "m03_kmeans_sizes",
+        "m04_sweep_tables", "m07_assignments", "m10_ward_total", "m13_components", "n01_sample", "p15_nest_unnest", "s12_cell_table", "s15_boundaries",
+        "t02_chunk_callback", "x04_resample_nearest", "x16_facet_background"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
