@@ -1,8 +1,8 @@
 """Near-duplicate detection by Order MinHash (Marçais et al. 2019).
 
 A document's shingles of five words are labelled with their occurrence, so that repeats count. For each of several random
-orders the smallest few labelled shingles are taken and kept in text order: two documents agree on such a tuple with a
-probability that follows their edit similarity, not only the sets of shingles they share. Documents that agree on a tuple are candidates,
+orders the smallest few labelled shingles, some way apart, are taken and kept in text order: two documents agree on such a
+tuple with a probability that follows their edit similarity, not only the sets of shingles they share. Documents that agree on a tuple are candidates,
 and a banded alignment of their words decides: they are linked if at most a fifth of the longer one's words must be edited.
 Classes are the connected components of the links, and all documents of the same words are in one class.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
+from ..session import cut_counted, cut_lineage
 from .textbatch import U64, SpanHash, Words, find_words, mix, per_row, row_blocks, text_bytes
 
 SHINGLE = 5
 TUPLES = 32
 TAKEN = 2
+#: Shingles of one tuple begin at least so many words apart, or this share of a shorter text. Texts that have no more than a passage
+#: in common, a licence say, then do not agree on a tuple.
+APART, APART_SHARE = 80, 0.4
 FILTER_BITS = 22
+#: 64-bit words of the bitmap that says which words, by hash, a text has.
+BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
@@ -71,31 +77,42 @@ def labelled_shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     return mix(h + count.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), first
 
 
+def word_bitmaps(w: Words) -> np.ndarray:
+    """Rows by ``BITMAP`` 64-bit words; the bit of every word of the row is set. An edit changes two bits at most, so texts whose
+    bitmaps differ in more bits than twice the edits allowed cannot be linked."""
+    bit = (w.hash >> U64(7)) % U64(64 * BITMAP)
+    mask = U64(1) << (bit & U64(63))
+    return np.stack([per_row(np.where(bit >> U64(6) == U64(i), mask, U64(0)), w.first, np.bitwise_or) for i in range(BITMAP)], 1)
+
+
 def order_sketch(shingles: np.ndarray, first: np.ndarray, tuples: int = TUPLES, taken: int = TAKEN) -> tuple[np.ndarray, np.ndarray]:
     """``(rows, sketch)``: for every row with shingles one value per random order, the hash of its ``taken`` smallest shingles
-    in text order. A row with fewer shingles takes all it has."""
+    in text order, each some way from the smaller ones. A row with fewer such shingles takes all it has."""
     rows = np.flatnonzero(np.diff(first))
-    start, size = first[rows], np.diff(first)[rows]
     sketch = np.empty((len(rows), tuples), dtype=np.uint64)
-    low = U64((1 << 24) - 1)
-    place = (np.arange(len(shingles)) - np.repeat(start, size)).astype(np.uint64) & low
+    if not len(rows):
+        return rows, sketch
+    start, size = first[rows], np.diff(first)[rows]
+    low, used = U64((1 << 24) - 1), U64(2 ** 64 - 1)
+    place = np.arange(len(shingles)) - np.repeat(start, size)
+    apart = np.maximum(np.repeat(np.minimum(APART, (APART_SHARE * (size + SHINGLE - 1)).astype(np.int64)), size), 1)
     for j in range(tuples):
         keys = np.random.default_rng(1000 + j).integers(1, 1 << 63, 2, dtype=np.uint64) | U64(1)
         v = (shingles ^ keys[0]) * keys[1]
         v ^= v >> U64(32)
         v *= U64(0xBF58476D1CE4E5B9)
-        v = (v & ~low) | place  # the place of a minimum comes with it
+        v = (v & ~low) | (place.astype(np.uint64) & low)  # the place of a minimum comes with it
         picked = np.empty((len(rows), taken), dtype=np.int64)
         for i in range(taken):
-            if len(rows):
-                least = np.minimum.reduceat(v, start)
-                picked[:, i] = np.where(i < size, start + (least & low).astype(np.int64), -1)
-                v[picked[i < size, i]] = U64(2 ** 64 - 1)
+            least = np.minimum.reduceat(v, start)
+            at = (least & low).astype(np.int64)
+            picked[:, i] = np.where(least != used, start + at, -1)
+            if i + 1 < taken:
+                v[np.abs(place - np.repeat(at, size)) < apart] = used
         picked.sort(axis=1)
         h = np.full(len(rows), j + 1, dtype=np.uint64)
         for i in range(taken):
-            value = np.where(picked[:, i] >= 0, shingles[np.maximum(picked[:, i], 0)], U64(0)) if len(rows) else h
-            h = mix(h * U64(0xD1342543DE82EF95) + value)
+            h = mix(h * U64(0xD1342543DE82EF95) + np.where(picked[:, i] >= 0, shingles[np.maximum(picked[:, i], 0)], U64(0)))
         sketch[:, j] = h
     return rows, sketch
 
@@ -150,7 +167,7 @@ def within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
 def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     source = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text))
     schema = T.StructType([*source.schema[:2], T.StructField("content", T.BinaryType()), T.StructField("n_words", T.LongType()),
-                           T.StructField("sketch", T.ArrayType(T.LongType()))])
+                           T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("bitmap", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +180,9 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for r, s in zip(rows.tolist(), sketch.view(np.int64)):
                     listed[r] = s
                 part = b.slice(lo, hi - lo)
+                bitmap = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BITMAP, pa.int32()), pa.array(word_bitmaps(w).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], _binary(content_ids(x, o, w)), pa.array(np.diff(w.first)), pa.array(listed, pa.list_(pa.int64()))],
+                    [*part.columns[:2], _binary(content_ids(x, o, w)), pa.array(np.diff(w.first)), pa.array(listed, pa.list_(pa.int64())), bitmap],
                     names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -215,6 +233,14 @@ def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "src binary, dst binary")
 
 
+def _undecided(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(band, content, n_words, component)`` of the tuples that nodes of several components have."""
+    parts = connected_components(links).select(F.col("name").alias("content"), "component")
+    placed = members.select("content", "n_words", "band").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where(F.col("__lo") != F.col("__hi"))
+    return placed.join(mixed.select("band"), "band", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text_hash, class_id, class_size, class_key, representative, n_words)`` per row of ``docs``.
 
@@ -222,31 +248,52 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     One ``(key, text)`` of each class is its representative: the smallest key, then the smallest text hash. Texts of fewer than five words are
     only classed with equal ones, null with empty texts.
 
-    Texts of equal words are one node. A node is first aligned with a few of the smallest nodes it shares most tuples with,
-    which gathers large groups without their pairs; then all pairs that share a tuple and are still in different components are
-    aligned, if their lengths allow a link at all, so no link between classes is lost.
+    Texts of equal words are one node. A node is first aligned with the few leading nodes it shares most tuples with, then
+    with nodes of the largest components it shares tuples with, which gathers large groups without their pairs; last, all pairs
+    that share a tuple and are still in different components are aligned, if their lengths and their bitmaps of words allow a link at all. So every candidate
+    pair whose link could join two classes is decided.
     """
     rows = cut_lineage(_sketches(docs, key, text))
-    nodes = cut_lineage(rows.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch").dropDuplicates(["content"]))
+    nodes = cut_lineage(rows.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch", "bitmap").dropDuplicates(["content"]))
     bands = nodes.select("content", "n_words", F.explode("sketch").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("__n"), F.min("content").alias("leader")).where(F.col("__n") > 1).drop("__n")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
     members = cut_lineage(bands.join(shared, "band"))
+    # of edited copies of one text, the text itself has most tuples in common with the others: it leads
+    mass = members.groupBy("content").agg(F.sum("__n").alias("mass"))
+    leaders = members.join(mass, "content").groupBy("band").agg(F.max_by("content", F.struct("mass", "content")).alias("leader"))
     few = Window.partitionBy("content").orderBy(F.col("__n").desc(), "leader")
-    stars = (members.where(F.col("leader") != F.col("content")).groupBy("content", "leader").agg(F.count(F.lit(1)).alias("__n"))
+    stars = (members.join(leaders, "band").where(F.col("leader") != F.col("content")).groupBy("content", "leader").agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__rn", F.row_number().over(few)).where(F.col("__rn") <= 3))
-    stars = cut_lineage(stars.select(F.col("leader").alias("src"), F.col("content").alias("dst")))
+    stars = cut_lineage(stars.select(F.least("leader", "content").alias("src"), F.greatest("leader", "content").alias("dst")).distinct())
     words = cut_lineage(_word_codes(docs, members.select("content").distinct(), text))
-    links = cut_lineage(_linked(stars, words, similarity))
-
-    parts = connected_components(links).select(F.col("name").alias("content"), "component")
-    placed = members.select("content", "n_words", "band").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where(F.col("__lo") != F.col("__hi"))
-    open_ = cut_lineage(placed.join(mixed.select("band"), "band", "left_semi"))
-    other = open_.select("band", F.col("content").alias("dst"), F.col("n_words").alias("__m"), F.col("component").alias("__c"))
-    near = (F.col("n_words") >= similarity * F.col("__m")) & (F.col("__m") >= similarity * F.col("n_words"))
-    rest = open_.join(other, "band").where((F.col("content") < F.col("dst")) & (F.col("component") != F.col("__c")) & near)
-    rest = rest.select(F.col("content").alias("src"), "dst").distinct().join(stars, ["src", "dst"], "left_anti")
-    links = links.unionByName(cut_lineage(_linked(rest, words, similarity)))
+    links, tried = cut_lineage(_linked(stars, words, similarity)), stars
+
+    for seed in (1, 2):
+        # whoever is not yet with the component that most of a tuple's nodes belong to is aligned with one of its nodes
+        open_, n = cut_counted(_undecided(members, links))
+        if not n:
+            break
+        sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("__n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick"))
+        most = sizes.groupBy("band").agg(F.max_by(F.struct("component", "pick"), F.struct("__n", "component")).alias("m")).select(
+            "band", F.col("m.component").alias("__c"), "m.pick")
+        other = open_.join(most, "band").where(F.col("component") != F.col("__c"))
+        pairs = other.select(F.least("content", "pick").alias("src"), F.greatest("content", "pick").alias("dst")).distinct()
+        pairs = cut_lineage(pairs.join(tried, ["src", "dst"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
+    open_, n = cut_counted(_undecided(members, links))
+    if n:
+        bits = [F.col("bitmap")[i].alias(f"__b{i}") for i in range(BITMAP)]
+        open_ = cut_lineage(open_.join(nodes.select("content", *bits), "content"))
+        mine = open_.withColumnRenamed("content", "src")
+        other = open_.select("band", F.col("content").alias("dst"), F.col("n_words").alias("__m"), F.col("component").alias("__c"),
+                             *[F.col(f"__b{i}").alias(f"__o{i}") for i in range(BITMAP)])
+        edits = (1 - similarity) * F.greatest("n_words", "__m") + 1e-9
+        differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"__b{i}").bitwiseXOR(F.col(f"__o{i}"))) for i in range(BITMAP)])
+        near = (F.abs(F.col("n_words") - F.col("__m")) <= edits) & (differ <= 2 * edits)
+        pairs = mine.join(other, "band").where((F.col("src") < F.col("dst")) & (F.col("component") != F.col("__c")) & near)
+        pairs = pairs.select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti")
+        links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
 
     parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))
     first = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("k"), F.col("text_hash").alias("t"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from obsframe.llm.dedup_omh import SHINGLE, labelled_shingles, near_duplicates, order_sketch, within_band
+from obsframe.llm.dedup_omh import SHINGLE, labelled_shingles, near_duplicates, order_sketch, within_band, word_bitmaps
 from obsframe.llm.textbatch import find_words, text_bytes
 
 
@@ -31,6 +31,16 @@ def test_banded_alignment_against_the_full_table():
         assert within_band(np.array(a, np.int64), np.array(b, np.int64), most) == (distance(a, b) <= most), (a, b, most)
 
 
+def test_bitmaps_bound_the_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 60))]
+        b = [x if rng.random() > .2 else f"w{rng.randrange(60)}" for x in a if rng.random() > .05] or ["w"]
+        data, offs = text_bytes(pa.array([" ".join(a), " ".join(b)]))
+        bits = word_bitmaps(find_words(data, offs))
+        assert sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(*bits)) <= 2 * distance(a, b)
+
+
 def sketches(texts):
     data, offs = text_bytes(pa.array(texts))
     rows, sketch = order_sketch(*labelled_shingles(find_words(data, offs)))
