@@ -110,6 +110,14 @@ def _batch_segments(data: np.ndarray, offs: np.ndarray):
             yield span, local + lo, shift, trigger, first, last, span(trigger, trigger + LENGTH - REACH + 1)
 
 
+def _small_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of one MB of text, or of one longer row: what a task holds does not follow the batches given."""
+    for b in batches:
+        _, offs = text_bytes(b.column(text))
+        for lo, hi in row_blocks(offs, PIECE):
+            yield b.slice(lo, hi - lo)
+
+
 def _parse(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per row ``(key, tk, n_bytes, whole, self)``, and rows ``(tk, core)`` of its distinct cores. ``self``: a core occurs twice in it."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -118,7 +126,7 @@ def _parse(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small_batches(batches, 4):
             data, offs = text_bytes(b.column(4))
             rows, cores, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, row, shift, trigger, _, _, core in _batch_segments(data, offs):
@@ -162,18 +170,18 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def _blocks(work: DataFrame) -> DataFrame:
     """From ``(tk, text, cores)``: spans repeated within the text (``core`` null), and blocks of strings under the given cores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small_batches(batches, 1):
             data, offs = text_bytes(b.column(1))
             cores = b.column(2)
             count = np.diff(np.asarray(cores.offsets))
             given = _row_key(np.repeat(np.arange(b.num_rows), count), np.asarray(cores.flatten()).view(np.uint64))
             out = []  # row, first, last, core, union
             inner = []  # row, place, name of strings that may be repeated within their text
-            found = list(_batch_segments(data, offs))
-            keys = [_row_key(row, core) for _, row, _, _, _, _, core in found]
-            own = _repeated(np.concatenate(keys)) if keys else np.zeros(0, bool)
+            # the segments are made twice, since their hashers are too large to keep
+            keys = [np.zeros(0, np.uint64), *(_row_key(s[1], s[6]) for s in _batch_segments(data, offs))]
+            own = _repeated(np.concatenate(keys))
             upto = 0
-            for (span, row, shift, trigger, first, last, _), key in zip(found, keys):
+            for (span, row, shift, trigger, first, last, _), key in zip(_batch_segments(data, offs), keys[1:]):
                 mine = own[upto:upto + len(key)]
                 upto += len(key)
                 if mine.any():
