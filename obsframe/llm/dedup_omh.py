@@ -1,6 +1,6 @@
 """Near-duplicate detection by Order MinHash (Marçais et al. 2019).
 
-A document's shingles of five words are labelled with their occurrence, so that repeats count. For each of several random
+A document's shingles of five words, and those of three, are labelled with their occurrence, so that repeats count. For each of several random
 orders the smallest few labelled shingles, some way apart, are taken and kept in text order: two documents agree on such a
 tuple with a probability that follows their edit similarity, not only the sets of shingles they share. Documents that agree on a tuple are candidates,
 and a banded alignment of their words decides: they are linked if at most a fifth of the longer one's words must be edited.
@@ -25,7 +25,9 @@ from .textbatch import U64, SpanHash, Words, find_words, mix, per_row, row_block
 
 SHINGLE = 5
 TUPLES = 32
-TAKEN = 2
+#: Edits of a fifth of the words may leave no shingle of five words whole, but always two in five of those of three words.
+SHORT_SHINGLE = 3
+SHORT_TUPLES = 96
 #: Shingles of one tuple begin at least so many words apart, or this share of a shorter text. Texts that have no more than a passage
 #: in common, a licence say, then do not agree on a tuple.
 APART, APART_SHARE = 80, 0.4
@@ -85,38 +87,43 @@ def word_bitmaps(w: Words) -> np.ndarray:
     return np.stack([per_row(np.where(bit >> U64(6) == U64(i), mask, U64(0)), w.first, np.bitwise_or) for i in range(BITMAP)], 1)
 
 
-def order_sketch(shingles: np.ndarray, first: np.ndarray, tuples: int = TUPLES, taken: int = TAKEN) -> tuple[np.ndarray, np.ndarray]:
-    """``(rows, sketch)``: for every row with shingles one value per random order, the hash of its ``taken`` smallest shingles
-    in text order, each some way from the smaller ones. A row with fewer such shingles takes all it has."""
+def order_sketch(shingles: np.ndarray, first: np.ndarray, tuples: int = TUPLES, k: int = SHINGLE, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, sketch)``: for every row with shingles one value per random order, the hash of its smallest shingle and the smallest
+    some way apart from it, in text order. A row without a second one takes the first alone. Orders are numbered from ``begin``."""
     rows = np.flatnonzero(np.diff(first))
     sketch = np.empty((len(rows), tuples), dtype=np.uint64)
     if not len(rows):
         return rows, sketch
-    start, size = first[rows], np.diff(first)[rows]
+    start, end = first[rows], first[rows + 1]
+    size = end - start
     low, used = U64((1 << 24) - 1), U64(2 ** 64 - 1)
-    place = np.arange(len(shingles)) - np.repeat(start, size)
-    apart = np.maximum(np.repeat(np.minimum(APART, (APART_SHARE * (size + SHINGLE - 1)).astype(np.int64)), size), 1)
+    place = (np.arange(len(shingles)) - np.repeat(start, size)).astype(np.uint64)
+    high, v = shingles & ~low, np.empty_like(shingles)
+    apart = np.maximum(np.minimum(APART, (APART_SHARE * (size + k - 1)).astype(np.int64)), 1)
+    cuts = np.empty((len(rows), 3), dtype=np.int64)  # of each row: what is left of the first minimum, what is too near to it, what is right of it
+    cuts[:, 0] = start
     for j in range(tuples):
-        keys = np.random.default_rng(1000 + j).integers(1, 1 << 63, 2, dtype=np.uint64) | U64(1)
-        v = (shingles ^ keys[0]) * keys[1]
-        v ^= v >> U64(32)
-        v *= U64(0xBF58476D1CE4E5B9)
-        v = (v & ~low) | (place.astype(np.uint64) & low)  # the place of a minimum comes with it
-        picked = np.empty((len(rows), taken), dtype=np.int64)
-        for i in range(taken):
-            least = np.minimum.reduceat(v, start)
-            at = (least & low).astype(np.int64)
-            picked[:, i] = np.where(least != used, start + at, -1)
-            if i + 1 < taken:
-                v[np.abs(place - np.repeat(at, size)) < apart] = used
-        picked.sort(axis=1)
-        h = np.full(len(rows), j + 1, dtype=np.uint64)
-        for i in range(taken):
-            h = mix(h * U64(0xD1342543DE82EF95) + np.where(picked[:, i] >= 0, shingles[np.maximum(picked[:, i], 0)], U64(0)))
-        sketch[:, j] = h
+        np.multiply(high, np.random.default_rng(1000 + begin + j).integers(1, 1 << 63, 1, dtype=np.uint64) << U64(1) | U64(1), out=v)
+        v |= place & low  # the place of a minimum comes with it; the low bits of ``high`` are none
+        at = start + (np.minimum.reduceat(v, start) & low).astype(np.int64)
+        left, right = at - apart + 1, at + apart
+        cuts[:, 1], cuts[:, 2] = np.where(left > start, left, start), np.where(right < end, right, at)
+        least = np.minimum.reduceat(v, cuts.ravel()).reshape(-1, 3)
+        second = np.minimum(np.where(left > start, least[:, 0], used), np.where(right < end, least[:, 2], used))
+        alone = second == used
+        other = np.where(alone, at, start + (second & low).astype(np.int64))
+        h = mix(U64(begin + j + 1) + np.where(alone, U64(0), shingles[np.minimum(at, other)]))
+        sketch[:, j] = mix(h * U64(0xD1342543DE82EF95) + shingles[np.maximum(at, other)])
     return rows, sketch
 
 
+def text_sketch(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, sketch)`` of the rows of five words or more: the tuples of their long and then of their short shingles."""
+    rows, long = order_sketch(*labelled_shingles(w))
+    more, short = order_sketch(*labelled_shingles(w, SHORT_SHINGLE), SHORT_TUPLES, SHORT_SHINGLE, TUPLES)
+    return rows, np.concatenate([long, short[np.searchsorted(more, rows)]], axis=1)
+
+
 def within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the edit distance of two sequences is at most ``most``.
 
@@ -175,7 +182,7 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             for lo, hi in row_blocks(offs):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
                 w = find_words(x, o)
-                rows, sketch = order_sketch(*labelled_shingles(w))
+                rows, sketch = text_sketch(w)
                 listed: list = [None] * (hi - lo)
                 for r, s in zip(rows.tolist(), sketch.view(np.int64)):
                     listed[r] = s
@@ -255,7 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     """
     rows = cut_lineage(_sketches(docs, key, text))
     nodes = cut_lineage(rows.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch", "bitmap").dropDuplicates(["content"]))
-    bands = nodes.select("content", "n_words", F.explode("sketch").alias("band"))
+    bands = nodes.select("content", "n_words", F.explode("sketch").alias("band")).repartition("band")  # dealt once, counted and joined there
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
     members = cut_lineage(bands.join(shared, "band"))
     # of edited copies of one text, the text itself has most tuples in common with the others: it leads

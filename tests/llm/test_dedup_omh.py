@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from obsframe.llm.dedup_omh import SHINGLE, labelled_shingles, near_duplicates, order_sketch, within_band, word_bitmaps
+from obsframe.llm.dedup_omh import SHINGLE, labelled_shingles, near_duplicates, order_sketch, text_sketch, within_band, word_bitmaps
 from obsframe.llm.textbatch import find_words, text_bytes
 
 
@@ -117,6 +117,32 @@ def test_large_groups_and_chains(spark):
     assert {r["class_id"] for m in got.values() if len(m) == 153 for r in m} == {851}
 
 
+def edited(rng, n, rate):
+    """Texts of ``n`` words and a copy of each in which a share of the words, or every fifth one, is another word."""
+    word = lambda: "w%d" % rng.randrange(10 ** 9)
+    a = [word() for _ in range(n)]
+    gone = set(range(2, n, 5) if rate == "fifth" else rng.sample(range(n), int(rate * n + 1e-9)))
+    return [" ".join(a), " ".join(word() if i in gone else x for i, x in enumerate(a))]
+
+
+@pytest.mark.parametrize("rate", [.13, .14, .16, .18, .2, "fifth"])
+def test_copies_up_to_the_threshold_are_candidates(rate):
+    rng = random.Random(11)
+    for n in (30, 40, 60, 100, 400):
+        data, offs = text_bytes(pa.array([t for _ in range(200) for t in edited(rng, n, rate)]))
+        s = text_sketch(find_words(data, offs))[1]
+        found = np.mean([(s[i] == s[i + 1]).any() for i in range(0, 400, 2)])
+        assert found >= (.9 if rate == "fifth" else .985), (n, found)
+
+
+def test_copies_up_to_the_threshold_are_linked(spark):
+    rng = random.Random(12)
+    texts = [t for rate in (.14, .16, .18, .2, "fifth") for n in (30, 50, 100, 300) for _ in range(5) for t in edited(rng, n, rate)]
+    got = classes(near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    pairs = {tuple(sorted(r["doc_id"] for r in m)) for m in got.values()}
+    assert len(pairs & {(i, i + 1) for i in range(0, len(texts), 2)}) >= 98
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
