@@ -9,6 +9,7 @@ Classes are the connected components of the links, and all documents of the same
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
+from ..operators.pairwise import BLOCK
 from ..session import cut_counted, cut_lineage
 from .textbatch import U64, SpanHash, Words, find_words, mix, per_row, row_blocks, text_bytes
 
@@ -248,6 +250,35 @@ def _undecided(members: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(mixed.select("band"), "band", "left_semi")
 
 
+def _near_pairs(undecided: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The pairs ``(src, dst)`` of nodes of two components that share a band, if their lengths and their bitmaps of words allow a link.
+
+    Lengths are cut into zones so wide that only nodes of one zone or of neighbouring zones can be linked. A key is a band and a zone, in
+    which the nodes of the zone meet each other and those of the zone below; one of more than ``block`` nodes is cut into blocks, each
+    pair of blocks its own key. A pair that shares several bands comes several times.
+    """
+    zone = F.floor(F.ln("n_words") / max(-math.log(similarity - 1e-6), 0.05)) if similarity > 0.01 else F.lit(0)
+    own = undecided.select("band", "content", "n_words", "component", zone.cast("int").alias("__own"))
+    met = own.withColumn("__zone", F.explode(F.array("__own", F.col("__own") + 1)))
+    keys = ["band", "__zone"]
+    sizes = met.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("__blocks"), F.max("__own").alias("__top"),
+                                   F.min("component").alias("__lo"), F.max("component").alias("__hi"))
+    sizes = cut_lineage(sizes.where((F.col("__top") == F.col("__zone")) & (F.col("__lo") != F.col("__hi"))).select(*keys, "__blocks"))
+    mine = F.pmod(F.xxhash64("content"), F.col("__blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    bits = lambda c: [F.col("bitmap")[i].alias(f"{c}{i}") for i in range(BITMAP)]
+    left = own.withColumnRenamed("__own", "__zone").join(sizes, keys).withColumn("__l", mine).withColumn("__r", every).join(nodes.select("content", "bitmap"), "content")
+    left = left.select(*keys, "__l", "__r", F.col("content").alias("__a"), "n_words", "component", *bits("__b"))
+    right = met.join(sizes, keys).withColumn("__r", mine).withColumn("__l", every).join(nodes.select("content", "bitmap"), "content")
+    right = right.select(*keys, "__l", "__r", F.col("content").alias("__d"), F.col("n_words").alias("__m"), F.col("component").alias("__c"), "__own", *bits("__o"))
+    edits = (1 - similarity) * F.greatest("n_words", "__m") + 1e-9
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"__b{i}").bitwiseXOR(F.col(f"__o{i}"))) for i in range(BITMAP)])
+    once = (F.col("__own") < F.col("__zone")) | (F.col("__a") < F.col("__d"))
+    near = (F.abs(F.col("n_words") - F.col("__m")) <= edits) & (differ <= 2 * edits)
+    pairs = left.join(right, [*keys, "__l", "__r"]).where(once & (F.col("component") != F.col("__c")) & near)
+    return pairs.select(F.least("__a", "__d").alias("src"), F.greatest("__a", "__d").alias("dst"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text_hash, class_id, class_size, class_key, representative, n_words)`` per row of ``docs``.
 
@@ -290,16 +321,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
     open_, n = cut_counted(_undecided(members, links))
     if n:
-        bits = [F.col("bitmap")[i].alias(f"__b{i}") for i in range(BITMAP)]
-        open_ = cut_lineage(open_.join(nodes.select("content", *bits), "content"))
-        mine = open_.withColumnRenamed("content", "src")
-        other = open_.select("band", F.col("content").alias("dst"), F.col("n_words").alias("__m"), F.col("component").alias("__c"),
-                             *[F.col(f"__b{i}").alias(f"__o{i}") for i in range(BITMAP)])
-        edits = (1 - similarity) * F.greatest("n_words", "__m") + 1e-9
-        differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"__b{i}").bitwiseXOR(F.col(f"__o{i}"))) for i in range(BITMAP)])
-        near = (F.abs(F.col("n_words") - F.col("__m")) <= edits) & (differ <= 2 * edits)
-        pairs = mine.join(other, "band").where((F.col("src") < F.col("dst")) & (F.col("component") != F.col("__c")) & near)
-        pairs = pairs.select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti")
+        pairs = _near_pairs(open_, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
 
     parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))

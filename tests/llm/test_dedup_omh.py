@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from obsframe.llm.dedup_omh import SHINGLE, labelled_shingles, near_duplicates, order_sketch, text_sketch, within_band, word_bitmaps
+from obsframe.llm.dedup_omh import BITMAP, SHINGLE, _near_pairs, labelled_shingles, near_duplicates, order_sketch, text_sketch, within_band, word_bitmaps
 from obsframe.llm.textbatch import find_words, text_bytes
 
 
@@ -143,6 +143,26 @@ def test_copies_up_to_the_threshold_are_linked(spark):
     assert len(pairs & {(i, i + 1) for i in range(0, len(texts), 2)}) >= 98
 
 
+@pytest.mark.parametrize("similarity, block", [(.8, 3), (.8, 2000), (1.0, 2), (.5, 7), (0.0, 5)])
+def test_pairs_of_a_large_band_in_blocks(spark, similarity, block):
+    """All pairs that lengths and bitmaps allow, each once per band, from keys of few nodes."""
+    rng = random.Random(9)
+    rows = [(b, bytes([i]), rng.choice([5, 9, 10, 12, 15, 60, 75, 76]), bytes([rng.randrange(40)])) for i in range(60) for b in (1, 2) if rng.random() < .8]
+    words = {c: n for _, c, n, _ in rows}
+    bitmaps = {c: [rng.getrandbits(3)] + [0] * (BITMAP - 1) for c in words}
+    rows = [(b, c, words[c], k) for b, c, _, k in rows]
+    want = []
+    for b, c, n, k in rows:
+        for b2, c2, n2, k2 in rows:
+            edits = (1 - similarity) * max(n, n2) + 1e-9
+            if b == b2 and c < c2 and k != k2 and abs(n - n2) <= edits and bin(bitmaps[c][0] ^ bitmaps[c2][0]).count("1") <= 2 * edits:
+                want.append((c, c2))
+    undecided = spark.createDataFrame(rows, "band long, content binary, n_words long, component binary")
+    nodes = spark.createDataFrame(list(bitmaps.items()), "content binary, bitmap array<long>")
+    got = [(bytes(r["src"]), bytes(r["dst"])) for r in _near_pairs(undecided, nodes, similarity, block).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
