@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import top_k_per_group
 from ..session import cut_lineage
 
 
@@ -36,6 +37,11 @@ def number_rows(df: DataFrame, group: str, out: str) -> DataFrame:
     return inner.join(before, same).select(*cols, F.explode(F.sequence(at, at + F.col("__n") - 1)).alias(out))
 
 
+def smallest_hashes(keyed: DataFrame, n: int) -> DataFrame:
+    """The rows of the ``n`` smallest ``__h`` per ``__by``; above 1,000, where the engine no longer cuts before the shuffle, from slices of each group."""
+    return top_k_per_group(keyed, ["__by"], ["__h"], n)
+
+
 def bounded_sample(df: DataFrame, keep: Column, by: Column, n: int, *cols: str | Column) -> DataFrame:
     """At most ``n`` rows for each value of ``by`` among the rows of ``keep``: those of the smallest hash of ``cols[0]``.
 
@@ -44,8 +50,7 @@ def bounded_sample(df: DataFrame, keep: Column, by: Column, n: int, *cols: str |
     """
     h = F.xxhash64(F.col(cols[0]) if isinstance(cols[0], str) else cols[0], F.lit(11))
     keyed = df.where(keep).select(by.alias("__by"), h.alias("__h"))
-    ranked = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__by").orderBy("__h"))).where(F.col("__rn") <= n)
-    last = {r[0]: r[1] for r in ranked.groupBy("__by").agg(F.max("__h")).collect()}
+    last = {r[0]: r[1] for r in smallest_hashes(keyed, n).groupBy("__by").agg(F.max("__h")).collect()}
     if not last:
         return df.where(F.lit(False)).select(*cols)
     within = F.lit(False)

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from obsframe.llm.frames import keep_out
+from pyspark.sql import functions as F
+
+from obsframe.llm.frames import bounded_sample, keep_out, smallest_hashes
 from obsframe.llm.quality_gam import FEATURES, fit, score_quality, text_features
 
 
@@ -70,3 +72,14 @@ def test_query_on_the_tables(spark, folder):
     assert len(got) == docs.count() and all(r["predicted"] == (r["score"] >= .3) for r in got)
     held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= .97 * len(held)
+
+
+def test_large_samples_are_cut_in_slices(spark):
+    """No task ranks a whole class: the last window sees at most ``n`` rows of each slice."""
+    keyed = spark.range(20000).select((F.col("id") % 10 > 0).cast("int").alias("__by"), F.xxhash64("id", F.lit(11)).alias("__h"))
+    rows = keyed.collect()
+    ranked = smallest_hashes(keyed, 1500)
+    assert sorted(map(tuple, ranked.collect())) == sorted((k, h) for k in (0, 1) for h in sorted(r["__h"] for r in rows if r["__by"] == k)[:1500])
+    assert "__slice" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    drawn = bounded_sample(spark.range(20000), F.lit(True), F.col("id") % 2, 1500, "id")
+    assert drawn.count() == 3000 and drawn.where("id % 2 = 0").count() == 1500
