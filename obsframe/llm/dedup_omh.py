@@ -183,7 +183,7 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             data, offs = text_bytes(b.column(2))
             for lo, hi in row_blocks(offs):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
-                w = find_words(x, o)
+                w = find_words(x, o, scripts=True)
                 rows, sketch = text_sketch(w)
                 listed: list = [None] * (hi - lo)
                 for r, s in zip(rows.tolist(), sketch.view(np.int64)):
@@ -215,7 +215,7 @@ def _word_codes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             data, offs = text_bytes(b.column(0))
             for lo, hi in row_blocks(offs):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
-                w = find_words(x, o)
+                w = find_words(x, o, scripts=True)
                 ids = content_ids(x, o, w)
                 head = ids.view(np.uint8).reshape(len(ids), 16)[:, :3].astype(np.int64)
                 kept = np.flatnonzero(flags[(head[:, 0] << 16 | head[:, 1] << 8 | head[:, 2]) >> (24 - FILTER_BITS)])
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     """``(key, text_hash, class_id, class_size, class_key, representative, n_words)`` per row of ``docs``.
 
     ``class_id`` is the smallest key of the class (null if none is known), ``class_key`` names the class whatever its keys are.
-    One ``(key, text)`` of each class is its representative: the smallest key, then the smallest text hash. Texts of fewer than five words are
+    One ``(key, text)`` of each class is its representative: the smallest key, then the smallest text hash. In scripts without blanks a character is a word. Texts of fewer than five words are
     only classed with equal ones, null with empty texts.
 
     Texts of equal words are one node. A node is first aligned with the few leading nodes it shares most tuples with, then

@@ -6,8 +6,10 @@ follows the block and not the batch; a text longer than a block is cut between t
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +97,58 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _cuts(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
+#: First and last characters of blocks whose scripts set no blanks between words.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029),
+             (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F),
+             (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@lru_cache(1)
+def _character_kinds() -> np.ndarray:
+    """Of each character beyond ASCII: 0 a part of words, 1 between words (blanks, punctuation, symbols), 2 a word by itself."""
+    kind = np.zeros(1 << 21, dtype=np.uint8)
+    for lo, hi in _UNSPACED:
+        kind[lo:hi + 1] = 2
+    kind[[c for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "ZPS" or unicodedata.category(chr(c)) == "Cc"]] = 1
+    kind[0x200B] = 1  # a blank of no width
+    return kind
+
+
+def _by_script(x: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are in words, and where a word ends although the next byte is in a word too, for texts of any script."""
+    m, cut = is_word[x], np.zeros(len(x) + 1, dtype=bool)
+    lead = np.flatnonzero(x >= 0xC2)
+    if not len(lead):
+        return m, cut
+    b = x[lead].astype(np.int64)
+    size = np.where(b >= 0xF0, 4, np.where(b >= 0xE0, 3, 2))
+    whole = lead + size <= len(x)
+    lead, b, size = lead[whole], b[whole], size[whole]
+    code = b & (0x7F >> size)
+    for i in range(1, 4):
+        code = np.where(i < size, code << 6 | x[np.minimum(lead + i, len(x) - 1)] & 0x3F, code)
+    kind = _character_kinds()[code]
+    for i in range(4):
+        m[(lead + i)[(kind == 1) & (i < size)]] = False
+    cut[lead[kind == 2]] = cut[(lead + size)[kind == 2]] = True
+    return m, cut
+
+
+def _gaps(x: np.ndarray, is_word: np.ndarray, scripts: bool) -> np.ndarray:
+    """Places before which a text can be cut."""
+    if not scripts:
+        return np.flatnonzero(~is_word[x])
+    m, cut = _by_script(x, is_word)
+    return np.flatnonzero((~m | cut[:-1]) & (x & 0xC0 != 0x80))
+
+
+def _cuts(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, scripts: bool = False) -> Iterator[tuple[int, int]]:
     for lo, hi in row_blocks(offs):
         a, z = int(offs[lo]), int(offs[hi])
         while z - a > BLOCK:  # one long text: cut it before a byte between words
-            gap = np.flatnonzero(~is_word[data[a + BLOCK // 2:a + BLOCK]])
+            gap = _gaps(data[a + BLOCK // 2:a + BLOCK], is_word, scripts)
             if not len(gap):
-                rest = np.flatnonzero(~is_word[data[a + BLOCK:z]])
+                rest = _gaps(data[a + BLOCK:z], is_word, scripts)
                 cut = a + BLOCK + int(rest[0]) if len(rest) else z
             else:
                 cut = a + BLOCK // 2 + int(gap[-1])
@@ -111,21 +158,24 @@ def _cuts(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> Iterator[t
             yield a, z
 
 
-def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = WORD_BYTE, lower: bool = True) -> Words:
-    """Maximal runs of word bytes; no word spans two rows. Hashes ignore the case of A-Z if ``lower``."""
+def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = WORD_BYTE, lower: bool = True, scripts: bool = False) -> Words:
+    """Maximal runs of word bytes; no word spans two rows. Hashes ignore the case of A-Z if ``lower``.
+
+    With ``scripts``, blanks and punctuation beyond ASCII are no word bytes, and in scripts without blanks each character is a word.
+    """
     parts: list[tuple[np.ndarray, ...]] = []
-    for a, z in _cuts(data, offs, is_word):
+    for a, z in _cuts(data, offs, is_word, scripts):
         x = LOWER[data[a:z]] if lower else data[a:z]
-        m = is_word[x]
+        m, cut = _by_script(x, is_word) if scripts else (is_word[x], None)
         before = np.empty_like(m)
         before[0] = False
-        before[1:] = m[:-1]
+        before[1:] = m[:-1] if cut is None else m[:-1] & ~cut[1:-1]
         rows = offs[np.searchsorted(offs, a):np.searchsorted(offs, z)] - a
         before[rows] = False
         start = np.flatnonzero(m & ~before)
         after = np.empty_like(m)
         after[-1] = False
-        after[:-1] = m[1:]
+        after[:-1] = m[1:] if cut is None else m[1:] & ~cut[1:-1]
         after[rows[rows > 0] - 1] = False
         end = np.flatnonzero(m & ~after) + 1
         parts.append((start + a, end + a, SpanHash(x)(start, end)))

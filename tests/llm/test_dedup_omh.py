@@ -163,6 +163,30 @@ def test_pairs_of_a_large_band_in_blocks(spark, similarity, block):
     assert sorted(got) == sorted(want) and want
 
 
+def test_words_of_any_script():
+    texts = ["日本語、カナ abc日x", "a\u00a0b\u3000c，d«é»", "ไทย", "한국어 말", "naïve 𠀀𠀁é", "", "plain text"]
+    words = lambda w, data: [[bytes(data[a:z]).decode() for a, z in zip(w.start[f:g], w.end[f:g])] for f, g in zip(w.first, w.first[1:])]
+    data, offs = text_bytes(pa.array(texts))
+    assert words(find_words(data, offs, scripts=True), data) == [
+        ["日", "本", "語", "カ", "ナ", "abc", "日", "x"], ["a", "b", "c", "d", "é"], ["ไ", "ท", "ย"], ["한국어", "말"], ["naïve", "𠀀", "𠀁", "é"], [], ["plain", "text"]]
+    rng = random.Random(2)
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1_500_000))  # cut into pieces at whole characters
+    data, offs = text_bytes(pa.array([long, "é" * 1_200_000 + "、" * 400_000]))
+    w = find_words(data, offs, scripts=True)
+    assert np.diff(w.first).tolist() == [1_500_000, 1] and (w.end - w.start)[:-1].tolist() == [3] * 1_500_000
+
+
+def test_edited_copy_without_blanks(spark):
+    rng = random.Random(6)
+    char = lambda: chr(rng.randrange(0x4E00, 0x9FFF))
+    a = [char() if i % 20 else "。" for i in range(2000)]
+    b = [char() if i % 10 == 3 else x for i, x in enumerate(a)]
+    rows = [(1, "".join(a)), (2, "".join(b)), (3, "".join(char() for _ in range(2000))), (4, "\u3000".join("one two three four five six seven eight".split())),
+            (5, "one\u00a0two three four，five six seven EIGHT")]
+    got = classes(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted(sorted(r["doc_id"] for r in m) for m in got.values()) == [[1, 2], [3], [4, 5]]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
