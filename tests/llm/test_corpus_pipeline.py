@@ -7,7 +7,7 @@ import corpus_pipeline
 from obsframe.llm.langid_ecoc import identify
 from obsframe.llm.frames import keep_out
 from test_decontam_winnow import brute as contaminated
-from test_dedup_omh import distance, nwords
+from test_dedup_omh import near, nwords
 from test_packing_mbs import PATH, check
 from test_secret_crf import plain
 
@@ -47,7 +47,6 @@ def test_language(steps, spark):
 
 def test_one_of_each_class_stays(steps):
     words = [nwords(r["text"]) for r in steps[1]]
-    sets = [set(zip(*(w[i:] for i in range(5)))) for w in words]
     parent = list(range(len(words)))
 
     def top(i):
@@ -56,7 +55,7 @@ def test_one_of_each_class_stays(steps):
         return i
     for i in range(len(words)):
         for j in range(i):
-            if words[i] == words[j] or sets[i] & sets[j] and distance(words[i], words[j]) <= .2 * max(len(words[i]), len(words[j])) + 1e-9:
+            if words[i] == words[j] or near(words[i], words[j]):
                 parent[top(i)] = top(j)
     groups = defaultdict(list)
     for i, r in enumerate(steps[1]):
@@ -92,3 +91,25 @@ def test_run_is_the_stages(spark, folder):
 
     rows = QUERIES["pipeline"](spark, folder).collect()
     assert len({r["doc_id"] for r in rows}) > 50 and {"sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_clashing_names_and_a_long_text(spark, folder, steps):
+    """Columns named as the operators and stages name theirs stay, and rows are those of the plain table."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    names = ["__id", "__hash", "__rn", "id", "hash", "row", "rn", "text_hash", "class_id", "representative", "contaminated", "content", "lang_pred", "score"]
+    long = docs.limit(1).selectExpr("-9L doc_id", "repeat(concat(text, ' '), 3000) text", "lang", "source", "n_chars")
+    docs = docs.unionByName(long)
+    wide = docs.selectExpr("*", *[f"'x' as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain_rows, wide_rows = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert wide_rows.columns == wide.columns, name
+        assert Counter(map(tuple, plain_rows.collect())) == Counter(map(tuple, wide_rows.select(docs.columns).collect())), name
+    assert corpus_pipeline.packing(spark, wide, folder).count() >= 41
+
+
+def test_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0, name
+        docs = out if name != "packing" else docs

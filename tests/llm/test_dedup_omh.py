@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,16 @@ def classes(rows):
     return out
 
 
+def near(x, y):
+    """Whether at most a fifth of the longer one's words must be edited; no shared shingle is asked for. Texts under five words are only equal ones."""
+    most = .2 * max(len(x), len(y)) + 1e-9
+    if min(len(x), len(y)) < 5 or abs(len(x) - len(y)) > most:
+        return False
+    if max(len(x), len(y)) - sum((Counter(x) & Counter(y)).values()) > most:  # words without a partner cost an edit each
+        return False
+    return distance(x, y) <= most
+
+
 def test_against_all_pairs(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: nwords(r["text"]) for r in docs.collect()}
@@ -83,12 +93,11 @@ def test_against_all_pairs(spark, folder):
         while parent[d] != d:
             d = parent[d]
         return d
-    sets = {d: set(zip(*(w[i:] for i in range(SHINGLE)))) for d, w in texts.items()}
     ids = sorted(texts)
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
             x, y = texts[a], texts[b]
-            if x == y or (sets[a] & sets[b] and distance(x, y) <= .2 * max(len(x), len(y)) + 1e-9):
+            if x == y or near(x, y):
                 parent[top(b)] = top(a)
     want = defaultdict(set)
     for d in ids:
