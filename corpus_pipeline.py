@@ -2,7 +2,9 @@
 
 Every stage takes what the one before it kept, as ``(spark, docs, sf_dir)``, and its result is written before the next
 one begins, so a lost executor costs tasks and never a stage. All stages but the last return the columns of ``documents``.
-Null texts go with the first stage, since they have no language; rows with a null id are rows like any other.
+Null texts go with the first stage, since they have no language; rows with a null id are rows like any other; of repeated rows one stays. Ties between
+near-duplicates go to the smallest id. An empty table goes through all stages. Further columns, whatever their names, are kept up to the last stage;
+long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ from obsframe.session import scratch_path
 ORACLE_SQL = None
 
 
-def _named() -> list[Column]:
-    """A row's id as text that is never null, and its text's hash: what the operators tell rows apart by."""
-    return [F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias("__id"), F.xxhash64("text").alias("__hash")]
+def _nested(docs: DataFrame) -> DataFrame:
+    """Rows as one struct, so that no column of theirs meets a helper, with what the operators tell rows apart by: the id as text that is never null,
+    and the text's hash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), _id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def _id(c: Column) -> Column:
+    return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c.cast("string")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +43,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one of the smallest id; of rows with equal id and text, one."""
     found = near_duplicates(docs, 0.8).where("representative")
-    kept = found.select(_named()[0], F.col("text_hash").alias("__hash")).distinct()
-    one = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*docs.columns))
-    rows = docs.select("*", *_named()).withColumn("__rn", F.row_number().over(one)).where(F.col("__rn") == 1)
-    return rows.join(kept, ["__id", "__hash"], "left_semi").select(docs.columns)
+    kept = found.select(_id(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    one = Window.partitionBy("id", "hash").orderBy(F.xxhash64("row"))
+    rows = _nested(docs).withColumn("rn", F.row_number().over(one)).where(F.col("rn") == 1)
+    return rows.join(kept, ["id", "hash"], "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share ten words in a row, or a whole shorter item, with the benchmark go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    gone = found.select(_named()[0], F.col("text_hash").alias("__hash")).distinct()
-    return docs.select("*", *_named()).join(gone, ["__id", "__hash"], "left_anti").select(docs.columns)
+    gone = found.select(_id(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    return _nested(docs).join(gone, ["id", "hash"], "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
