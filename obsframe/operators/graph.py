@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_counted, cut_lineage, cut_observed
+from ..session import cut_counted, cut_lineage, cut_observed, drop_steps
 from .ordered import row_number
 
 
@@ -134,7 +134,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")),
             F.struct(F.col("src").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*")
             .where(F.col("src") != F.col("dst")).distinct())
+        last = cur
         cur, state = cut_observed(small, *mark)
+        drop_steps(last)
         if state == seen:
             break
         seen = state

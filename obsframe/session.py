@@ -55,7 +55,7 @@ def cut_observed(df: DataFrame, *aggs: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     path = scratch_path(df.sparkSession, "step")
     df.observe(seen, *aggs).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+    return _read_step(df, path), seen.get
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -70,4 +70,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _read_step(df, path)
+
+
+def _read_step(df: DataFrame, path: str) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def drop_steps(*steps: DataFrame) -> None:
+    """Delete tables that ``cut_*`` has written, once nothing that is still to run reads them: a step whose successor is written, say.
+
+    Only the very DataFrames that ``cut_*`` returned are known as steps; others are left alone.
+    """
+    for df in steps:
+        path = getattr(df, "_step", None) if "_step" in df.__dict__ else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
