@@ -1,71 +1,64 @@
-"""Exact order statistics and quantiles that do not gather a group in one task.
+"""Exact order statistics and quantiles by radix selection.
 
-A mergeable sketch brackets each wanted rank, one pass counts what lies below the bracket, and
-only the few distinct values inside the bracket are sorted.
+The 64-bit pattern of a double, turned so that it sorts as the value does, is read in four digits of 16 bits. A pass counts the
+values per key and digit, combined map-side, and finds the digit each wanted rank falls on; the next pass counts the next digit of the
+values that begin alike. Four passes give the value whatever the distribution; no values of a key are gathered or sorted, only at most 65,536
+counts per key and prefix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-ACCURACY = 10_000
-MARGIN = 3.0 / ACCURACY
+from ..session import cut_lineage, drop_steps
 
+DIGIT = 16
 
-def _join_on(keys, prefix):
-    on = None
-    for k in keys:
-        e = F.col(f"`{k}`").eqNullSafe(F.col(f"`{prefix}{k}`"))
-        on = e if on is None else on & e
-    return on
+
+@F.pandas_udf(LongType())
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    bits = v.to_numpy(dtype=np.float64).view(np.int64)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
 
 
 def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                    ranks: Sequence[Sequence[Column]]) -> DataFrame:
     """Per key and target ``i``: ``n`` and the values at the 1-based ranks ``ranks[i]`` (columns
-    ``v0, v1 …``; rank expressions refer to ``n``)."""
+    ``v0, v1 …``; rank expressions refer to ``n``). NULL and NaN are no values; a NULL key is a key."""
     keys = list(keys)
     width = max(len(r) for r in ranks)
-    v = F.col(f"`{value}`").cast("double")
-    rows = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-
-    edges = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    sketch = F.percentile_approx("__v", edges, ACCURACY)  # one sketch for all targets
-    if keys:
-        b = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("__e")).withColumnsRenamed(
-            {k: f"__b_{k}" for k in keys})
-        joined = rows.join(b, _join_on(keys, "__b_")).drop(*[f"__b_{k}" for k in keys])
-    else:
-        one = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), sketch.alias("e")).alias("s")).scalar()
-        joined = rows.withColumn("__s", one).select("__v", F.col("__s.n").alias("n"), F.col("__s.e").alias("__e"))
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col("__e")[2 * i].alias("lo"), F.col("__e")[2 * i + 1].alias("hi"))
-        for i in range(len(probs))
-    ])
-    # one pass: everything below or above a bracket is one partially aggregated row per key and
-    # target, what lies inside is one row per distinct value
-    side = F.when(F.col("__v") < F.col("__t.lo"), -1).when(F.col("__v") > F.col("__t.hi"), 1).otherwise(0)
-    counted = (
-        joined.select(*keys, "n", "__v", F.explode(targets).alias("__t"))
-        .select(*keys, "n", "__v", F.col("__t.i").alias("i"), side.alias("__side"))
-        .groupBy(*keys, "i", "__side", F.when(F.col("__side") == 0, F.col("__v")).alias("__at"))
-        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    )
-    upto = F.sum("__c").over(
-        Window.partitionBy(*keys, "i").orderBy("__side", "__at").rowsBetween(Window.unboundedPreceding, 0))
-    counted = counted.withColumn("__upto", upto)
-    # the sketch error is within the margin, so a rank outside the bracket is its direct neighbour
-    v = F.when(F.col("__side") < 0, F.col("__hi")).otherwise(F.col("__lo"))
-
-    def pick(r: int) -> Column:
-        rank = _case([rk[r] if r < len(rk) else F.lit(None).cast("long") for rk in ranks])
-        hit = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
-        return F.max(F.when(hit, v)).alias(f"v{r}")
-
-    return counted.groupBy(*keys, "i").agg(F.first("n").alias("n"), *[pick(r) for r in range(width)])
+    v = F.col(f"`{value}`").cast("double") + F.lit(0.0)  # one zero
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("__all"))
+    rows = df.select(key.alias("k"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = cut_lineage(rows.withColumn("u", _ordered_bits("v")))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), rank.cast("long").alias("rank"))
+                       for i, rk in enumerate(ranks) for j, rank in enumerate(rk)])
+    state = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("k", "n", F.explode(wanted).alias("w")).select(
+        "k", "n", "w.*", F.lit(0).cast("long").alias("prefix"))
+    state = cut_lineage(state)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        before = F.shiftright("u", shift + DIGIT) if shift + DIGIT < 64 else F.lit(0).cast("long")
+        near = rows.select("k", "v", before.alias("prefix"), F.shiftright("u", shift).alias("at"))
+        if shift + DIGIT < 64:
+            near = near.join(state.select("k", "prefix").distinct(), ["k", "prefix"], "left_semi")
+        counted = near.groupBy("k", "prefix", "at").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
+        upto = F.sum("c").over(Window.partitionBy("k", "prefix").orderBy("at"))
+        counted = counted.withColumn("upto", upto)
+        inside = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))
+        last = state
+        state = cut_lineage(last.drop("v").join(counted, ["k", "prefix"]).where(inside).select(
+            "k", "n", "i", "j", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("at").alias("prefix"), "v"))
+        drop_steps(last)
+    drop_steps(rows)
+    picks = [F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"v{j}") for j in range(width)]
+    out = state.groupBy("k", "i").agg(F.first("n").alias("n"), *picks)
+    return out.select(*[F.col(f"k.`{k}`").alias(k) for k in keys], "i", "n", *[f"v{j}" for j in range(width)])
 
 
 def _case(by_target: Sequence[Column]) -> Column:

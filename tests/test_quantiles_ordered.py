@@ -127,3 +127,21 @@ def test_density_2d_against_all_points(spark):
     ky = np.exp(-0.5 * ((d.y.to_numpy()[:, None] - y) / hy) ** 2) / (hy * np.sqrt(2 * np.pi))
     exact = (kx * ky).mean(1)
     assert len(d) == 81 and np.allclose(d.density, exact, atol=0.01 * exact.max())
+
+
+def test_quantiles_by_radix_on_hot_keys_ties_and_odd_values(spark):
+    """One key with most rows, equal values, both zeros, infinities, subnormals, NULL and NaN values, a NULL key, and an empty table."""
+    import random
+
+    rng = random.Random(6)
+    rows = [("hot", rng.choice([1.5, 1.5, -2.25, 0.0, -0.0, 5e-324, rng.uniform(-1e9, 1e9)])) for _ in range(4000)]
+    rows += [("same", 7.0)] * 300 + [("one", -3.5), (None, 2.0), (None, 4.0), ("odd", float("nan")), ("odd", None), ("odd", 1e300), ("odd", -1e300)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q99": 0.99, "top": 1.0}
+    got = {r["g"]: [r[p] for p in probs] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    for g in {r[0] for r in rows}:
+        values = [v for k, v in rows if k == g and v is not None and v == v]
+        assert got[g] == pytest.approx([float(np.quantile(values, p)) for p in probs.values()], rel=1e-12), g
+    assert exact_quantiles(df.limit(0), ["g"], "v", probs).collect() == []
+    whole = exact_quantiles(df, [], "v", {"mid": 0.5}).first()["mid"]
+    assert whole == pytest.approx(float(np.quantile([v for _, v in rows if v is not None and v == v], .5)))
