@@ -23,6 +23,8 @@ from .textbatch import LETTER_BYTES, byte_ngrams, row_blocks, text_bytes
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3, 4)
+#: Bytes of text whose n-grams are held at a time.
+SLICE = 1 << 18
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -40,10 +42,9 @@ def has_letter(col: pa.Array, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def ngram_blocks(col: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray], list[np.ndarray]]]:
     """``(first row, last row, buckets, offsets by row)`` of the n-grams of every text, one entry per order, in blocks."""
-    data, offs = text_bytes(pc.utf8_lower(pc.fill_null(col, "")))
-    for lo, hi in row_blocks(offs, 1 << 20):
-        o = offs[lo:hi + 1] - offs[lo]
-        found, where = byte_ngrams(LETTER_BYTES[data[offs[lo]:offs[hi]]], o, ORDERS, BUCKET_BITS)
+    for lo, hi in row_blocks(text_bytes(col)[1], SLICE):
+        data, o = text_bytes(pc.utf8_lower(pc.fill_null(col.slice(lo, hi - lo), "")))
+        found, where = byte_ngrams(LETTER_BYTES[data], o, ORDERS, BUCKET_BITS)
         yield lo, hi, found, [np.searchsorted(i, o) for i in where]
 
 
@@ -178,7 +179,8 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     """``(key, lang_pred, score, ambiguous)`` per row, from the whole text.
 
     A text that is null or has no letter is ``und`` with score 0 and ambiguous; so is every text if there is nothing to
-    learn from. Ties go to the language that sorts first.
+    learn from. Ties go to the language that sorts first. Repeated rows are scored each, an empty table gives an empty result, a long text
+    is a slice by itself, and other columns are not looked at.
     """
     # 2^15 buckets by the bits of a code: the size follows the number of languages
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, learn, key, text, lang, per_language))
@@ -200,7 +202,10 @@ def keep_identified(docs: DataFrame, learn: Column, key: str = "doc_id", text: s
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(~predict(shared.value, b.column(at), ambiguous_below)[2]))
+        for batch in batches:
+            for lo, hi in row_blocks(text_bytes(batch.column(at))[1]):  # whole rows come and go: some MB of them at a time
+                b = batch.slice(lo, hi - lo)
+                yield b.filter(pa.array(~predict(shared.value, b.column(at), ambiguous_below)[2]))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
