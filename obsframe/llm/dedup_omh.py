@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..operators.pairwise import BLOCK
-from ..session import cut_counted, cut_lineage
+from ..session import cut_counted, cut_lineage, drop_steps
 from .textbatch import U64, SpanHash, Words, find_words, mix, per_row, row_blocks, text_bytes
 
 SHINGLE = 5
@@ -34,6 +34,10 @@ SHORT_TUPLES = 96
 #: in common, a licence say, then do not agree on a tuple.
 APART, APART_SHARE = 80, 0.4
 FILTER_BITS = 22
+#: A tuple that more nodes of one component have sends others to the component, not to each of these nodes.
+MANY = 64
+#: Of a component's nodes, so many per block are aligned first.
+NEAREST = 4
 #: 64-bit words of the bitmap that says which words, by hash, a text has.
 BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -242,12 +246,16 @@ def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "src binary, dst binary")
 
 
-def _undecided(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``(band, content, n_words, component)`` of the tuples that nodes of several components have."""
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(links).select(F.col("name").alias("content"), "component")
-    placed = members.select("content", "n_words", "band").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where(F.col("__lo") != F.col("__hi"))
-    return placed.join(mixed.select("band"), "band", "left_semi")
+    return members.select("content", "n_words", "band").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
+
+
+def _standing(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """One row ``(band, component, n, pick)`` per tuple and component of its nodes, and of the tuples of several components the largest one as ``m``."""
+    each = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick"))
+    top = each.groupBy("band").agg(F.max_by(F.struct("component", "pick", "n"), F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("__k"))
+    return each, top.where(F.col("__k") > 1).select("band", "m")
 
 
 def _near_pairs(undecided: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -279,15 +287,64 @@ def _near_pairs(undecided: DataFrame, nodes: DataFrame, similarity: float, block
     return pairs.select(F.least("__a", "__d").alias("src"), F.greatest("__a", "__d").alias("dst"))
 
 
+def _near_bitmaps(table: pa.Table, similarity: float, most: int | None) -> pa.Table:
+    """Of one block of asking nodes and one of a component's nodes, the pairs whose lengths and bitmaps allow a link; if ``most`` is given, the nearest so
+    many of each asking node."""
+    mine = table["mine"].to_numpy(zero_copy_only=False)
+    names, size = table["content"].to_numpy(zero_copy_only=False), table["n_words"].to_numpy()
+    bits = table["bitmap"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
+    ask, other = np.flatnonzero(mine), np.flatnonzero(~mine)
+    one, two = [], []
+    for lo in range(0, len(ask), 64):
+        part = ask[lo:lo + 64]
+        differ = np.bitwise_count(bits[part][:, None] ^ bits[other][None]).sum(2, dtype=np.int64)
+        edits = (1 - similarity) * np.maximum(size[part][:, None], size[other][None]) + 1e-9
+        near = (np.abs(size[part][:, None] - size[other][None]) <= edits) & (differ <= 2 * edits)
+        if most is not None:
+            differ = np.where(near, differ, np.iinfo(np.int64).max)
+            rank = np.argsort(np.argsort(differ, axis=1, kind="stable"), axis=1, kind="stable")
+            near &= rank < most
+        i, j = np.nonzero(near)
+        one.append(part[i])
+        two.append(other[j])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
+    return pa.table({"content": pa.array(names[i], pa.binary()), "other": pa.array(names[j], pa.binary())})
+
+
+def _pairs_with_components(asked: DataFrame, members: DataFrame, nodes: DataFrame, similarity: float, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """The pairs ``(content, target, src, dst)`` of nodes ``asked`` and all nodes of their ``target`` component whose lengths and bitmaps allow a link, or
+    of them the nearest ``most`` of each block.
+
+    A node that shares tuples with many of a component's nodes meets the component once, not once per tuple and node. Both sides are cut into blocks.
+    """
+    cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    blocks = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = asked.groupBy("target").agg(blocks("__m"))
+    members = members.withColumnRenamed("component", "target").join(asking, "target")
+    sizes = members.groupBy("target", "__m").agg(blocks("__n"))
+    left = asked.select("target", "content").join(sizes, "target").select("target", cut("content", "__m").alias("__l"), every("__n").alias("__r"), "content", F.lit(True).alias("mine"))
+    right = members.select("target", "content").join(sizes, "target").select("target", every("__m").alias("__l"), cut("content", "__n").alias("__r"), "content", F.lit(False).alias("mine"))
+    both = left.unionByName(right).join(nodes.select("content", "n_words", "bitmap"), "content")
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        found = _near_bitmaps(table, similarity, most)
+        return found.append_column("target", pa.array([key[0].as_py()] * len(found), pa.binary()))
+
+    found = both.groupBy("target", "__l", "__r").applyInArrow(meet, "content binary, other binary, target binary")
+    return found.select("content", "target", F.least("content", "other").alias("src"), F.greatest("content", "other").alias("dst"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text_hash, class_id, class_size, class_key, representative, n_words)`` per row of ``docs``.
 
     ``class_id`` is the smallest key of the class (null if none is known), ``class_key`` names the class whatever its keys are.
     One ``(key, text)`` of each class is its representative: the smallest key, then the smallest text hash. In scripts without blanks a character is a word. Texts of fewer than five words are
-    only classed with equal ones, null with empty texts.
+    only classed with equal ones, null with empty texts; rows of equal words, repeated rows included, are one class. An empty table gives an empty
+    result, and other columns are not looked at.
 
     Texts of equal words are one node. A node is first aligned with the few leading nodes it shares most tuples with, then
-    with nodes of the largest components it shares tuples with, which gathers large groups without their pairs; last, all pairs
+    component by component, with nodes of the largest components that share tuples, which gathers large groups without their pairs; last, all pairs
     that share a tuple and are still in different components are aligned, if their lengths and their bitmaps of words allow a link at all. So every candidate
     pair whose link could join two classes is decided.
     """
@@ -307,22 +364,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     links, tried = cut_lineage(_linked(stars, words, similarity)), stars
 
     for seed in (1, 2):
-        # whoever is not yet with the component that most of a tuple's nodes belong to is aligned with one of its nodes
-        open_, n = cut_counted(_undecided(members, links))
+        # one node of every component that is not the one most of a tuple's nodes belong to is aligned with one of that
+        each, top = _standing(_placed(members, links), seed)
+        other = each.join(top, "band").where(F.col("component") != F.col("m.component"))
+        pairs = other.select(F.least("pick", "m.pick").alias("src"), F.greatest("pick", "m.pick").alias("dst")).distinct()
+        pairs, n = cut_counted(pairs.join(tried, ["src", "dst"], "left_anti"))
         if not n:
             break
-        sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("__n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick"))
-        most = sizes.groupBy("band").agg(F.max_by(F.struct("component", "pick"), F.struct("__n", "component")).alias("m")).select(
-            "band", F.col("m.component").alias("__c"), "m.pick")
-        other = open_.join(most, "band").where(F.col("component") != F.col("__c"))
-        pairs = other.select(F.least("content", "pick").alias("src"), F.greatest("content", "pick").alias("dst")).distinct()
-        pairs = cut_lineage(pairs.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
-    open_, n = cut_counted(_undecided(members, links))
+    placed = cut_lineage(_placed(members, links))
+    drop_steps(members)
+    top = cut_lineage(_standing(placed, 1)[1])
+    many = F.col("m.n") > MANY
+    few, n = cut_counted(placed.join(top, [placed["band"] == top["band"], (F.col("component") != F.col("m.component")) | ~many])
+                         .select(placed["band"], "content", "n_words", "component"))
+    asked, m = cut_counted(placed.join(top.where(many), [placed["band"] == top["band"], F.col("component") != F.col("m.component")])
+                           .select("content", "n_words", F.col("m.component").alias("target")).distinct())
     if n:
-        pairs = _near_pairs(open_, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
+        pairs = _near_pairs(few, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
+    if m:
+        whole = cut_lineage(placed.select("content", "component").distinct())
+        for most in (NEAREST, None):  # who is not linked with the nearest is aligned with all
+            pairs = cut_lineage(_pairs_with_components(asked, whole, nodes, similarity, most))
+            joined = cut_lineage(_linked(pairs.select("src", "dst").distinct(), words, similarity))
+            links = links.unionByName(joined)
+            asked = asked.join(pairs.join(joined, ["src", "dst"]).select("content", "target").distinct(), ["content", "target"], "left_anti")
+    drop_steps(placed, top, few, nodes, words)
 
     parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))
     first = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("k"), F.col("text_hash").alias("t"))
