@@ -273,11 +273,12 @@ def _two_texts(df: DataFrame, *by: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """``(key, n_bytes, n_removed, n_spans, kept_sha256)`` per row, with the ``kept`` bytes if asked for.
+    """``(key, n_bytes, n_removed, n_spans, kept_sha256, repeated, removed_share)`` per row, with the ``kept`` bytes if asked for.
 
     Removed is every byte inside a string of ``LENGTH`` bytes that also begins anywhere else, in the same text or another;
     strings do not cross texts. Null counts as empty; texts under ``LENGTH`` bytes lose nothing; a text that occurs twice
-    loses everything. Texts and strings are told apart by 64-bit and 128-bit hashes.
+    loses everything, and so do repeated rows. ``repeated`` says whether anything is removed. An empty table gives an empty result; other columns are
+    not looked at. Texts and strings are told apart by 64-bit and 128-bit hashes.
     """
     parsed = cut_lineage(_parse(docs, key, text))
     rows, cores = parsed.where(F.col("core").isNull()).drop("core"), parsed.where(F.col("core").isNotNull()).select("core", "tk")
@@ -310,6 +311,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         key, "tk", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("__n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("__n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, none).otherwise(F.coalesce("__kept_sha256", "whole")).alias("kept_sha256"), whole.alias("__whole"), "__kept")
+    out = out.withColumn("repeated", F.col("n_removed") > 0).withColumn("removed_share", F.coalesce(F.try_divide("n_removed", "n_bytes"), F.lit(0.0)))
     if not with_text:
         return out.drop("tk", "__whole", "__kept")
     body = F.coalesce(F.col(text), F.lit(""))
