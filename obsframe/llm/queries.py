@@ -38,7 +38,7 @@ def op2_secrets_random_field(spark: SparkSession, folder: str) -> DataFrame:
     of = lambda kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
     counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(of(KINDS[:3])), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts[:3], F.sha2(written(of(KINDS[:3])), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *counts[3:])
 
 
 def op3_toxicity_subword_bag(spark: SparkSession, folder: str) -> DataFrame:
