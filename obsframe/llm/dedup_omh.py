@@ -36,8 +36,6 @@ APART, APART_SHARE = 80, 0.4
 FILTER_BITS = 22
 #: A tuple that more nodes of one component have sends others to the component, not to each of these nodes.
 MANY = 64
-#: Of a component's nodes, so many per block are aligned first.
-NEAREST = 4
 #: 64-bit words of the bitmap that says which words, by hash, a text has.
 BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -287,35 +285,30 @@ def _near_pairs(undecided: DataFrame, nodes: DataFrame, similarity: float, block
     return pairs.select(F.least("__a", "__d").alias("src"), F.greatest("__a", "__d").alias("dst"))
 
 
-def _near_bitmaps(table: pa.Table, similarity: float, most: int | None) -> pa.Table:
-    """Of one block of asking nodes and one of a component's nodes, the pairs whose lengths and bitmaps allow a link; if ``most`` is given, the nearest so
-    many of each asking node."""
+def _first_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Of one block of asking nodes and one of a component's nodes, a link of every asking node that has one: pairs whose lengths and bitmaps allow a link
+    are aligned, those of the most similar bitmaps first."""
     mine = table["mine"].to_numpy(zero_copy_only=False)
     names, size = table["content"].to_numpy(zero_copy_only=False), table["n_words"].to_numpy()
     bits = table["bitmap"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
-    ask, other = np.flatnonzero(mine), np.flatnonzero(~mine)
-    one, two = [], []
-    for lo in range(0, len(ask), 64):
-        part = ask[lo:lo + 64]
-        differ = np.bitwise_count(bits[part][:, None] ^ bits[other][None]).sum(2, dtype=np.int64)
-        edits = (1 - similarity) * np.maximum(size[part][:, None], size[other][None]) + 1e-9
-        near = (np.abs(size[part][:, None] - size[other][None]) <= edits) & (differ <= 2 * edits)
-        if most is not None:
-            differ = np.where(near, differ, np.iinfo(np.int64).max)
-            rank = np.argsort(np.argsort(differ, axis=1, kind="stable"), axis=1, kind="stable")
-            near &= rank < most
-        i, j = np.nonzero(near)
-        one.append(part[i])
-        two.append(other[j])
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
-    return pa.table({"content": pa.array(names[i], pa.binary()), "other": pa.array(names[j], pa.binary())})
-
-
-def _pairs_with_components(asked: DataFrame, members: DataFrame, nodes: DataFrame, similarity: float, most: int | None = None, block: int = BLOCK) -> DataFrame:
-    """The pairs ``(content, target, src, dst)`` of nodes ``asked`` and all nodes of their ``target`` component whose lengths and bitmaps allow a link, or
-    of them the nearest ``most`` of each block.
-
-    A node that shares tuples with many of a component's nodes meets the component once, not once per tuple and node. Both sides are cut into blocks.
+    words = [w.values.to_numpy() for w in table["words"]]
+    other, found = np.flatnonzero(~mine), []
+    for i in np.flatnonzero(mine).tolist():
+        differ = np.bitwise_count(bits[i] ^ bits[other]).sum(1, dtype=np.int64)
+        edits = (1 - similarity) * np.maximum(size[i], size[other]) + 1e-9
+        near = np.flatnonzero((np.abs(size[i] - size[other]) <= edits) & (differ <= 2 * edits))
+        for j in near[np.argsort(differ[near], kind="stable")].tolist():
+            if within_band(words[i], words[other[j]], int(edits[j])):
+                found.append((names[i], names[other[j]]))
+                break
+    return pa.table({"src": pa.array([min(x) for x in found], pa.binary()), "dst": pa.array([max(x) for x in found], pa.binary())})
+
+
+def _links_with_components(asked: DataFrame, members: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
+    """Links ``(src, dst)`` of nodes ``asked`` with nodes of their ``target`` component, one per block of it if there is any.
+
+    A node that shares tuples with many of a component's nodes meets the component once, not once per tuple and node. Both sides are cut into blocks, so
+    no row is made for a pair that is not linked.
     """
     cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     blocks = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias(n)
@@ -325,14 +318,8 @@ def _pairs_with_components(asked: DataFrame, members: DataFrame, nodes: DataFram
     sizes = members.groupBy("target", "__m").agg(blocks("__n"))
     left = asked.select("target", "content").join(sizes, "target").select("target", cut("content", "__m").alias("__l"), every("__n").alias("__r"), "content", F.lit(True).alias("mine"))
     right = members.select("target", "content").join(sizes, "target").select("target", every("__m").alias("__l"), cut("content", "__n").alias("__r"), "content", F.lit(False).alias("mine"))
-    both = left.unionByName(right).join(nodes.select("content", "n_words", "bitmap"), "content")
-
-    def meet(key: tuple, table: pa.Table) -> pa.Table:
-        found = _near_bitmaps(table, similarity, most)
-        return found.append_column("target", pa.array([key[0].as_py()] * len(found), pa.binary()))
-
-    found = both.groupBy("target", "__l", "__r").applyInArrow(meet, "content binary, other binary, target binary")
-    return found.select("content", "target", F.least("content", "other").alias("src"), F.greatest("content", "other").alias("dst"))
+    both = left.unionByName(right).join(nodes.select("content", "n_words", "bitmap"), "content").join(words, "content")
+    return both.groupBy("target", "__l", "__r").applyInArrow(lambda t: _first_links(t, similarity), "src binary, dst binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,11 +373,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
     if m:
         whole = cut_lineage(placed.select("content", "component").distinct())
-        for most in (NEAREST, None):  # who is not linked with the nearest is aligned with all
-            pairs = cut_lineage(_pairs_with_components(asked, whole, nodes, similarity, most))
-            joined = cut_lineage(_linked(pairs.select("src", "dst").distinct(), words, similarity))
-            links = links.unionByName(joined)
-            asked = asked.join(pairs.join(joined, ["src", "dst"]).select("content", "target").distinct(), ["content", "target"], "left_anti")
+        links = links.unionByName(cut_lineage(_links_with_components(asked, whole, nodes, words, similarity)))
     drop_steps(placed, top, few, nodes, words)
 
     parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))

@@ -211,14 +211,12 @@ def test_other_similarity(spark, similarity):
     assert len({r["class_key"] for r in rows}) == (1 if similarity < .9 else 2)
 
 
-@pytest.mark.parametrize("most", [1, 3])
-def test_tuples_of_many_nodes_give_the_same_classes(spark, folder, monkeypatch, most):
-    """Nodes that meet whole components, in blocks, instead of tuple by tuple; with the nearest alone and with all."""
+def test_tuples_of_many_nodes_give_the_same_classes(spark, folder, monkeypatch):
+    """Nodes that meet whole components, in blocks, instead of tuple by tuple."""
     from obsframe.llm import dedup_omh
 
     docs = spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").selectExpr(
         "doc_id + 100000 doc_id", "concat('x y ', substring(text, 9), ' z') text", "lang", "source", "n_chars"))
     want = {frozenset(r["doc_id"] for r in m) for m in classes(near_duplicates(docs).collect()).values()}
     monkeypatch.setattr(dedup_omh, "MANY", 0)
-    monkeypatch.setattr(dedup_omh, "NEAREST", most)
     assert {frozenset(r["doc_id"] for r in m) for m in classes(near_duplicates(docs).collect()).values()} == want
