@@ -10,6 +10,7 @@ from ..operators.aggregates import two_level_mean
 from ..operators.ordered import top_k_per_group
 from ..operators.pairwise import pairwise_phi
 from ..operators.relational import complete_grid, semi_join, with_group_stats
+from ..session import cut_lineage
 
 SINCE = 1996
 
@@ -24,12 +25,12 @@ def best_partners(clean: DataFrame, protocols: DataFrame, targets: list[str], k:
 
 def seasonality(rows: DataFrame, since: int = SINCE) -> DataFrame:
     """``(common_name, month_no, value)``: mean yearly count per month, months without a sighting
-    0, on the log10 scale."""
+    0, on the log10 scale. The means are written once; the grid's names and months are those of the means, so ``rows`` is evaluated once."""
     rows = rows.where(since_year("observation_date", since)).select(
         "common_name", F.year("observation_date").alias("year"), F.month("observation_date").alias("month_no"),
         "observation_count")
-    mean = two_level_mean(rows, ["common_name", "month_no"], ["year"], "observation_count", "count_mean", 1)
-    full = complete_grid(mean, "common_name", rows.select("month_no"), "month_no", {"count_mean": 0.0})
+    mean = cut_lineage(two_level_mean(rows, ["common_name", "month_no"], ["year"], "observation_count", "count_mean", 1))
+    full = complete_grid(mean, "common_name", mean.select("month_no"), "month_no", {"count_mean": 0.0})
     return full.select("common_name", "month_no", log10_finite("count_mean").alias("value"))
 
 

@@ -1,4 +1,5 @@
 import math
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -173,3 +174,11 @@ def test_seasonality_fills_months(spark):
                                "common_name string, d string, observation_count double").withColumn("observation_date", F.col("d").cast("date"))
     got = {(r.common_name, r.month_no): r.value for r in seasonality(df, 2016).collect()}
     assert got == {("a", 1): pytest.approx(math.log10(1.5)), ("a", 2): 0.0, ("b", 1): 0.0, ("b", 2): 2.0}
+
+
+def test_seasonality_reads_its_rows_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", date(2020, 1, 1), 3.0), ("b", date(2021, 2, 1), None)], "common_name string, observation_date date, observation_count double")
+    df.write.parquet(str(tmp_path / "observed"))
+    out = seasonality(spark.read.parquet(str(tmp_path / "observed")), 2016)
+    assert out.inputFiles() and not any("/observed/" in f for f in out.inputFiles())
+    assert {(r.common_name, r.month_no) for r in out.collect()} == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
