@@ -36,6 +36,8 @@ APART, APART_SHARE = 80, 0.4
 FILTER_BITS = 22
 #: A tuple that more nodes of one component have sends others to the component, not to each of these nodes.
 MANY = 64
+#: Tuples of more undecided nodes than this count as crowded: their nodes are gathered into homes.
+CROWD = 16
 #: 64-bit words of the bitmap that says which words, by hash, a text has.
 BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -256,32 +258,60 @@ def _standing(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return each, top.where(F.col("__k") > 1).select("band", "m")
 
 
+def _homes(undecided: DataFrame) -> DataFrame | None:
+    """``(content, home)`` of the nodes that meet more cheaply by home than tuple by tuple; None if no tuple is crowded.
+
+    A node's home is the node of most mass that leads most of its crowded tuples, and that one's own leader in turn. A home whose tuples
+    have few pairs beside the square of its nodes is none.
+    """
+    sizes = undecided.groupBy("band").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWD)
+    crowded, n = cut_counted(undecided.select("band", "content", "component").join(sizes, "band"))
+    if not n:
+        drop_steps(crowded)
+        return None
+    mass = crowded.groupBy("content").agg(F.sum("__n").alias("mass"))
+    leaders = crowded.join(mass, "content").groupBy("band").agg(F.max_by("content", F.struct("mass", "content")).alias("leader"))
+    led = crowded.join(leaders, "band").groupBy("content", "leader").agg(F.count(F.lit(1)).alias("__k"), F.sum("__n").alias("__pairs"), F.min("component").alias("component"))
+    first = cut_lineage(led.groupBy("content").agg(F.max_by("leader", F.struct("__k", "leader")).alias("leader"), F.sum("__pairs").alias("__pairs"),
+                                                   F.min("component").alias("component")))
+    above = first.select(F.col("content").alias("leader"), F.col("leader").alias("__above"))
+    homed = cut_lineage(first.join(above, "leader", "left").select("content", "component", "__pairs", F.coalesce("__above", "leader").alias("home")))
+    dense = homed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("__pairs").alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    dense = dense.where((F.col("lo") != F.col("hi")) & (4 * F.col("p") >= F.col("n").cast("double") * F.col("n"))).select("home")
+    out = cut_lineage(homed.join(dense, "home", "left_semi").select("content", "home", "component"))
+    drop_steps(crowded, first, homed)
+    return out
+
+
 def _near_pairs(undecided: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """The pairs ``(src, dst)`` of nodes of two components that share a band, if their lengths and their bitmaps of words allow a link.
+    """The pairs ``(src, dst)`` of nodes of two components and two homes that share a band, if their lengths and their bitmaps of words allow a link.
 
     Lengths are cut into zones so wide that only nodes of one zone or of neighbouring zones can be linked. A key is a band and a zone, in
     which the nodes of the zone meet each other and those of the zone below; one of more than ``block`` nodes is cut into blocks, each
-    pair of blocks its own key. A pair that shares several bands comes several times.
+    pair of blocks its own key. A pair that shares several bands comes several times. Without a column ``home`` every node is its own.
     """
+    if "home" not in undecided.columns:
+        undecided = undecided.withColumn("home", F.col("content"))
     zone = F.floor(F.ln("n_words") / max(-math.log(similarity - 1e-6), 0.05)) if similarity > 0.01 else F.lit(0)
-    own = undecided.select("band", "content", "n_words", "component", zone.cast("int").alias("__own"))
+    own = undecided.select("band", "content", "n_words", "component", "home", zone.cast("int").alias("__own"))
     met = own.withColumn("__zone", F.explode(F.array("__own", F.col("__own") + 1)))
     keys = ["band", "__zone"]
     sizes = met.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("__blocks"), F.max("__own").alias("__top"),
-                                   F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    sizes = cut_lineage(sizes.where((F.col("__top") == F.col("__zone")) & (F.col("__lo") != F.col("__hi"))).select(*keys, "__blocks"))
+                                   F.min("component").alias("__lo"), F.max("component").alias("__hi"), F.min("home").alias("__from"), F.max("home").alias("__to"))
+    several = (F.col("__lo") != F.col("__hi")) & (F.col("__from") != F.col("__to"))
+    sizes = cut_lineage(sizes.where((F.col("__top") == F.col("__zone")) & several).select(*keys, "__blocks"))
     mine = F.pmod(F.xxhash64("content"), F.col("__blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     bits = lambda c: [F.col("bitmap")[i].alias(f"{c}{i}") for i in range(BITMAP)]
     left = own.withColumnRenamed("__own", "__zone").join(sizes, keys).withColumn("__l", mine).withColumn("__r", every).join(nodes.select("content", "bitmap"), "content")
-    left = left.select(*keys, "__l", "__r", F.col("content").alias("__a"), "n_words", "component", *bits("__b"))
+    left = left.select(*keys, "__l", "__r", F.col("content").alias("__a"), "n_words", "component", "home", *bits("__b"))
     right = met.join(sizes, keys).withColumn("__r", mine).withColumn("__l", every).join(nodes.select("content", "bitmap"), "content")
-    right = right.select(*keys, "__l", "__r", F.col("content").alias("__d"), F.col("n_words").alias("__m"), F.col("component").alias("__c"), "__own", *bits("__o"))
+    right = right.select(*keys, "__l", "__r", F.col("content").alias("__d"), F.col("n_words").alias("__m"), F.col("component").alias("__c"), F.col("home").alias("__h"), "__own", *bits("__o"))
     edits = (1 - similarity) * F.greatest("n_words", "__m") + 1e-9
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"__b{i}").bitwiseXOR(F.col(f"__o{i}"))) for i in range(BITMAP)])
     once = (F.col("__own") < F.col("__zone")) | (F.col("__a") < F.col("__d"))
     near = (F.abs(F.col("n_words") - F.col("__m")) <= edits) & (differ <= 2 * edits)
-    pairs = left.join(right, [*keys, "__l", "__r"]).where(once & (F.col("component") != F.col("__c")) & near)
+    pairs = left.join(right, [*keys, "__l", "__r"]).where(once & (F.col("component") != F.col("__c")) & (F.col("home") != F.col("__h")) & near)
     return pairs.select(F.least("__a", "__d").alias("src"), F.greatest("__a", "__d").alias("dst"))
 
 
@@ -304,6 +334,43 @@ def _first_links(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"src": pa.array([min(x) for x in found], pa.binary()), "dst": pa.array([max(x) for x in found], pa.binary())})
 
 
+def _joining_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Of two blocks of a home's nodes, or of one, links that join all components that candidate pairs join: pairs of different components that share a
+    tuple and whose lengths and bitmaps allow a link are aligned, those of the most similar bitmaps first, unless found links join them already."""
+    table = table.combine_chunks()
+    left = table["__left"].to_numpy(zero_copy_only=False)
+    names, size = table["content"].to_numpy(zero_copy_only=False), table["n_words"].to_numpy()
+    wide = lambda c, n: table[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
+    bits, sketch = wide("bitmap", BITMAP).view(np.uint64), wide("sketch", TUPLES + SHORT_TUPLES)
+    words = [w.values.to_numpy() for w in table["words"]]
+    part = np.unique(table["component"].to_numpy(zero_copy_only=False).astype(object), return_inverse=True)[1]
+    alone = bool(left.all())
+    mine, found = np.flatnonzero(left), []
+    for i in mine.tolist():
+        other = mine[mine > i] if alone else np.flatnonzero(~left)
+        other = other[part[other] != part[i]]
+        differ = np.bitwise_count(bits[i] ^ bits[other]).sum(1, dtype=np.int64)
+        edits = (1 - similarity) * np.maximum(size[i], size[other]) + 1e-9
+        near = np.flatnonzero((np.abs(size[i] - size[other]) <= edits) & (differ <= 2 * edits))
+        near = near[(sketch[other[near]] == sketch[i]).any(1)]
+        for j in near[np.argsort(differ[near], kind="stable")].tolist():
+            if part[other[j]] != part[i] and within_band(words[i], words[other[j]], int(edits[j])):
+                found.append((names[i], names[other[j]]))
+                part[part == part[other[j]]] = part[i]
+    return pa.table({"src": pa.array([min(x) for x in found], pa.binary()), "dst": pa.array([max(x) for x in found], pa.binary())})
+
+
+def _links_within_homes(homes: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
+    """Links ``(src, dst)`` of nodes of one home, see ``_joining_links``. A home is cut into blocks, each pair of blocks its own key."""
+    sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("__blocks"))
+    own = homes.join(sizes, "home").withColumn("__own", F.pmod(F.xxhash64("content"), "__blocks").cast("int"))
+    met = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    met = met.select("home", F.least("__own", "__other").alias("__l"), F.greatest("__own", "__other").alias("__r"), "content", "component",
+                     (F.col("__own") <= F.col("__other")).alias("__left"))
+    both = met.join(nodes.select("content", "n_words", "bitmap", "sketch"), "content").join(words, "content")
+    return both.groupBy("home", "__l", "__r").applyInArrow(lambda t: _joining_links(t, similarity), "src binary, dst binary")
+
+
 def _links_with_components(asked: DataFrame, members: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
     """Links ``(src, dst)`` of nodes ``asked`` with nodes of their ``target`` component, one per block of it if there is any.
 
@@ -369,6 +436,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     asked, m = cut_counted(placed.join(top.where(many), [placed["band"] == top["band"], F.col("component") != F.col("m.component")])
                            .select("content", "n_words", F.col("m.component").alias("target")).distinct())
     if n:
+        homes = _homes(few)
+        if homes is not None:
+            links = links.unionByName(cut_lineage(_links_within_homes(homes, nodes, words, similarity)))
+            few = few.join(homes.select("content", "home"), "content", "left").withColumn("home", F.coalesce("home", "content"))
         pairs = _near_pairs(few, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
     if m:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from obsframe.llm import dedup_omh as D
 from obsframe.llm.dedup_omh import BITMAP, SHINGLE, _near_pairs, labelled_shingles, near_duplicates, order_sketch, text_sketch, within_band, word_bitmaps
 from obsframe.llm.textbatch import find_words, text_bytes
 
@@ -220,3 +221,22 @@ def test_tuples_of_many_nodes_give_the_same_classes(spark, folder, monkeypatch):
     want = {frozenset(r["doc_id"] for r in m) for m in classes(near_duplicates(docs).collect()).values()}
     monkeypatch.setattr(dedup_omh, "MANY", 0)
     assert {frozenset(r["doc_id"] for r in m) for m in classes(near_duplicates(docs).collect()).values()} == want
+
+
+def test_a_crowd_of_unlinked_texts_makes_no_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = [base[:13] + [base[13 + i] for i in rng.permutation(14)] + base[27:] for _ in range(60)]
+    texts += [["x", "y", *t[2:]] for t in texts[:6]]
+    linked = lambda i, j: D.within_band(*(np.array([hash(x) for x in texts[k]]) for k in (i, j)), 8)
+    part = list(range(len(texts)))
+    for i, j in ((i, j) for i in range(len(texts)) for j in range(i) if linked(i, j)):
+        part = [part[j] if p == part[i] else p for p in part]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made, near = [], D._near_pairs
+    monkeypatch.setattr(D, "_near_pairs", lambda *a, **k: (out := near(*a, **k), made.append(out.count()))[0])
+    classes = lambda: {r.doc_id: r.class_id for r in D.near_duplicates(df, 0.8).collect()}
+    now = classes()
+    monkeypatch.setattr(D, "CROWD", 1000)
+    assert now == classes() == {i: min(j for j in range(len(texts)) if part[j] == part[i]) for i in range(len(texts))}
+    assert made[0] <= len(texts) < made[1]
