@@ -24,7 +24,9 @@ from .textbatch import LETTER_BYTES, byte_ngrams, row_blocks, text_bytes
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3, 4)
 #: Bytes of text whose n-grams are held at a time.
-SLICE = 1 << 18
+SLICE = 1 << 16
+#: Bytes of text whose rows are given back at a time.
+PASSED = 1 << 19
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -151,8 +153,9 @@ def predict(model: LanguageModel | None, col: pa.Array, ambiguous_below: float)
             total += np.diff(first)
         best, p[lo:hi], margin = model.decode(z / np.maximum(total, 1)[:, None] + model.bias)
         name[lo:hi], close[lo:hi] = np.array(model.languages, dtype=object)[best], margin < ambiguous_below
-    bare = ~has_letter(col, *text_bytes(col))
-    name[bare], p[bare], close[bare] = UNDETERMINED, 0.0, True
+        part = col.slice(lo, hi - lo)
+        bare = lo + np.flatnonzero(~has_letter(part, *text_bytes(part)))
+        name[bare], p[bare], close[bare] = UNDETERMINED, 0.0, True
     return name, p, close
 
 
@@ -203,7 +206,7 @@ def keep_identified(docs: DataFrame, learn: Column, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in row_blocks(text_bytes(batch.column(at))[1]):  # whole rows come and go: some MB of them at a time
+            for lo, hi in row_blocks(text_bytes(batch.column(at))[1], PASSED):  # whole rows come and go
                 b = batch.slice(lo, hi - lo)
                 yield b.filter(pa.array(~predict(shared.value, b.column(at), ambiguous_below)[2]))
             pa.default_memory_pool().release_unused()

@@ -57,3 +57,24 @@ def test_five_invented_languages(spark):
     truth = {i: k for i, _, k in rows}
     out = [r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held"]]
     assert sum(out) >= .97 * len(out)
+
+
+def test_what_a_task_holds_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from obsframe.llm.langid_ecoc import bucket_counts, predict
+
+    texts = [f"{w} word{i} and more {w} of it, " * 80 for i in range(800) for w in ("alpha", "ünder")]
+    model = fit([("ab"[r % 2], u, c) for r, u, c in bucket_counts(pa.array(texts[:40]))], 5)
+    most = []
+    for n in (200, 1600):
+        tracemalloc.start()
+        predict(model, pa.array(texts[:n] + [None, "", "..."]), 0.05)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 20e6 and most[1] < 2 * most[0]
+    names, p, close = predict(model, pa.array([texts[0], None, *texts[1:1600], "...", ""]), 0.05)
+    whole = [x[0] for x in predict(model, pa.array([texts[1599]]), 0.05)]
+    assert [names[1600], p[1600], close[1600]] == whole and (names[[1, 1601, 1602]] == "und").all() and close[[1, 1601, 1602]].all()
