@@ -271,8 +271,13 @@ def trie_counts(trie: DoubleArray, blocks: Iterator[Block]) -> np.ndarray:
 
 
 def count_candidates(texts: DataFrame, candidates: DataFrame, trie: int = TRIE) -> DataFrame:
-    """``(lang, words, a)``: the exact counts of ``candidates`` ``(lang, words, id)`` in ``texts`` ``(lang, text)``, a trie after the other."""
+    """``(lang, words, a)``: the exact counts of ``candidates`` ``(lang, words, id)`` in ``texts`` ``(lang, text)``, a trie after the other.
+
+    A task gives one row per candidate that it meets. So there are as many tasks as keep the cores busy, however long the input is, and each streams its share
+    of the texts through counts as large as the trie.
+    """
     spark = texts.sparkSession
+    texts = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
     n = candidates.count()
     rounds = max(1, -(-n // trie))
     shard = F.pmod(F.xxhash64("lang", F.slice("words", 1, 2)), F.lit(rounds))

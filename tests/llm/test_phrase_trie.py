@@ -89,3 +89,14 @@ def test_double_array():
             if not ok[0]:
                 break
         assert (int(trie.key[state[0]]) if ok[0] else -1) == known.get(p, -1)
+
+
+def test_a_candidate_gives_no_row_per_slice_of_the_input(spark, monkeypatch):
+    """As many tasks count as keep the cores busy, so the rows before the sum do not follow tasks times candidates."""
+    frame = type(spark.range(1))
+    made, arrow = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **k: (out := arrow(self, f, schema, *a, **k), made.append(out.count()) if schema == "id long, n long" else 0)[0])
+    few, many = (spark.createDataFrame([("en", "one two three")] * 400, "lang string, text string").repartition(n) for n in (1, 100))
+    rows = [sorted(map(tuple, collocations(d, 100).collect())) for d in (few, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == 1
+    assert made[0] == 3 and made[1] <= 3 * 2 * spark.sparkContext.defaultParallelism
