@@ -38,6 +38,8 @@ FILTER_BITS = 22
 MANY = 64
 #: Tuples of more undecided nodes than this count as crowded: their nodes are gathered into homes.
 CROWD = 16
+#: Bytes of text that are sketched at a time.
+SLICE = 1 << 19
 #: 64-bit words of the bitmap that says which words, by hash, a text has.
 BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -185,7 +187,7 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = text_bytes(b.column(2))
-            for lo, hi in row_blocks(offs):
+            for lo, hi in row_blocks(offs, SLICE):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
                 w = find_words(x, o, scripts=True)
                 rows, sketch = text_sketch(w)
@@ -217,7 +219,7 @@ def _word_codes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
         flags = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for b in batches:
             data, offs = text_bytes(b.column(0))
-            for lo, hi in row_blocks(offs):
+            for lo, hi in row_blocks(offs, SLICE):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
                 w = find_words(x, o, scripts=True)
                 ids = content_ids(x, o, w)
@@ -246,14 +248,53 @@ def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "src binary, dst binary")
 
 
+def _shared_bands(nodes: DataFrame, rows: int = 8192) -> DataFrame:
+    """``(id, band, __n)`` of the tuples that several nodes have, ``__n`` of them.
+
+    Values are dealt by their leading bits to four parts a shuffle partition. A part's values of some nodes travel as one row, two arrays of values and of
+    places from the first of these nodes on: ten bytes a value, most of which no other node has.
+    """
+    parts = min(4 * max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), (1 << 16) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sketch = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().view(np.uint64).reshape(len(b), -1)
+            new = np.flatnonzero(np.diff(ids) != 1) + 1  # places stand for numbers without gaps
+            for a, z in zip([0, *new.tolist()], [*new.tolist(), len(ids)]):
+                for lo in range(a, z, rows):
+                    values = sketch[lo:min(lo + rows, z)]
+                    node = np.repeat(np.arange(len(values), dtype=np.uint16), values.shape[1])
+                    part = (((values.ravel() >> U64(32)) * U64(parts)) >> U64(32)).astype(np.uint16)
+                    order = np.argsort(part, kind="stable")
+                    value, node = values.ravel()[order], node[order]
+                    cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                    own = [i for i in range(parts) if cut[i] < cut[i + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own, pa.int32()), pa.array([int(ids[lo])] * len(own), pa.int64()), pa.array([value[cut[i]:cut[i + 1]].tobytes() for i in own], pa.binary()),
+                         pa.array([node[cut[i]:cut[i + 1]].tobytes() for i in own], pa.binary())], names=["part", "first", "values", "places"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        value = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint64)
+        places = [np.frombuffer(x, np.uint16) for x in table["places"].to_pylist()]
+        ids = np.concatenate(places).astype(np.int64) + np.repeat(table["first"].to_numpy(), [len(x) for x in places])
+        order = np.argsort(value)
+        ranked = value[order]
+        begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        n = np.diff(np.append(begin, len(ranked)))
+        n = np.repeat(n, n)
+        return pa.table({"id": ids[order][n > 1], "band": ranked[n > 1].view(np.int64), "__n": n[n > 1]})
+
+    return nodes.select("id", "sketch").mapInArrow(deal, "part int, first long, values binary, places binary").groupBy("part").applyInArrow(meet, "id long, band long, __n long")
+
+
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(links).select(F.col("name").alias("content"), "component")
-    return members.select("content", "n_words", "band").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    return members.join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
 
 
 def _standing(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """One row ``(band, component, n, pick)`` per tuple and component of its nodes, and of the tuples of several components the largest one as ``m``."""
-    each = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick"))
+    each = cut_lineage(placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick")))
     top = each.groupBy("band").agg(F.max_by(F.struct("component", "pick", "n"), F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("__k"))
     return each, top.where(F.col("__k") > 1).select("band", "m")
 
@@ -402,11 +443,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     that share a tuple and are still in different components are aligned, if their lengths and their bitmaps of words allow a link at all. So every candidate
     pair whose link could join two classes is decided.
     """
-    rows = cut_lineage(_sketches(docs, key, text))
-    nodes = cut_lineage(rows.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch", "bitmap").dropDuplicates(["content"]))
-    bands = nodes.select("content", "n_words", F.explode("sketch").alias("band")).repartition("band")  # dealt once, counted and joined there
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-    members = cut_lineage(bands.join(shared, "band"))
+    sketched = cut_lineage(_sketches(docs, key, text))
+    nodes = sketched.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch", "bitmap").dropDuplicates(["content"])
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
+    rows = cut_lineage(sketched.select(key, "text_hash", "content", "n_words"))  # without the sketches, which are many times larger
+    drop_steps(sketched)
+    members = cut_lineage(_shared_bands(nodes).join(nodes.select("id", "content", "n_words"), "id").select("band", "content", "n_words", "__n"))
     # of edited copies of one text, the text itself has most tuples in common with the others: it leads
     mass = members.groupBy("content").agg(F.sum("__n").alias("mass"))
     leaders = members.join(mass, "content").groupBy("band").agg(F.max_by("content", F.struct("mass", "content")).alias("leader"))
@@ -417,24 +459,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     words = cut_lineage(_word_codes(docs, members.select("content").distinct(), text))
     links, tried = cut_lineage(_linked(stars, words, similarity)), stars
 
+    undecided = members.select("content", "n_words", "band")
     for seed in (1, 2):
         # one node of every component that is not the one most of a tuple's nodes belong to is aligned with one of that
-        each, top = _standing(_placed(members, links), seed)
+        each, top = _standing(_placed(undecided, links), seed)
         other = each.join(top, "band").where(F.col("component") != F.col("m.component"))
         pairs = other.select(F.least("pick", "m.pick").alias("src"), F.greatest("pick", "m.pick").alias("dst")).distinct()
         pairs, n = cut_counted(pairs.join(tried, ["src", "dst"], "left_anti"))
+        # components only grow: a tuple whose nodes are in one component stays decided
+        last, undecided = undecided, cut_lineage(undecided.join(top.select("band"), "band", "left_semi"))
+        drop_steps(last, each)
         if not n:
             break
         tried = tried.unionByName(pairs)
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
-    placed = cut_lineage(_placed(members, links))
-    drop_steps(members)
-    top = cut_lineage(_standing(placed, 1)[1])
+    placed = cut_lineage(_placed(undecided, links))
+    drop_steps(undecided)
+    each, top = _standing(placed, 1)
+    top = cut_lineage(top)
+    drop_steps(each)
     many = F.col("m.n") > MANY
     few, n = cut_counted(placed.join(top, [placed["band"] == top["band"], (F.col("component") != F.col("m.component")) | ~many])
                          .select(placed["band"], "content", "n_words", "component"))
     asked, m = cut_counted(placed.join(top.where(many), [placed["band"] == top["band"], F.col("component") != F.col("m.component")])
                            .select("content", "n_words", F.col("m.component").alias("target")).distinct())
+    before = links
     if n:
         homes = _homes(few)
         if homes is not None:
@@ -443,9 +492,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
         pairs = _near_pairs(few, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
     if m:
-        whole = cut_lineage(placed.select("content", "component").distinct())
+        whole = cut_lineage(_placed(members.select("content").distinct(), before))
         links = links.unionByName(cut_lineage(_links_with_components(asked, whole, nodes, words, similarity)))
-    drop_steps(placed, top, few, nodes, words)
+    drop_steps(members, placed, top, few, nodes, words)
 
     parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))
     first = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("k"), F.col("text_hash").alias("t"))

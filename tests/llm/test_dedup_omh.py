@@ -240,3 +240,35 @@ def test_a_crowd_of_unlinked_texts_makes_no_rows_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(D, "CROWD", 1000)
     assert now == classes() == {i: min(j for j in range(len(texts)) if part[j] == part[i]) for i in range(len(texts))}
     assert made[0] <= len(texts) < made[1]
+
+
+def test_shared_tuples_are_found_by_parts(spark):
+    rng = np.random.default_rng(8)
+    sketch = rng.integers(-2 ** 63, 2 ** 63 - 1, (60, D.TUPLES + D.SHORT_TUPLES))
+    for a, b, j in ((0, 1, 3), (0, 59, 3), (20, 40, 7), (20, 41, 7), (20, 42, 100), (5, 6, 127)):
+        sketch[b, j] = sketch[a, j]
+    ids = [i + (10 if i >= 30 else 0) for i in range(60)]  # numbers with a gap
+    nodes = spark.createDataFrame([(i, s.tolist()) for i, s in zip(ids, sketch)], "id long, sketch array<long>").coalesce(2)
+    want = {}
+    for i, s in zip(ids, sketch.tolist()):
+        for v in s:
+            want.setdefault(v, []).append(i)
+    want = sorted((i, v, len(w)) for v, w in want.items() if len(w) > 1 for i in w)
+    assert len(want) == 3 + 3 + 2 + 2
+    for rows in (7, 8192):
+        assert sorted(tuple(r) for r in D._shared_bands(nodes, rows).select("id", "band", "__n").collect()) == want
+
+
+def test_decided_tuples_and_sketches_are_not_dealt_again(spark, monkeypatch):
+    """The second round looks at tuples of several components alone; no step but the nodes keeps sketches."""
+    rng = np.random.default_rng(5)
+    texts = [[f"w{k}" for k in rng.integers(0, 5000, 100)] for _ in range(20)]
+    texts += [[w if i != 50 else "changed" for i, w in enumerate(t)] for t in texts[:15]]
+    texts += [texts[19][:60] + [f"z{i}" for i in range(40)]]  # shares tuples, is not linked
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, stood, kept, cut = [], D._standing, [], D.cut_lineage
+    monkeypatch.setattr(D, "_standing", lambda placed, seed: (seen.append(placed.count()), stood(placed, seed))[1])
+    monkeypatch.setattr(D, "cut_lineage", lambda d: (kept.append(d.columns), cut(d))[1])
+    got = {r.doc_id: r.class_id for r in D.near_duplicates(df, 0.8).collect()}
+    assert got == {i: i - 20 if 20 <= i < 35 else i for i in range(36)}
+    assert seen[0] > 1000 > 10 * seen[1] and [c for c in kept if "sketch" in c][1:] == [["content", "n_words", "sketch", "bitmap", "id"]]
