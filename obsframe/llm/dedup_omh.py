@@ -292,9 +292,10 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
 
 
-def _standing(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One row ``(band, component, n, pick)`` per tuple and component of its nodes, and of the tuples of several components the largest one as ``m``."""
-    each = cut_lineage(placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick")))
+def _standing(placed: DataFrame, seed: int, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Written if both are read (``once``): one row ``(band, component, n, pick)`` per tuple and component of its nodes, and of the tuples of several components the largest one as ``m``."""
+    each = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", F.xxhash64("content", F.lit(seed))).alias("pick"))
+    each = cut_lineage(each) if once else each
     top = each.groupBy("band").agg(F.max_by(F.struct("component", "pick", "n"), F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("__k"))
     return each, top.where(F.col("__k") > 1).select("band", "m")
 
@@ -467,17 +468,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
         pairs = other.select(F.least("pick", "m.pick").alias("src"), F.greatest("pick", "m.pick").alias("dst")).distinct()
         pairs, n = cut_counted(pairs.join(tried, ["src", "dst"], "left_anti"))
         # components only grow: a tuple whose nodes are in one component stays decided
-        last, undecided = undecided, cut_lineage(undecided.join(top.select("band"), "band", "left_semi"))
-        drop_steps(last, each)
+        if seed == 1:
+            undecided = cut_lineage(undecided.join(top.select("band"), "band", "left_semi"))
+        drop_steps(each)
         if not n:
             break
         tried = tried.unionByName(pairs)
         links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
     placed = cut_lineage(_placed(undecided, links))
     drop_steps(undecided)
-    each, top = _standing(placed, 1)
-    top = cut_lineage(top)
-    drop_steps(each)
+    top = cut_lineage(_standing(placed, 1, once=False)[1])
     many = F.col("m.n") > MANY
     few, n = cut_counted(placed.join(top, [placed["band"] == top["band"], (F.col("component") != F.col("m.component")) | ~many])
                          .select(placed["band"], "content", "n_words", "component"))

@@ -267,7 +267,7 @@ def test_decided_tuples_and_sketches_are_not_dealt_again(spark, monkeypatch):
     texts += [texts[19][:60] + [f"z{i}" for i in range(40)]]  # shares tuples, is not linked
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     seen, stood, kept, cut = [], D._standing, [], D.cut_lineage
-    monkeypatch.setattr(D, "_standing", lambda placed, seed: (seen.append(placed.count()), stood(placed, seed))[1])
+    monkeypatch.setattr(D, "_standing", lambda placed, *a, **k: (seen.append(placed.count()), stood(placed, *a, **k))[1])
     monkeypatch.setattr(D, "cut_lineage", lambda d: (kept.append(d.columns), cut(d))[1])
     got = {r.doc_id: r.class_id for r in D.near_duplicates(df, 0.8).collect()}
     assert got == {i: i - 20 if 20 <= i < 35 else i for i in range(36)}
