@@ -30,8 +30,9 @@ from .textbatch import U64, find_words, mix, row_blocks, text_bytes
 LONGEST = 5
 #: Phrases of one broadcast trie: about 20 MB with states and hashes.
 TRIE = 1 << 18
-#: Distinct hashes a task holds before it passes their counts on.
-HELD = 1 << 21
+#: Bytes of counts, with the words of their phrases, that a task holds before it passes them on, and rows that it passes at a time.
+HELD = 1 << 25
+PASSED = 1 << 16
 FILTER_BITS = 24
 _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -119,33 +120,39 @@ class Tally:
 
     def add(self, hashes: np.ndarray, *columns: np.ndarray) -> bool:
         u, at, n = np.unique(hashes, return_index=True, return_counts=True)
-        self.parts.append((u, n, *(c[at] for c in columns)))
-        self.size += len(u)
+        part = u, n, *(c[at] for c in columns)
+        self.parts.append(part)
+        self.size += sum(c.nbytes for c in part)
         return self.size >= HELD
 
     def take(self) -> tuple[np.ndarray, ...]:
         whole = [np.concatenate(p) for p in zip(*self.parts)]
+        self.parts, self.size = [], 0
         u, at, back = np.unique(whole[0], return_index=True, return_inverse=True)
         n = np.bincount(back, whole[1], len(u)).astype(np.int64)
-        self.parts, self.size = [], 0
         return u, n, *(c[at] for c in whole[2:])
 
 
+def _slices(columns: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    for lo in range(0, len(columns[0]), PASSED):
+        yield tuple(c[lo:lo + PASSED] for c in columns)
+
+
 def _pairs(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, tally = _flags(packed), Tally()
 
-        def passed() -> pa.RecordBatch:
-            u, n = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["hash", "n"])
+        def passed() -> Iterator[pa.RecordBatch]:
+            for u, n in _slices(tally.take()):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
         for b, _ in word_blocks(batches):
             often = flags[_place(b.word)]
             i = np.flatnonzero(b.joined[:-1] & often[:-1] & often[1:])
             if tally.add(pair_hash(b.word[i], b.word[i + 1])):
-                yield passed()
+                yield from passed()
         if tally.size:
-            yield passed()
+            yield from passed()
 
     return run
 
@@ -155,12 +162,12 @@ def _phrases(packed: bytes):
         flags, tally = _flags(packed), Tally()
         names: dict[str, int] = {}
 
-        def passed() -> pa.RecordBatch:
-            _, n, lang, words = tally.take()
-            known = list(names)
-            length = (words != 0).sum(1)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(words[words != 0].view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array([known[i] for i in lang.tolist()], pa.string()), flat, pa.array(n)], names=["lang", "words", "n"])
+        def passed() -> Iterator[pa.RecordBatch]:
+            known = pa.array(list(names), pa.string())
+            for _, n, lang, words in _slices(tally.take()):
+                length = (words != 0).sum(1)
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(words[words != 0].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(lang)), flat, pa.array(n)], names=["lang", "words", "n"])
 
         for b, langs in word_blocks(batches):
             number = np.array([names.setdefault(x, len(names)) for x in langs] or [0])
@@ -177,9 +184,9 @@ def _phrases(packed: bytes):
                 for j in range(k):
                     words[:, j] = b.word[at + j]
                 if tally.add(h ^ U64(k), number[b.lang[at]], words):
-                    yield passed()
+                    yield from passed()
         if tally.size:
-            yield passed()
+            yield from passed()
 
     return run
 

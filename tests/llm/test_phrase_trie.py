@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from obsframe.llm.phrase_trie import DoubleArray, collocations
+from obsframe.llm.phrase_trie import FILTER_BITS, DoubleArray, _pairs, _phrases, collocations
 
 
 def brute(rows, least, k):
@@ -100,3 +102,23 @@ def test_a_candidate_gives_no_row_per_slice_of_the_input(spark, monkeypatch):
     rows = [sorted(map(tuple, collocations(d, 100).collect())) for d in (few, many)]
     assert rows[0] == rows[1] and len(rows[0]) == 1
     assert made[0] == 3 and made[1] <= 3 * 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_a_counting_task_holds_and_passes_a_bounded_number_of_bytes(k):
+    """Few phrases come twice here, so counting spares nothing: what is held has to be passed on, in small batches."""
+    words = [f"w{i}" for i in range(3000)]
+    rng = np.random.default_rng(k)
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 4000)) for _ in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(texts[i:i + 50])], names=["lang", "text"]) for i in range(0, 150, 50)]
+    every = b"\xff" * (1 << FILTER_BITS - 3)
+    tracemalloc.start()
+    sizes, total = [], 0
+    for b in (_pairs if k == 2 else _phrases)(every)(iter(batches)):
+        sizes.append(b.num_rows)
+        total += sum(b.column("n").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) <= 1 << 16
+    assert total == 150 * sum(4000 - m + 1 for m in range(2, k + 1))
+    assert peak < 250e6
