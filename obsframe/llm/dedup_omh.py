@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..operators.pairwise import BLOCK
-from ..session import cut_counted, cut_lineage, drop_steps
+from ..session import arrow_batches, cut_counted, cut_lineage, drop_steps, tasks_for
+from .frames import bitmap_of
 from .textbatch import U64, SpanHash, Words, find_words, mix, per_row, row_blocks, text_bytes
 
 SHINGLE = 5
@@ -40,6 +41,8 @@ MANY = 64
 CROWD = 16
 #: Bytes of text that are sketched at a time.
 SLICE = 1 << 19
+#: Bytes of a batch that goes to Python: of pairs with their words 10,000 would take 50 MB, which an executor holds several times for each core.
+BATCH = 8 << 20
 #: 64-bit words of the bitmap that says which words, by hash, a text has.
 BITMAP = 16
 _OTHER_BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -203,28 +206,52 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _flags(wanted: DataFrame) -> bytes:
+    """A bitmap of fixed size over the first bits of the contents of ``wanted``."""
+    place = F.shiftright(F.conv(F.hex(F.substring("content", 1, 3)), 16, 10).cast("long"), 24 - FILTER_BITS)
+    return bitmap_of(wanted, place, FILTER_BITS)
+
+
+def _flagged(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the contents, as rows of 16 bytes, are in the bitmap."""
+    head = ids[:, :3].astype(np.int64)
+    return flags[(head[:, 0] << 16 | head[:, 1] << 8 | head[:, 2]) >> (24 - FILTER_BITS)]
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+
+
+def _among(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``content`` is one of those of ``wanted``, and few others, so that a join with wide rows shuffles little; the join decides."""
+    packed, at = _flags(wanted), table.columns.index("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = _unpacked(packed)
+        for b in batches:
+            data, offs = text_bytes(b.column(at))
+            yield b.filter(pa.array(_flagged(flags, data[offs[0]:offs[-1]].reshape(len(b), 16))))
+
+    return table.mapInArrow(run, table.schema)
+
+
 def _word_codes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """``(content, words)`` of the wanted contents, words as 64-bit hashes.
 
     A bitmap of fixed size over the first bits of the contents keeps texts that are certainly not wanted out of the
     shuffle; the join decides.
     """
-    n = F.shiftright(F.conv(F.hex(F.substring("content", 1, 3)), 16, 10).cast("long"), 24 - FILTER_BITS) + 1
-    bits = (wanted.select(n.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")))
-    known = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
-    packed = b"".join(known.get(i, bytes(4096)) for i in range(1, (1 << FILTER_BITS) // 32768 + 1))
+    packed = _flags(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        flags = _unpacked(packed)
         for b in batches:
             data, offs = text_bytes(b.column(0))
             for lo, hi in row_blocks(offs, SLICE):
                 x, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
                 w = find_words(x, o, scripts=True)
                 ids = content_ids(x, o, w)
-                head = ids.view(np.uint8).reshape(len(ids), 16)[:, :3].astype(np.int64)
-                kept = np.flatnonzero(flags[(head[:, 0] << 16 | head[:, 1] << 8 | head[:, 2]) >> (24 - FILTER_BITS)])
+                kept = np.flatnonzero(_flagged(flags, ids.view(np.uint8).reshape(len(ids), 16)))
                 words = [w.hash[w.first[r]:w.first[r + 1]].view(np.int64) for r in kept]
                 yield pa.RecordBatch.from_arrays([_binary(ids[kept]), pa.array(words, pa.list_(pa.int64()))], names=["content", "words"])
 
@@ -287,8 +314,18 @@ def _shared_bands(nodes: DataFrame, rows: int = 8192) -> DataFrame:
     return nodes.select("id", "sketch").mapInArrow(deal, "part int, first long, values binary, places binary").groupBy("part").applyInArrow(meet, "id long, band long, __n long")
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(links).select(F.col("name").alias("content"), "component")
+def _parts(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(content, component)`` of the nodes that have links. Of the links that gave the parts ``before``, only one a node is needed."""
+    if before is not None:
+        links = before.where(F.col("content") != F.col("component")).select(F.col("content").alias("src"), F.col("component").alias("dst")).unionByName(links)
+    return cut_lineage(connected_components(links).select(F.col("name").alias("content"), "component"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("content"))
+
+
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
 
 
@@ -409,7 +446,7 @@ def _links_within_homes(homes: DataFrame, nodes: DataFrame, words: DataFrame, si
     met = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     met = met.select("home", F.least("__own", "__other").alias("__l"), F.greatest("__own", "__other").alias("__r"), "content", "component",
                      (F.col("__own") <= F.col("__other")).alias("__left"))
-    both = met.join(nodes.select("content", "n_words", "bitmap", "sketch"), "content").join(words, "content")
+    both = met.join(_among(nodes.select("content", "n_words", "bitmap", "sketch"), homes), "content").join(_among(words, homes), "content")
     return both.groupBy("home", "__l", "__r").applyInArrow(lambda t: _joining_links(t, similarity), "src binary, dst binary")
 
 
@@ -427,7 +464,8 @@ def _links_with_components(asked: DataFrame, members: DataFrame, nodes: DataFram
     sizes = members.groupBy("target", "__m").agg(blocks("__n"))
     left = asked.select("target", "content").join(sizes, "target").select("target", cut("content", "__m").alias("__l"), every("__n").alias("__r"), "content", F.lit(True).alias("mine"))
     right = members.select("target", "content").join(sizes, "target").select("target", every("__m").alias("__l"), cut("content", "__n").alias("__r"), "content", F.lit(False).alias("mine"))
-    both = left.unionByName(right).join(nodes.select("content", "n_words", "bitmap"), "content").join(words, "content")
+    met = cut_lineage(left.unionByName(right))
+    both = met.join(_among(nodes.select("content", "n_words", "bitmap"), met), "content").join(_among(words, met), "content")
     return both.groupBy("target", "__l", "__r").applyInArrow(lambda t: _first_links(t, similarity), "src binary, dst binary")
 
 
@@ -444,6 +482,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     that share a tuple and are still in different components are aligned, if their lengths and their bitmaps of words allow a link at all. So every candidate
     pair whose link could join two classes is decided.
     """
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, similarity, key, text)
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, key: str, text: str) -> DataFrame:
     sketched = cut_lineage(_sketches(docs, key, text))
     nodes = sketched.where(F.col("sketch").isNotNull()).select("content", "n_words", "sketch", "bitmap").dropDuplicates(["content"])
     nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
@@ -456,17 +499,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
     few = Window.partitionBy("content").orderBy(F.col("__n").desc(), "leader")
     stars = (members.join(leaders, "band").where(F.col("leader") != F.col("content")).groupBy("content", "leader").agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__rn", F.row_number().over(few)).where(F.col("__rn") <= 3))
-    stars = cut_lineage(stars.select(F.least("leader", "content").alias("src"), F.greatest("leader", "content").alias("dst")).distinct())
+    stars, n = cut_counted(stars.select(F.least("leader", "content").alias("src"), F.greatest("leader", "content").alias("dst")).distinct())
+    narrow = tasks_for(n)
     words = cut_lineage(_word_codes(docs, members.select("content").distinct(), text))
     links, tried = cut_lineage(_linked(stars, words, similarity)), stars
 
-    undecided = members.select("content", "n_words", "band")
+    undecided, parts = members.select("content", "n_words", "band"), _parts(links)
     for seed in (1, 2):
         # one node of every component that is not the one most of a tuple's nodes belong to is aligned with one of that
-        each, top = _standing(_placed(undecided, links), seed)
+        each, top = _standing(_placed(undecided, parts), seed)
         other = each.join(top, "band").where(F.col("component") != F.col("m.component"))
         pairs = other.select(F.least("pick", "m.pick").alias("src"), F.greatest("pick", "m.pick").alias("dst")).distinct()
-        pairs, n = cut_counted(pairs.join(tried, ["src", "dst"], "left_anti"))
+        pairs, n = cut_counted(pairs.join(tried, ["src", "dst"], "left_anti").coalesce(narrow))
         # components only grow: a tuple whose nodes are in one component stays decided
         if seed == 1:
             undecided = cut_lineage(undecided.join(top.select("band"), "band", "left_semi"))
@@ -474,29 +518,32 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id
         if not n:
             break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
-    placed = cut_lineage(_placed(undecided, links))
+        last, parts = parts, _parts(cut_lineage(_linked(pairs, _among(words, _ends(pairs)), similarity)), parts)
+        drop_steps(last)
+    placed = cut_lineage(_placed(undecided, parts))
     drop_steps(undecided)
     top = cut_lineage(_standing(placed, 1, once=False)[1])
     many = F.col("m.n") > MANY
     few, n = cut_counted(placed.join(top, [placed["band"] == top["band"], (F.col("component") != F.col("m.component")) | ~many])
                          .select(placed["band"], "content", "n_words", "component"))
     asked, m = cut_counted(placed.join(top.where(many), [placed["band"] == top["band"], F.col("component") != F.col("m.component")])
-                           .select("content", "n_words", F.col("m.component").alias("target")).distinct())
-    before = links
+                           .select("content", "n_words", F.col("m.component").alias("target")).distinct().coalesce(narrow))
+    found = []
     if n:
         homes = _homes(few)
         if homes is not None:
-            links = links.unionByName(cut_lineage(_links_within_homes(homes, nodes, words, similarity)))
+            found.append(cut_lineage(_links_within_homes(homes, nodes, words, similarity)))
             few = few.join(homes.select("content", "home"), "content", "left").withColumn("home", F.coalesce("home", "content"))
-        pairs = _near_pairs(few, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti")
-        links = links.unionByName(cut_lineage(_linked(pairs, words, similarity)))
+        pairs = cut_lineage(_near_pairs(few, nodes, similarity).distinct().join(tried, ["src", "dst"], "left_anti"))
+        found.append(cut_lineage(_linked(pairs, _among(words, _ends(pairs)), similarity)))
     if m:
-        whole = cut_lineage(_placed(members.select("content").distinct(), before))
-        links = links.unionByName(cut_lineage(_links_with_components(asked, whole, nodes, words, similarity)))
+        whole = cut_lineage(_placed(members.select("content").distinct(), parts))
+        found.append(cut_lineage(_links_with_components(asked, whole, nodes, words, similarity)))
+    if found:
+        parts = _parts(reduce(DataFrame.unionByName, found), parts)
     drop_steps(members, placed, top, few, nodes, words)
 
-    parts = connected_components(links).select(F.col("name").alias("content"), F.col("component").alias("__class"))
+    parts = parts.withColumnRenamed("component", "__class")
     first = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("k"), F.col("text_hash").alias("t"))
     texts = rows.groupBy("content").agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("__n"))
     texts = cut_lineage(texts.join(parts, "content", "left").withColumn("__class", F.coalesce("__class", "content")))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_counted, cut_lineage, cut_observed, drop_steps
+from ..session import cut_counted, cut_lineage, cut_observed, drop_steps, tasks_for
 from .ordered import row_number
 
 
@@ -112,28 +112,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(name, component)``: the smallest node name of each component.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): a logarithmic number in
-    practice, each two aggregations for minima and joins, so a hub is never one task's list.
+    practice, each two aggregations for minima and joins, so a hub is never one task's list. The tasks of a
+    round follow its edges, not the shuffle partitions. Edges that are stars around the smallest names take one round.
     """
     down = edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    cur = cut_lineage(down.distinct())
-    nodes = cut_lineage(endpoints(edges))
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")]
-    seen = None
+    cur, seen = cut_observed(down.distinct(), *mark)
+    nodes = cut_lineage(endpoints(edges).coalesce(tasks_for(seen["n"])))
     while True:
+        k = tasks_for(seen["n"])
         # edges always point from the larger to the smaller node and are distinct
         both = F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
                                  F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
         sym = cur.select(both.alias("e")).select("e.*")
         # large star: every larger neighbour of u is linked to u's smallest neighbour (or u itself)
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = sym.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
+        large = sym.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).coalesce(k).distinct().coalesce(k)
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = (large.join(least, "src").select(F.explode(F.array(
+        small = (large.join(least, "src").coalesce(k).select(F.explode(F.array(
             F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")),
             F.struct(F.col("src").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*")
-            .where(F.col("src") != F.col("dst")).distinct())
+            .where(F.col("src") != F.col("dst")).distinct().coalesce(k))
         last = cur
         cur, state = cut_observed(small, *mark)
         drop_steps(last)

@@ -272,3 +272,23 @@ def test_decided_tuples_and_sketches_are_not_dealt_again(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in D.near_duplicates(df, 0.8).collect()}
     assert got == {i: i - 20 if 20 <= i < 35 else i for i in range(36)}
     assert seen[0] > 1000 > 10 * seen[1] and [c for c in kept if "sketch" in c][1:] == [["content", "n_words", "sketch", "bitmap", "id"]]
+
+
+def test_wide_rows_that_no_pair_needs_stay_out_of_joins(spark):
+    names = [np.random.default_rng(i).bytes(16) for i in range(2000)]
+    table = spark.createDataFrame([(bytearray(x), [i]) for i, x in enumerate(names)], "content binary, words array<long>")
+    wanted = spark.createDataFrame([(bytearray(names[i]),) for i in (0, 7, 7, 1999)] + [(bytearray(b"not there at all"),)], "content binary")
+    got = sorted(r.words[0] for r in D._among(table, wanted).collect())
+    assert {0, 7, 1999} <= set(got) and len(got) < 20
+
+
+def test_alignments_get_small_batches(spark, monkeypatch):
+    """A batch is held several times for each core; 10,000 pairs with the words of both texts take 50 MB and more."""
+    key, seen, linked = "spark.sql.execution.arrow.maxBytesPerBatch", [], D._linked
+    monkeypatch.setattr(D, "_linked", lambda *a: (seen.append(spark.conf.get(key)), linked(*a))[1])
+    before = spark.conf.get(key)
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words than those of the first texts"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in D.near_duplicates(df, 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert seen and all(re.fullmatch(r"\d+[bB]?", x) and int(x.rstrip("bB")) <= 8 << 20 for x in seen)
+    assert spark.conf.get(key) == before

@@ -159,3 +159,24 @@ def test_hierarchy_and_filters(spark):
     assert G.drop_isolated(spark.createDataFrame([("a",), ("q",)], "name string"), strong).count() == 1
     assert G.flag_edges(strong, ["a"]).where("flag").count() == 1
     assert G.ego_edges(strong, ["b"], both_ends=False).count() == 1 and G.ego_edges(strong, ["b"]).count() == 2
+
+
+def test_component_rounds_have_as_many_tasks_as_their_edges_need(spark, monkeypatch):
+    """Rounds on few edges used to be as many tasks as there are shuffle partitions, each of them and for each of its shuffles."""
+    tasks, written = [], G.cut_observed
+    monkeypatch.setattr(G, "cut_observed", lambda df, *aggs: (tasks.append(df.rdd.getNumPartitions()), written(df, *aggs))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 7] + [(100, i) for i in range(101, 140)], "src long, dst long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["name"]: r["component"] for r in G.connected_components(edges).collect()}
+        stars = spark.createDataFrame([(i, c) for i, c in got.items() if i != c], "src long, dst long")
+        rounds = len(tasks) - 1
+        again = {r["name"]: r["component"] for r in G.connected_components(stars).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == again == {i: i if i % 7 == 1 else max(j for j in range(i + 1) if j % 7 == 1) for i in range(1, 61)} | {i: 100 for i in range(100, 140)}
+    assert max(tasks[1:rounds + 1]) <= 8
+    assert len(tasks) - rounds - 1 == 2  # the edges themselves and one round
