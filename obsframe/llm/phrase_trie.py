@@ -1,8 +1,9 @@
 """Collocations: phrases of 2 to 5 words, counted with broadcast double-array tries of Apriori-safe candidates.
 
-1. Words are counted per language; then pairs of frequent words, by 64-bit hashes; then the phrases all of whose pairs are frequent, with their
-   words. What occurs often enough there is a candidate: no part of it can be rarer (Apriori). Counts are gathered in each task by numpy before
-   they are shuffled, and a bitmap of fixed size keeps most rare words and pairs out.
+1. Words are counted per language; then pairs of frequent words, by 64-bit hashes; then the phrases all of whose pairs are frequent. No part of a
+   candidate can be rarer than it (Apriori). These phrases are counted twice. First by hashed places in a table of fixed size (Park, Chen and Yu 1995): where a
+   place is too rare, so is every phrase on it. Then those on other places are counted with their words, and what occurs often enough is a candidate. Counts are
+   gathered in each task by numpy before they are shuffled, and a bitmap of fixed size keeps most rare words and pairs out.
 2. Candidates are put in double-array tries (Aoe 1989) of at most ``TRIE`` phrases, by a hash of language and first two words, so that all first parts of a phrase are in its
    trie. Each is broadcast; a task advances the states of all positions of a block of texts at once, level by level, and counts the accepting states. Sums over
    tasks are the exact counts. More candidates than one trie holds take more passes, not a larger broadcast.
@@ -34,6 +35,9 @@ TRIE = 1 << 18
 HELD = 1 << 25
 PASSED = 1 << 16
 FILTER_BITS = 24
+#: Places of the table of phrases that are summed up at a time, and how far a task counts on each.
+SLICE = 1 << 18
+FULL = 255
 _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _WORD = ~_PIECE_END
@@ -111,6 +115,11 @@ def _bitmap(hashes: DataFrame) -> bytes:
     return bitmap_of(hashes, F.shiftrightunsigned("hash", 64 - FILTER_BITS), FILTER_BITS)
 
 
+def _busy(texts: DataFrame) -> DataFrame:
+    """As many tasks as keep the cores busy, however long the input is: for passes in which a task gives a row per candidate that it meets."""
+    return texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tally:
     """Counts by hash, with some columns of the first row of each hash."""
 
@@ -119,18 +128,30 @@ class Tally:
         self.size = 0
 
     def add(self, hashes: np.ndarray, *columns: np.ndarray) -> bool:
+        """Whether the counts have to be passed on: those of equal hashes are put together before, and kept if they take little room."""
         u, at, n = np.unique(hashes, return_index=True, return_counts=True)
-        part = u, n, *(c[at] for c in columns)
-        self.parts.append(part)
-        self.size += sum(c.nbytes for c in part)
-        return self.size >= HELD
+        self._hold(u, n, *(c[at] for c in columns))
+        if self.size < HELD:
+            return False
+        self._merge()
+        return self.size >= HELD // 2
 
     def take(self) -> tuple[np.ndarray, ...]:
-        whole = [np.concatenate(p) for p in zip(*self.parts)]
+        self._merge()
+        whole = self.parts[0]
         self.parts, self.size = [], 0
-        u, at, back = np.unique(whole[0], return_index=True, return_inverse=True)
-        n = np.bincount(back, whole[1], len(u)).astype(np.int64)
-        return u, n, *(c[at] for c in whole[2:])
+        return whole
+
+    def _hold(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.size += sum(c.nbytes for c in part)
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            whole = [np.concatenate(p) for p in zip(*self.parts)]
+            self.parts, self.size = [], 0
+            u, at, back = np.unique(whole[0], return_index=True, return_inverse=True)
+            self._hold(u, np.bincount(back, whole[1], len(u)).astype(np.int64), *(c[at] for c in whole[2:]))
 
 
 def _slices(columns: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -157,9 +178,63 @@ def _pairs(packed: bytes):
     return run
 
 
-def _phrases(packed: bytes):
+def _linked(b: Block, flags: np.ndarray, often: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(k, at, h)``: where phrases of ``k`` words begin all of whose pairs are flagged, and their hashes; with ``often``, if they and their first parts lie on such places."""
+    link = np.zeros(len(b.word), dtype=bool)
+    link[:-1] = b.joined[:-1] & flags[_place(pair_hash(b.word[:-1], b.word[1:]))]
+    at, h = np.arange(len(b.word)), b.word
+    for k in range(2, LONGEST + 1):
+        on = link[at + k - 2]
+        at, h = at[on], h[on]
+        h = pair_hash(h, b.word[at + k - 1])
+        if often is not None:
+            on = often[_bucket(h)]
+            at, h = at[on], h[on]
+        if not len(at):
+            return
+        yield k, at, h
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """By other bits than ``_place``: a rare pair let through for a frequent one's place is not counted with that one."""
+    return (h & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _buckets(packed: bytes):
+    """``(slice, counts)``: how many phrases of a task lie on each place, up to ``FULL``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, counts = _flags(packed), np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+        for b, _ in word_blocks(batches):
+            for _, _, h in _linked(b, flags):
+                at, n = np.unique(_bucket(h), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, FULL)
+        for i in range(0, len(counts), SLICE):
+            part = counts[i:i + SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def _often(texts: DataFrame, packed: bytes, min_count: int) -> bytes:
+    """A bit for each place on which all tasks together have ``min_count`` phrases, or one task more than it counts."""
+    def summed(t: pa.Table) -> pa.Table:
+        total, full = np.zeros(SLICE, dtype=np.int64), np.zeros(SLICE, dtype=bool)
+        for counts in t["counts"]:
+            one = np.frombuffer(counts.as_buffer(), np.uint8)
+            total += one
+            full |= one == FULL
+        bits = np.packbits((total >= min_count) | full, bitorder="little")
+        return pa.table([t["slice"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    made = _busy(texts).mapInArrow(_buckets(packed), "slice int, counts binary")
+    known = {r["slice"]: bytes(r["bits"]) for r in made.groupBy("slice").applyInArrow(summed, "slice int, bits binary").collect()}
+    return b"".join(known.get(i, bytes(SLICE // 8)) for i in range((1 << FILTER_BITS) // SLICE))
+
+
+def _phrases(packed: bytes, places: bytes | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, tally = _flags(packed), Tally()
+        flags, often, tally = _flags(packed), None if places is None else _flags(places), Tally()
         names: dict[str, int] = {}
 
         def passed() -> Iterator[pa.RecordBatch]:
@@ -171,15 +246,7 @@ def _phrases(packed: bytes):
 
         for b, langs in word_blocks(batches):
             number = np.array([names.setdefault(x, len(names)) for x in langs] or [0])
-            link = np.zeros(len(b.word), dtype=bool)
-            link[:-1] = b.joined[:-1] & flags[_place(pair_hash(b.word[:-1], b.word[1:]))]
-            at, h = np.arange(len(b.word)), b.word
-            for k in range(2, LONGEST + 1):
-                on = link[at + k - 2]
-                at, h = at[on], h[on]
-                h = pair_hash(h, b.word[at + k - 1])
-                if not len(at):
-                    break
+            for k, at, h in _linked(b, flags, often):
                 words = np.zeros((len(at), LONGEST), dtype=np.uint64)
                 for j in range(k):
                     words[:, j] = b.word[at + j]
@@ -280,11 +347,10 @@ def trie_counts(trie: DoubleArray, blocks: Iterator[Block]) -> np.ndarray:
 def count_candidates(texts: DataFrame, candidates: DataFrame, trie: int = TRIE) -> DataFrame:
     """``(lang, words, a)``: the exact counts of ``candidates`` ``(lang, words, id)`` in ``texts`` ``(lang, text)``, a trie after the other.
 
-    A task gives one row per candidate that it meets. So there are as many tasks as keep the cores busy, however long the input is, and each streams its share
-    of the texts through counts as large as the trie.
+    A task gives one row per candidate that it meets, so there are few (``_busy``), and each streams its share of the texts through counts as large as the trie.
     """
     spark = texts.sparkSession
-    texts = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    texts = _busy(texts)
     n = candidates.count()
     rounds = max(1, -(-n // trie))
     shard = F.pmod(F.xxhash64("lang", F.slice("words", 1, 2)), F.lit(rounds))
@@ -323,8 +389,9 @@ def collocations(docs: DataFrame, min_count: int = 100, k: int = 2000, text: str
     words = cut_lineage(counted.where(F.col("word").isNull() | (F.col("a") >= min_count)))
     total, words = words.where(F.col("word").isNull()).select("lang", F.col("a").alias("n")), words.where(F.col("word").isNotNull())
     pairs = texts.mapInArrow(_pairs(_bitmap(words)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    pairs = cut_lineage(pairs.select("hash"))
-    proposed = texts.mapInArrow(_phrases(_bitmap(pairs)), "lang string, words array<long>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    packed = _bitmap(cut_lineage(pairs.select("hash")))
+    listed = _phrases(packed, _often(texts, packed, min_count))
+    proposed = _busy(texts).mapInArrow(listed, "lang string, words array<long>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
     proposed = proposed.where(F.col("n") >= min_count).select("lang", "words", F.monotonically_increasing_id().alias("id"))
     candidates = cut_lineage(count_candidates(texts, cut_lineage(proposed), trie).where(F.col("a") >= min_count))
 

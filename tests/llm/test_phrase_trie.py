@@ -122,3 +122,39 @@ def test_a_counting_task_holds_and_passes_a_bounded_number_of_bytes(k):
     assert max(sizes) <= 1 << 16
     assert total == 150 * sum(4000 - m + 1 for m in range(2, k + 1))
     assert peak < 250e6
+
+
+def listed_rows(monkeypatch, spark):
+    """Rows that the pass over phrases with their words gives, call by call."""
+    frame = type(spark.range(1))
+    made, arrow = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **k: (out := arrow(self, f, schema, *a, **k), made.append(out.count()) if "words array<long>" in schema else 0)[0])
+    return made
+
+
+@pytest.mark.parametrize("slices", [3, 60])
+def test_rare_phrases_of_frequent_pairs_give_no_rows(spark, monkeypatch, slices):
+    """All pairs are frequent here and no triple is, so only pairs are candidates: a row of one for each task that counts, not for each slice of the input."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{i}" for i in rng.integers(0, 20, 1000)), "en") for _ in range(90)]
+    made = listed_rows(monkeypatch, spark)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(slices)
+    assert found(collocations(docs, 100, 2000)) == brute(rows, 100, 2000)
+    assert made[0] <= 400 * min(slices, 2 * spark.sparkContext.defaultParallelism) * 1.1
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_counts_beyond_what_a_place_holds(spark, slices):
+    rows = [("one two three four, five six", "en")] * 500 + [("one two three four", "en")] * 99 + [("five six", "de")] * 499
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(slices)
+    for least in (500, 599, 600):
+        assert found(collocations(docs, least, 2000)) == brute(rows, least, 2000)
+
+
+def test_counts_that_take_little_room_are_kept(monkeypatch):
+    """A task meets the same pairs block by block: it puts their counts together and passes one row of each."""
+    monkeypatch.setattr("obsframe.llm.phrase_trie.HELD", 1 << 16)
+    text = " ".join(f"w{i % 500}" for i in range(20_000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"]) for _ in range(40)]
+    out = list(_pairs(b"\xff" * (1 << FILTER_BITS - 3))(iter(batches)))
+    assert sum(b.num_rows for b in out) == 500 and sum(sum(b.column("n").to_pylist()) for b in out) == 40 * 19_999
