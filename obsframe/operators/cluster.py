@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -216,13 +218,70 @@ def within_ss(assigned: DataFrame, dims: int) -> DataFrame:
 
 # -- Gaussian mixture ------------------------------------------------------------------------
 
-def _log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+def _packed(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``(ids…, point ARRAY, packed BINARY)``, written once: the point's doubles also as bytes, so that a pass does not decode them one by one.
+
+    Not compressed, which spares doubles little room and costs every pass; in row groups small enough that a pass is dealt evenly."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("point").flatten()
+            width = 8 * (len(flat) // max(len(batch), 1))
+            data = pa.py_buffer(np.ascontiguousarray(flat.to_numpy(zero_copy_only=False)))
+            at = pa.py_buffer(np.arange(len(batch) + 1, dtype=np.int64) * width)
+            yield batch.append_column("packed", pa.Array.from_buffers(pa.large_binary(), len(batch), [None, at, data]).cast(pa.binary()))
+
+    df = df.select(*ids, "point")
+    return cut_lineage(df.mapInArrow(pack, StructType([*df.schema, StructField("packed", BinaryType())])), **{"compression": "uncompressed", "parquet.block.size": 16 << 20})
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The packed rows as they lie in memory, a batch at a time; ``keep``: only these of their columns."""
+    for batch in batches:
+        if len(batch):
+            column = batch.column("packed").cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+            x = np.frombuffer(column.buffers()[2], np.float64, (at[-1] - at[0]) // 8, at[0]).reshape(len(column), -1)
+            yield x if keep is None else x[:, keep]
+
+
+def _spread(data: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Per column its values that are not NULL and their sum of squares about the mean (0 for a constant, NaN where a value is), and how many tasks have rows."""
+    def join(a: tuple, b: tuple) -> tuple:
+        n, apart = a[0] + b[0], b[1] - a[1]
+        share = b[0] / np.maximum(n, 1)
+        return n, a[1] + apart * share, a[2] + b[2] + apart * apart * a[0] * share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for column in (batch.column("point") for batch in batches if len(batch)):
+            flat = column.flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            x, n = flat.to_numpy(zero_copy_only=False).reshape(there.shape), there.sum(0)
+            some = x[there.argmax(0), np.arange(x.shape[1])]
+            y = np.where(there, x - some, 0)  # exactly 0 where nothing varies
+            mean = y.sum(0) / np.maximum(n, 1)
+            parts.append((n, np.where(n, some + mean, 0), (np.where(there, y - mean, 0) ** 2).sum(0)))
+        if parts:
+            yield pa.RecordBatch.from_pydict({"sums": [np.concatenate(reduce(join, parts)).tobytes()]})
+
+    got = [np.split(np.frombuffer(r["sums"]), 3) for r in data.select("point").mapInArrow(run, "sums binary").collect()]  # three numbers a column and task
+    n, _, squares = reduce(join, got) if got else np.zeros((3, 0))
+    return n, squares, len(got)
+
+
+def _factors(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a model: what each log density begins with, the means, and the matrices that whiten a row."""
+    low = np.linalg.cholesky(covs)
+    begin = np.log(np.maximum(weights, 1e-300)) - .5 * means.shape[1] * np.log(2 * np.pi) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)
+    return begin, means, np.linalg.inv(low).transpose(0, 2, 1)
+
+
+def _log_densities(x: np.ndarray, begin: np.ndarray, means: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     """Rows by components: log of weight times density."""
-    out = np.empty((len(x), len(weights)))
-    for j, (w, m, c) in enumerate(zip(weights, means, covs)):
-        low = np.linalg.cholesky(c)
-        z = np.linalg.solve(low, (x - m).T)
-        out[:, j] = np.log(max(w, 1e-300)) - .5 * (len(m) * np.log(2 * np.pi) + (z * z).sum(0)) - np.log(np.diag(low)).sum()
+    out = np.empty((len(x), len(begin)))
+    for j, (m, w) in enumerate(zip(means, whiten)):
+        z = (x - m) @ w
+        out[:, j] = begin[j] - .5 * np.einsum("ij,ij->i", z, z)
     return out
 
 
@@ -233,21 +292,42 @@ def _posteriors(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p / total, (top + np.log(total))[:, 0]
 
 
-def _moments(data: DataFrame, model: tuple, g: int, d: int) -> np.ndarray:
+#: Rows that are worked on at a time, few enough to stay in a core's cache.
+SLICE = 1024
+
+
+def _moments(data: DataFrame, keep: np.ndarray | None, model: tuple, g: int, d: int, meet: int) -> tuple:
     """Log-likelihood, rows, weights, sums and cross products under the model's posteriors: one pass, one partial sum per
-    task, as many numbers as the model has."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loglik, n, size, first, second = 0.0, 0, np.zeros(g), np.zeros((g, d)), np.zeros((g, d, d))
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
-            p, each = _posteriors(_log_densities(x, *model))
-            loglik, n, size, first = loglik + each.sum(), n + len(x), size + p.sum(0), first + p.T @ x
-            second += np.stack([(x * p[:, [j]]).T @ x for j in range(g)])
-        flat = np.concatenate([[loglik, n], size, first.ravel(), second.ravel()])
-        yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+    task, half as many numbers as the model has, which are added up in ``meet`` tasks."""
+    factors, half = _factors(*model), np.triu_indices(d)
 
-    rows = data.select("x").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()
-    return rows["v"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loglik, n, size, first, second = 0.0, 0, np.zeros(g), np.zeros((g, d)), np.zeros((g, d, d))
+        for rows in _matrices(batches, keep):
+            for i in range(0, len(rows), SLICE):
+                x = rows[i:i + SLICE]
+                p, each = _posteriors(_log_densities(x, *factors))
+                loglik, n, size, first = loglik + each.sum(), n + len(x), size + p.sum(0), first + p.T @ x
+                for j in range(g):
+                    own = np.flatnonzero(p[:, j])  # a posterior of 0 adds nothing
+                    y = (x if len(own) == len(x) else x[own]) * np.sqrt(p[own, j])[:, None]
+                    second[j] += y.T @ y  # of a matrix with itself: half the work
+        if n:
+            flat = np.concatenate([[loglik, n], size, first.ravel(), second[:, *half].ravel()])
+            yield pa.RecordBatch.from_pydict({"sums": [flat.tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted(v for batch in batches for v in batch.column("sums").to_pylist())  # in one order in every run
+        if parts:
+            yield pa.RecordBatch.from_pydict({"sums": [sum(np.frombuffer(v) for v in parts).tobytes()]})
+
+    sums = data.select("packed").mapInArrow(run, "sums binary").repartition(meet).mapInArrow(add, "sums binary").collect()
+    flat = sum((np.frombuffer(r["sums"]) for r in sums), np.zeros(2 + g + g * d + g * len(half[0])))
+    loglik, n, size, first, upper = flat[0], flat[1], *np.split(flat[2:], [g, g + g * d])
+    second = np.zeros((g, d, d))
+    second[:, *half] = upper.reshape(g, -1)
+    second[:, *half[::-1]] = upper.reshape(g, -1)
+    return loglik, n, size, first.reshape(g, d), second
 
 
 def gaussian_mixture(df: DataFrame, ids: Sequence[str], features: Sequence[str], g: int = 5, components: int | None = None,
@@ -255,43 +335,48 @@ def gaussian_mixture(df: DataFrame, ids: Sequence[str], features: Sequence[str],
     """Full-covariance mixture on all features that vary, or on so many leading principal components if asked for.
 
     Expectation maximisation from seeded k-means centres until the mean log-likelihood grows by less than ``tol``; a step is one pass
-    over the rows. Works with log-densities, so many features do not underflow.
+    over the rows, which lie packed as bytes. Works with log-densities, so many features do not underflow.
 
     Returns ``(classified, components, fit)``: ids with ``class`` and ``uncertainty`` (one minus
     the largest posterior), ``(class, proportion, mean, size)`` and ``(G, d, n, loglik, df, bic)``.
     """
     spark = df.sparkSession
     if components is None:
-        data = cut_lineage(vectors(df, ids, varying(df, features)).withColumnRenamed("point", "x"))
+        data = _packed(vectors(df, ids, features), ids)
     else:
-        scores = pca(df, ids, features, components)[2]
-        data = cut_lineage(scores.select(*ids, F.col("pc").alias("features"), vector_to_array("pc").alias("x")))
-    centres = KMeans(k=g, seed=seed, maxIter=20).fit(data).clusterCenters()
+        data = _packed(pca(df, ids, features, components)[2].withColumn("point", vector_to_array("pc")), ids)
+    n, squares, tasks = _spread(data)
+    varies = (n > 1) & (squares > 0)
+    keep = None if components or varies.all() else np.flatnonzero(varies)
+    point = F.col("point") if keep is None else F.array(*[F.col("point")[int(i)] for i in keep])
+    centres = KMeans(k=g, seed=seed, maxIter=20).fit(data.select(array_to_vector(point).alias("features"))).clusterCenters()
     means = np.array([centres[j % len(centres)] for j in range(g)])
     d = means.shape[1]
-    spread = data.agg(*[F.var_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
-    ridge = 1e-6 * np.diag(np.maximum(np.array(spread, dtype=float), 1e-12))
-    model = (np.full(g, 1 / g), means, np.stack([np.diag(np.maximum(np.array(spread, dtype=float), 1e-12))] * g))
+    variance = np.maximum((squares / np.maximum(n, 1))[... if keep is None else keep], 1e-12)
+    ridge = 1e-6 * np.diag(variance)
+    model = (np.full(g, 1 / g), means, np.stack([np.diag(variance)] * g))
+    meet = math.isqrt(tasks - 1) + 1
     before = -np.inf
     while True:
-        m = _moments(data, model, g, d)
-        loglik, n, size = m[0], m[1], m[2:2 + g]
+        loglik, n, size, first, second = _moments(data, keep, model, g, d, meet)
         if n == 0 or loglik / n - before < tol:
             break
         before = loglik / n
-        first, second = m[2 + g:2 + g + g * d].reshape(g, d), m[2 + g + g * d:].reshape(g, d, d)
         held = np.maximum(size, 1e-9)
         means = first / held[:, None]
         covs = second / held[:, None, None] - means[:, :, None] * means[:, None, :]
         model = (size / n, means, np.where((size > d / 100)[:, None, None], covs, model[2]) + ridge)
+    factors = _factors(*model)
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            p, _ = _posteriors(_log_densities(np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d)), *model))
-            yield pdf.drop(columns="x").assign(**{"class": p.argmax(1) + 1, "uncertainty": 1 - p.max(1)})
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if len(b)):
+            x, = _matrices([batch], keep)
+            p, _ = _posteriors(_log_densities(x, *factors))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(p.argmax(1) + 1, pa.int32()), pa.array(1 - p.max(1))],
+                                             names=[*ids, "class", "uncertainty"])
 
-    kept = data.select(*ids, "x")
-    classified = kept.mapInPandas(classify, kept.drop("x").schema.add("class", "integer").add("uncertainty", "double"))
+    kept = data.select(*ids, "packed")
+    classified = kept.mapInArrow(classify, kept.drop("packed").schema.add("class", "integer").add("uncertainty", "double"))
     table = spark.createDataFrame([(j + 1, float(w), [float(v) for v in mean]) for j, (w, mean) in enumerate(zip(model[0], model[1]))],
                                   "class int, proportion double, mean array<double>")
     sizes = classified.groupBy("class").agg(F.count(F.lit(1)).alias("size"))

@@ -98,6 +98,56 @@ def test_mixture_of_many_features(spark):
     assert (got.uncertainty < 1e-6).all()
 
 
+def test_mixture_passes_move_packed_rows(spark, monkeypatch):
+    """A pass reads rows as bytes and gives the driver its sums in a few rows, however large the model; it never goes through pandas."""
+    pdf, cols = blobs(600, 12, 3, seed=5)
+    df = spark.createDataFrame(pdf).repartition(5)
+    frame, read, got = type(df), [], []
+    arrow, collect = frame.mapInArrow, frame.collect
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: read.append([kind for _, kind in self.dtypes]) or arrow(self, *a, **b))
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    for name in ("mapInPandas", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, *a, name=name, **b: pytest.fail(name))
+    _, _, fit = C.gaussian_mixture(df, ["id"], cols, g=3)
+    passes = [kinds for kinds in read if kinds == ["binary"]]
+    assert len(passes) > 3 and max(len(rows) for rows in got) <= 5 and fit.first()["n"] == 600
+
+
+def test_mixture_against_plain_numpy(spark):
+    """Every step, over rows in several tasks and slices, is that of a plain loop from the same start; a column that is constant, NULL throughout or holds a NaN is left out."""
+    pdf, cols = blobs(2600, 3, 2, seed=8)
+    pdf["c1"] += 3 * pdf.c0 * np.sin(pdf.id)
+    pdf["flat"], pdf["odd"] = 0.1, np.where(pdf.id == 9, np.nan, pdf.c0)
+    df = spark.createDataFrame(pdf).coalesce(3).withColumn("none", F.lit(None).cast("double"))
+    classified, parts, fit = C.gaussian_mixture(df, ["id"], ["flat", *cols, "none", "odd"], g=2)
+    x, row = pdf[cols].to_numpy(), fit.first()
+    model = parts.orderBy("class").toPandas()
+    got = classified.toPandas().set_index("id").loc[pdf.id]
+    p = np.zeros((len(x), 2))
+    p[:, 0], p[:, 1] = got["class"] == 1, got["class"] == 2
+    before = -np.inf
+    for _ in range(200):
+        w, m = p.mean(0), (p.T @ x) / p.sum(0)[:, None]
+        c = [((x - m[j]) * p[:, [j]]).T @ (x - m[j]) / p[:, j].sum() + 1e-6 * np.diag(x.var(0)) for j in range(2)]
+        logs = np.stack([np.log(w[j]) - .5 * (np.einsum("ij,ij->i", (x - m[j]) @ np.linalg.inv(c[j]), x - m[j]) + np.linalg.slogdet(2 * np.pi * c[j])[1]) for j in range(2)], 1)
+        each = np.logaddexp.reduce(logs, 1)
+        p = np.exp(logs - each[:, None])
+        if each.mean() - before < 1e-9:
+            break
+        before = each.mean()
+    assert row["d"] == 3 and row["n"] == 2600 and row["loglik"] / 2600 == pytest.approx(before, abs=1e-3)
+    assert np.allclose(model.proportion, w, atol=1e-2) and np.allclose(np.stack(model["mean"]), m, atol=5e-2)
+    assert (got["class"].to_numpy() == p.argmax(1) + 1).mean() > 0.995 and np.allclose(got.uncertainty, 1 - p.max(1), atol=5e-2)
+
+
+def test_mixture_keeps_long_ids_beside_missing_ones(spark):
+    pdf, cols = blobs(90, 3, 3, seed=1)
+    rows = [(None if i % 9 == 0 else 2**53 + 1 + 2 * i, *map(float, v)) for i, v in zip(pdf.id, pdf[cols].to_numpy())]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    got = [r.id for r in C.gaussian_mixture(df, ["id"], cols, g=3)[0].collect()]
+    assert sorted(map(str, got)) == sorted(str(r[0]) for r in rows)
+
+
 def test_correlation_matrix_with_constant(spark):
     pdf, cols = blobs(50)
     pdf["flat"] = 1.0
